@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import exact_dedup, line_dedup, quality, token_files, url_filter
 from ._shared import read
 
 #: (host, path, verdict)
@@ -17,6 +17,16 @@ URL_RULES = [
 ]
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels), threshold=0.3)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -27,8 +37,19 @@ def op10_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_token_files(spark, sf_dir, tokenizer: str | None = None):
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -36,6 +57,10 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op2_exact_dedup": """
+        WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
+        FROM documents d JOIN g ON coalesce(d.text, '') = g.t""",
     "op8_url_filter": f"""
         WITH parts AS (
             SELECT page_id,
