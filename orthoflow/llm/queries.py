@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, quality, token_files, url_filter
+from . import exact_dedup, hamming_search, line_dedup, packing, quality, token_files, url_filter
 from ._shared import read
 
 #: (host, path, verdict)
@@ -17,6 +17,11 @@ URL_RULES = [
 ]
 
 
+def op1_hamming_top_k(spark, sf_dir):
+    codes = hamming_search.sign_codes(read(spark, sf_dir, "embeddings"))
+    return hamming_search.top_k(codes, codes.filter("vec_id % 50 = 0"), k=10)
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -27,6 +32,10 @@ def op3_quality(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(packing.word_lengths(read(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -46,8 +55,10 @@ def op9_token_files(spark, sf_dir, tokenizer: str | None = None):
 
 
 QUERIES = {
+    "op1_hamming_top_k": op1_hamming_top_k,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
@@ -57,6 +68,17 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op1_hamming_top_k": """
+        WITH c AS (SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS b FROM embeddings),
+        codes AS (
+            SELECT vec_id, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN b[i + 1] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS lo,
+                   list_sum(list_transform(range(0, 32), lambda i: CASE WHEN b[i + 33] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS hi
+            FROM c),
+        d AS (
+            SELECT q.vec_id AS query_id, r.vec_id, (bit_count(xor(q.lo, r.lo)) + bit_count(xor(q.hi, r.hi)))::INT AS distance
+            FROM codes q JOIN codes r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d)
+        SELECT query_id, rank, vec_id, distance FROM n WHERE rank <= 10""",
     "op2_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
