@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hamming_search, line_dedup, packing, quality, token_files, url_filter
+from . import exact_dedup, hamming_search, line_dedup, minhash_dedup, packing, quality, token_files, url_filter
 from ._shared import read
 
 #: (host, path, verdict)
@@ -36,6 +36,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack(packing.word_lengths(read(spark, sf_dir, "documents")))
 
 
+def op5_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_groups(read(spark, sf_dir, "documents"), words=4).drop("th")
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
@@ -83,6 +88,20 @@ ORACLE_SQL = {
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
         FROM documents d JOIN g ON coalesce(d.text, '') = g.t""",
+    "op5_minhash_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, p.v FROM r JOIN p ON p.u = r.v)
+        SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = s.doc_id""",
     "op8_url_filter": f"""
         WITH parts AS (
             SELECT page_id,
