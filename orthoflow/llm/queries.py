@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hamming_search, line_dedup, minhash_dedup, packing, quality, token_files, url_filter
+from . import exact_dedup, hamming_search, license_scan, line_dedup, minhash_dedup, packing, quality, sentencepiece_codec, token_files, url_filter
 from ._shared import read
 
 #: (host, path, verdict)
@@ -40,6 +40,20 @@ def op5_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(read(spark, sf_dir, "documents"), words=4).drop("th")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_sentencepiece(spark, sf_dir, model: str | None = None):
+    return sentencepiece_codec.round_trip(read(spark, sf_dir, "documents"), model or _tokenizer("piece_bpe_32k.model"))
+
+
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -51,11 +65,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def op9_token_files(spark, sf_dir, tokenizer: str | None = None):
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer)
+    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer or _tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES = {
@@ -64,6 +74,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
