@@ -53,7 +53,8 @@ class Scratch:
         """Write `df` and read it back: cuts the lineage, as checkpoint() does, and keeps file statistics."""
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.parquet(path)
+        # zstd: the snappy writer keeps direct buffers until a garbage collection, which adds up over many files
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
