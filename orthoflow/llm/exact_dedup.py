@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
         cells = cells.filter("n > 1").withColumn("next", F.monotonically_increasing_id())
         cells = scratch.table(cells.withColumnsRenamed({"grp": "c_grp", "digit": "c_digit"}), "cells")
         joined = live.withColumn("digit", digit).join(
-            small_side(cells, 48 + width), (F.col("grp") == F.col("c_grp")) & (F.col("digit") == F.col("c_digit")), "left"
+            cells.hint("merge"), (F.col("grp") == F.col("c_grp")) & (F.col("digit") == F.col("c_digit")), "left"
         )
         single, ended = F.col("n").isNull(), F.length("digit") < width
         out = scratch.table(
