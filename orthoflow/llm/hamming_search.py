@@ -68,7 +68,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
         masks = ",".join(str(sum(1 << b for b in c)) for c in combinations(range(SEGMENT), radius))
         probed = F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("q"), s).alias("own")) for s in range(m)])
         probes = live.select("q", F.inline(probed)).select("q", "seg", "own", F.explode(F.split(F.lit(masks), ",").cast("array<int>")).alias("mask"))
-        hits = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).join(index, ["seg", "val"])
+        # Merge: the size of the exploded probes is underestimated by far, and they must not be broadcast.
+        hits = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).hint("merge").join(index, ["seg", "val"])
         hits = hits.select("q", "code", "held", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         both = hits if found is None else hits.unionByName(found.join(live, "q", "left_semi"))
         # Of an entry's rows at most `want` are ever needed: keep the entries nearer than the want-th row, and its ties.
