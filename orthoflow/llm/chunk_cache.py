@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks kept per worker process; beyond it the cache starts afresh. About 150 bytes each.
-CACHE_CHUNKS = 1_000_000
+#: Distinct chunks kept per worker process; beyond it the cache starts afresh. About 50 bytes each.
+CACHE_CHUNKS = 800_000
+#: Chunks encoded at a time.
+FRESH_CHUNKS = 32_768
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,54 +55,73 @@ def word_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[s : s + n] of every (s, n), one after another."""
-    total = int(lengths.sum())
+    total = int(lengths.sum(dtype=np.int64))
     if not total:
         return values[:0]
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return values[np.repeat(shift, lengths) + np.arange(total)]
+    kind = np.int32 if total < 1 << 31 and len(values) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 class ChunkCache:
-    """Ids of chunks; `encode_many` gets each distinct chunk (as str) that the cache does not hold."""
+    """Ids of chunks; `encode_many` gets each distinct chunk (as str) that the cache does not hold.
+
+    Known chunks are one Arrow array, in which a batch's distinct chunks are looked up at once. New ones come sorted.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = CACHE_CHUNKS):
         self.encode_many, self.most = encode_many, most
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
-
-    def _add(self, fresh: list[bytes]) -> None:
-        got = self.encode_many([c.decode("utf-8", "surrogatepass") for c in fresh])
-        counts = np.array([len(g) for g in got], np.int64)
-        flat = np.array([i for g in got for i in g], np.int32)
-        n, m = len(self.rows), self.used
-        while n + len(fresh) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-        while m + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[m : m + len(flat)] = flat
-        self.starts[n : n + len(fresh)] = m + np.cumsum(counts) - counts
-        self.counts[n : n + len(fresh)] = counts
-        self.used = m + len(flat)
-        self.rows.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.rows = self.used = 0
+
+    def _add(self, fresh: pa.Array) -> None:
+        """Encode `fresh` in parts, so that few of its strings and lists are there at a time."""
+        for lo in range(0, len(fresh), FRESH_CHUNKS):
+            got = self.encode_many(fresh[lo : lo + FRESH_CHUNKS].cast(pa.large_string()).to_pylist())
+            counts = np.fromiter(map(len, got), np.int32, len(got))
+            flat = np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))
+            n, m = self.rows + lo, self.used
+            while n + len(got) > len(self.starts):
+                self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            while m + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[m : m + len(flat)] = flat
+            self.starts[n : n + len(got)] = m + np.cumsum(counts, dtype=np.int32) - counts
+            self.counts[n : n + len(got)] = counts
+            self.used = m + len(flat)
+        self.rows += len(fresh)
+        self.known = pa.concat_arrays([self.known, fresh])
 
     def encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after another, count of each chunk)."""
         if len(chunks) == 0:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        rows = self.rows
-        at = [rows.get(c, -1) for c in distinct]
-        if fresh := [c for c, i in zip(distinct, at, strict=True) if i < 0]:
-            if len(rows) + len(fresh) > self.most and len(rows):
-                self._clear()
-                fresh = distinct
-            self._add(fresh)
-            at = [self.rows[c] for c in distinct]
-        which = np.array(at, np.int64)[coded.indices.to_numpy()]
-        counts = self.counts[which].astype(np.int64)
+        distinct = coded.dictionary
+        if len(self.known) + len(distinct) > self.most and len(self.known):
+            self._clear()
+        at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy().copy()
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh = distinct.take(pa.array(missing))
+            order = pc.sort_indices(fresh).to_numpy()
+            at[missing[order]] = np.arange(self.rows, self.rows + len(missing), dtype=np.int32)
+            self._add(fresh.take(pa.array(order)))
+        which = at[coded.indices.to_numpy()]
+        counts = self.counts[which]
         return take_runs(self.ids, self.starts[which], counts), counts
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; workers that wait for their next task would keep it."""
+    import ctypes
+    import sys
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._shared import text_or_empty
-from .chunk_cache import ChunkCache, cut_texts, flat_bytes, take_runs
+from .chunk_cache import ChunkCache, cut_texts, flat_bytes, release_memory, take_runs
 from .shingles import text_slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 class PieceModel:
@@ -193,6 +193,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             sums = [zlib.crc32(wide[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "same"])
+            pa.default_memory_pool().release_unused()
+        release_memory()
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, same boolean")
