@@ -80,6 +80,21 @@ def ellipsis_char(c: Column) -> Column:
     return F.regexp_replace(c, THREE_DOTS, "…")
 
 
+def punctuation(c: Column, options: Options) -> Column:
+    """All punctuation rules, as if each were found on the same text.
+
+    Rules that add come before those that take away, whose deletions would make new places for them; a made
+    ellipsis is hidden from the rule on spaces, which leaves the dots that it was alone.
+    """
+    c = missing_sentence_space(missing_space(c))
+    if options.ellipsis_char:
+        c = F.regexp_replace(c, THREE_DOTS, "\ue000")
+    if options.merge_dots:
+        c = merge_dots(c)
+    c = space_after_opening(space_before_closing(c))
+    return F.translate(c, "\ue000", "…") if options.ellipsis_char else c
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, MANY_SPACES, " "), F.lit(" "))
 

@@ -50,7 +50,7 @@ def typo_lines(lines: DataFrame) -> DataFrame:
     parts = lines.filter(~F.trim("value").startswith("#") & F.contains("value", F.lit("=>"))).select(
         "line_ix",
         F.lower(F.trim(F.split_part("value", F.lit("=>"), F.lit(1)))).alias("typo"),
-        F.filter(F.transform(F.split(F.split_part("value", F.lit("=>"), F.lit(2)), r"\|"), F.trim), lambda a: a != "").alias("answers"),
+        F.filter(F.transform(F.split(F.split_part("value", F.lit("=>"), F.lit(2)), r"\|"), lambda a: F.trim(a)), lambda a: a != "").alias("answers"),
     )
     return parts.filter("typo <> '' AND size(answers) > 0").groupBy("typo").agg(F.max_by("answers", "line_ix").alias("answers"))
 

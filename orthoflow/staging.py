@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its row count times its row width is within this many bytes.
@@ -45,13 +45,18 @@ class Scratch:
         return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back: cuts the lineage, as checkpoint() does, and keeps file statistics."""
+        """Write `df` and read it back: cuts the lineage, as checkpoint() does, and keeps file statistics.
+
+        Its rows are counted on the way, for `rows`.
+        """
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
         # zstd: the snappy writer keeps direct buffers until a garbage collection, which adds up over many files
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        out._scratch_rows = seen.get.get("n")
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -60,9 +65,12 @@ class Scratch:
                 self._fs(t._scratch_path, "delete", True)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` marked for broadcast if count x row_bytes is within `limit`, else unmarked (sort-merge join).
+def rows(df: DataFrame) -> int:
+    """How many rows `df` has: known for a scratch table, counted for any other."""
+    known = getattr(df, "_scratch_rows", None)
+    return df.count() if known is None else known
 
-    `df` should be a scratch table, whose count is read from the file footers.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, a scratch table, marked for broadcast if rows x row_bytes is within `limit`, else unmarked (sort-merge join)."""
+    return F.broadcast(df) if rows(df) * row_bytes <= limit else df
