@@ -1,77 +1,18 @@
-"""Scratch tables, size-checked joins and row helpers shared by the corpus operators."""
+"""Helpers of the corpus operators; scratch tables and size-checked joins come from `orthoflow.staging`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import BROADCAST_BYTES, Scratch, rows, scratch_root, small_side
+
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "read", "rows", "scratch_root", "small_side", "text_or_empty"]
+
 #: `[\x20\x09-\x0D]`, the white space that the operators strip and split on.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side is broadcast only when its row count times its row width is below this many bytes.
-BROADCAST_BYTES = 32 << 20
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="orthoflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator run, below the shared folder; they outlive lost executors.
-
-    Every table gets a path of its own, so that a rerun never reads another run's files. `drop`
-    removes a table that nothing reads any more; the rest goes when the JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._count = 0
-        self._fs(self.path, "deleteOnExit")
-
-    def _fs(self, path: str, call: str, *args):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return getattr(fs, call)(p, *args)
-
-    def mkdirs(self, name: str) -> str:
-        path = f"{self.path}/{name}"
-        self._fs(path, "mkdirs")
-        return path
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back: cuts the lineage, as checkpoint() does, and keeps file statistics."""
-        self._count += 1
-        path = f"{self.path}/{self._count:03d}-{name}"
-        # zstd: the snappy writer keeps direct buffers until a garbage collection, which adds up over many files
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        for t in tables:
-            if t is not None and getattr(t, "_scratch_path", None):
-                self._fs(t._scratch_path, "delete", True)
-
-
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` marked for broadcast if count x row_bytes is within `limit`, else unmarked (sort-merge join).
-
-    `df` should be a scratch table, whose count is read from the file footers.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

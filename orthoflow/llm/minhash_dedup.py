@@ -7,9 +7,10 @@ makes every such pair meet under a key. A pair with Jaccard similarity 0.8 has m
 with probability below 1e-4; nearer pairs far less.
 
 1. Texts with equal shingle sets are one class (128-bit set fingerprint), so copies cost one row from here on.
-2. Classes that meet under a key and lie within the signature distance form coarse groups. Keys with more than
-   `HEAVY` classes are refined first: the other 7 chunks hold at most 15 errors, so one of them has at most 2;
-   the pair also meets under that chunk's 2 remaining symbols. Each key yields a spanning forest, not pairs.
+2. Classes that meet under a key and lie within the signature distance form coarse groups. A key with more than
+   `HEAVY` classes first has its classes compared with its hub, the middle of a sample; where that makes them one
+   component, the key is done. Else it is refined: the other 7 chunks hold at most 15 errors, so one of them has at
+   most 2, and the pair also meets under that chunk's 2 remaining symbols. Keys yield spanning forests, not pairs.
 3. Full sets of grouped classes only are rebuilt from the texts, and each coarse group is confirmed exactly. A
    group above `GROUP` classes is not gathered in one task: its members are compared with a few hubs, wherever they
    are; those not linked to the main hub's links (the query set) are then compared with all members of a similar
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, small_side, text_or_empty
+from ._shared import Scratch, rows, small_side, text_or_empty
 from .components import components
 from .shingles import U, shingle_sets, signature, stream, text_slices
 
@@ -65,24 +66,65 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "f1", "f2", *_CHUNK, *_LOW])
 
 
-def _within(run: np.ndarray) -> list[int]:
-    """For the rows of `run` (n, low bytes): each row's first row of its component under the signature distance."""
-    sizes, low = run["n"], np.stack([run[s] for s in _LOW], 1).view(np.uint8)
-    root = np.arange(len(run))
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing symbols, by their low bytes, of rows of signatures."""
+    return (a != b).sum(-1)
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def _within(run: np.ndarray) -> np.ndarray:
+    """For the rows of one key: each row's first row of its component under the signature distance.
+
+    Rows with the same `comp` are one component from the start.
+    """
+    sizes, low = run["n"], _low(run)
+    _, first, which = np.unique(run["comp"], return_index=True, return_inverse=True)
+    root = first[which]
     for i in range(1, len(run)):
-        size_ok = (5 * np.minimum(sizes[:i], sizes[i]) >= 4 * np.maximum(sizes[:i], sizes[i])) & (root[:i] != root[i])
-        near = np.flatnonzero(size_ok)
-        near = near[(low[near] != low[i]).sum(1) <= ERRORS]
+        near = np.flatnonzero(_sizes_fit(sizes[:i], sizes[i]) & (root[:i] != root[i]))
+        near = near[_far(low[near], low[i]) <= ERRORS]
         for r in np.unique(root[near]):
-            a, b = sorted((root[i], r))
-            root[root == b] = a
-    return root.tolist()
+            lo, hi = sorted((root[i], r))
+            root[root == hi] = lo
+    return root
+
+
+def _low(rows: np.ndarray) -> np.ndarray:
+    return np.stack([rows[s] for s in _LOW], 1).view(np.uint8)
+
+
+class _Forest:
+    """Edges that a task has not yet implied; at `most` nodes it starts afresh, which only repeats edges."""
+
+    def __init__(self, most: int = 500_000):
+        self.up: dict[int, int] = {}
+        self.most = most
+
+    def _top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def new(self, a: int, b: int) -> bool:
+        a, b = self._top(a), self._top(b)
+        if a == b:
+            return False
+        if len(self.up) > self.most:
+            self.up.clear()
+        self.up[max(a, b)] = min(a, b)
+        return True
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tag, key, cls, n, low bytes) to the spanning forest of each key's pairs within the signature distance."""
-    kind = np.dtype([(c, "<i8") for c in ("tag", "key", "cls", "n", *_LOW)])
+    """Sorted (tag, key, cls, comp, n, low bytes) to a spanning forest of each key's pairs within the signature distance."""
+    kind = np.dtype([(c, "<i8") for c in _COLUMNS])
     held = np.zeros(0, kind)
+    forest = _Forest()
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(rows), bool)
@@ -90,17 +132,16 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(rows)))
         x, y = rows[at[size == 2]], rows[at[size == 2] + 1]
-        low = [np.stack([z[s] for s in _LOW], 1).view(np.uint8) for z in (x, y)]
-        differ = (low[0] != low[1]).sum(1)
-        ok = (differ <= ERRORS) & (5 * np.minimum(x["n"], y["n"]) >= 4 * np.maximum(x["n"], y["n"]))
-        a, b = [x["cls"][ok]], [y["cls"][ok]]
+        ok = (_far(_low(x), _low(y)) <= ERRORS) & _sizes_fit(x["n"], y["n"]) & (x["comp"] != y["comp"])
+        pairs = list(zip(x["cls"][ok].tolist(), y["cls"][ok].tolist(), strict=True))
         for lo, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             run = rows[lo : lo + n]
-            root = np.array(_within(run))
+            root = _within(run)
             moved = np.flatnonzero(root != np.arange(n))
-            a.append(run["cls"][root[moved]])
-            b.append(run["cls"][moved])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            moved = moved[run["comp"][moved] != run["comp"][root[moved]]]
+            pairs += zip(run["cls"][root[moved]].tolist(), run["cls"][moved].tolist(), strict=True)
+        pairs = [p for p in pairs if forest.new(*p)]
+        return _edge_batch(pairs)
 
     for batch in batches:
         rows = np.empty(batch.num_rows, kind)
@@ -118,7 +159,12 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield edges(held)
 
 
-_COLUMNS = ["tag", "key", "cls", "n", *_LOW]
+def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, 0])), pa.array(np.ascontiguousarray(at[:, 1]))], ["a", "b"])
+
+
+_COLUMNS = ["tag", "key", "cls", "comp", "n", *_LOW]
 
 
 def _first_keys(classes: DataFrame) -> DataFrame:
@@ -128,7 +174,7 @@ def _first_keys(classes: DataFrame) -> DataFrame:
         for p in range(PER_CHUNK):
             kept = F.col(f"c{i}").bitwiseAND(F.lit(~(0xFFFF << 16 * p) if p < 3 else 0x0000FFFFFFFFFFFF).cast("bigint"))
             keys.append(F.struct(F.lit(i * PER_CHUNK + p).cast("bigint").alias("tag"), kept.alias("key")))
-    return classes.select("cls", "n", *_CHUNK, *_LOW, F.inline(F.array(*keys)))
+    return classes.select("cls", F.col("cls").alias("comp"), "n", *_CHUNK, *_LOW, F.inline(F.array(*keys)))
 
 
 def _second_keys(rows: DataFrame) -> DataFrame:
@@ -141,17 +187,19 @@ def _second_keys(rows: DataFrame) -> DataFrame:
                 mask = mask - (1 << 64) if mask >= 1 << 63 else mask
                 kept = F.xxhash64("tag", "key", F.col(f"c{j}").bitwiseAND(F.lit(mask).cast("bigint")))
                 keys.append(F.struct(F.lit(j * 16 + p * 4 + q).cast("bigint").alias("tag2"), kept.alias("key2")))
-    wide = rows.select("tag", "cls", "n", *_LOW, F.inline(F.array(*keys)))
+    wide = rows.select("tag", "cls", "comp", "n", *_LOW, F.inline(F.array(*keys)))
     other = F.shiftright("tag2", 4) != F.shiftright("tag", 2)
-    return wide.filter(other).select(F.col("tag2").alias("tag"), F.col("key2").alias("key"), "cls", "n", *_LOW)
+    return wide.filter(other).select(F.col("tag2").alias("tag"), F.col("key2").alias("key"), "cls", "comp", "n", *_LOW)
 
 
-def _split_heavy(keyed: DataFrame, heavy_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
-    """(rows of keys with at most `heavy_rows` rows, rows of the others, whether there are others)."""
+def _split_heavy(keyed: DataFrame, heavy_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most `heavy_rows` rows, rows of the others or None)."""
     counts = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > heavy_rows).select("tag", "key")
     heavy = scratch.table(counts, "heavy")
+    if not rows(heavy):
+        return keyed, None
     some = small_side(heavy, 32)
-    return keyed.join(some, ["tag", "key"], "left_anti"), keyed.join(some, ["tag", "key"], "left_semi"), not heavy.isEmpty()
+    return keyed.join(some, ["tag", "key"], "left_anti"), keyed.join(some, ["tag", "key"], "left_semi")
 
 
 def _meet(light: DataFrame) -> DataFrame:
@@ -159,23 +207,62 @@ def _meet(light: DataFrame) -> DataFrame:
     return grouped.mapInArrow(_bucket_edges, "a bigint, b bigint")
 
 
+def _key_hubs(heavy: DataFrame) -> DataFrame:
+    """(tag, key, hub, hub_n, hub signature): of up to 64 classes of each heavy key, the one in their middle."""
+    from pyspark.sql import Window as W
+
+    def choose(batches):
+        for run in _runs(batches, ["tag", "key"]):
+            low = np.ascontiguousarray(np.stack([run.column(s).to_numpy() for s in _LOW], 1)).view(np.uint8)
+            hub = int(np.argmin(_far(low[:, None, :], low[None, :, :]).sum(1)))
+            row = run.slice(hub, 1).select(["tag", "key", "cls", "n", *_LOW])
+            yield from row.rename_columns(["tag", "key", "hub", "hub_n", *(f"hub_{s}" for s in _LOW)]).to_batches()
+
+    nth = F.row_number().over(W.partitionBy("tag", "key").orderBy(F.xxhash64("cls"), "cls"))
+    sample = heavy.withColumn("nth", nth).filter(F.col("nth") <= 64).select("tag", "key", "cls", "n", *_LOW)
+    schema = "tag bigint, key bigint, hub bigint, hub_n bigint, " + ", ".join(f"hub_{s} bigint" for s in _LOW)
+    return sample.repartition("tag", "key").sortWithinPartitions("tag", "key").mapInArrow(choose, schema)
+
+
+def _hub_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows beside their key's hub to the edges within the signature distance."""
+    forest = _Forest()
+    for batch in batches:
+        if batch.num_rows:
+            col = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            mine, hubs = (np.ascontiguousarray(np.stack([col[p + s] for s in _LOW], 1)).view(np.uint8) for p in ("", "hub_"))
+            ok = (_far(mine, hubs) <= ERRORS) & _sizes_fit(col["n"], col["hub_n"]) & (col["cls"] != col["hub"])
+            yield _edge_batch([p for p in zip(col["hub"][ok].tolist(), col["cls"][ok].tolist(), strict=True) if forest.new(*p)])
+
+
 def coarse_edges(classes: DataFrame, scratch: Scratch, heavy_rows: int = HEAVY) -> DataFrame:
     """Edges (a, b) that connect every two classes within the signature distance."""
     keyed = _first_keys(classes)
-    light, heavy, some = _split_heavy(keyed, heavy_rows, scratch)
+    light, heavy = _split_heavy(keyed, heavy_rows, scratch)
     found = [_meet(light)]
-    if some:
-        second = scratch.table(_second_keys(heavy), "second")
-        light, heavy, more = _split_heavy(second, heavy_rows, scratch)
+    if heavy is not None:
+        heavy = scratch.table(heavy, "heavy-rows")
+        hubs = scratch.table(_key_hubs(heavy), "key-hubs")
+        beside = heavy.join(small_side(hubs, 80), ["tag", "key"]).select("cls", "n", *_LOW, "hub", "hub_n", *(f"hub_{s}" for s in _LOW))
+        stars = scratch.table(beside.mapInArrow(_hub_edges, "a bigint, b bigint"), "key-stars")
+        found.append(stars)
+        joined = components(stars, scratch).select(F.col("node").alias("cls"), "root")
+        heavy = heavy.drop("comp").join(joined, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+        heavy = scratch.table(heavy, "heavy-comps")
+        split = heavy.groupBy("tag", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        split = scratch.table(split.select("tag", "key"), "split-keys")
+    if heavy is not None and rows(split):
+        second = scratch.table(_second_keys(heavy.join(small_side(split, 32), ["tag", "key"], "left_semi")), "second")
+        light, heavy = _split_heavy(second, heavy_rows, scratch)
         found.append(_meet(light))
-        if more:  # five symbols alike in thousands of classes: one coarse group, left to the exact step
+        if heavy is not None:  # five symbols alike in thousands of classes: one coarse group, left to the exact step
             heavy = scratch.table(heavy.select("tag", "key", "cls"), "third")
             firsts = heavy.groupBy("tag", "key").agg(F.min("cls").alias("a"))
             found.append(heavy.join(firsts, ["tag", "key"]).select("a", F.col("cls").alias("b")))
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
 class _Sets:
@@ -208,7 +295,7 @@ def confirm(sets: list[np.ndarray], ask: np.ndarray | None = None) -> list[tuple
     root = np.arange(len(sets))
     out = []
     for i in range(len(sets)) if ask is None else ask:
-        able = (5 * np.minimum(group.sizes, group.sizes[i]) >= 4 * np.maximum(group.sizes, group.sizes[i])) & (root != root[i])
+        able = _sizes_fit(group.sizes, group.sizes[i]) & (root != root[i])
         if not able.any():
             continue
         for j in np.flatnonzero(group.linked(i) & able):
@@ -245,18 +332,13 @@ def _load(blobs) -> list[np.ndarray]:
     return [np.frombuffer(b, U) for b in blobs.to_pylist()]
 
 
-def _edge_batch(cls: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(cls[at[:, 0]]), pa.array(cls[at[:, 1]])], ["a", "b"])
-
-
 def _confirm_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in _runs(batches, ["grp"]):
         cls = run.column("cls").to_numpy()
         _, first = np.unique(cls, return_index=True)  # rows that repeat a document
         sets = _load(run.column("items").take(pa.array(first)))
         if len(first) > 1:
-            yield _edge_batch(cls[first], confirm(sets))
+            yield _edge_batch([(cls[first[i]], cls[first[j]]) for i, j in confirm(sets)])
 
 
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +348,8 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         _, first = np.unique(cls[order], return_index=True)
         keep = order[first]
         if asks[keep].any() and len(keep) > 1:
-            yield _edge_batch(cls[keep], confirm(_load(run.column("items").take(pa.array(keep))), np.flatnonzero(asks[keep])))
+            pairs = confirm(_load(run.column("items").take(pa.array(keep))), np.flatnonzero(asks[keep]))
+            yield _edge_batch([(cls[keep[i]], cls[keep[j]]) for i, j in pairs])
 
 
 def _hub_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +437,8 @@ def near_groups(
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    sketch = scratch.table(rows.mapInArrow(lambda b: _sketch(b, words), _SKETCH), "sketch")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sketch = scratch.table(texts.mapInArrow(lambda b: _sketch(b, words), _SKETCH), "sketch")
     same = ["f1", "f2", "n"]
     grouped = sketch.filter("n > 0").groupBy(*same).agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("model"), *(F.min(c).alias(c) for c in _CHUNK + _LOW)
@@ -370,7 +453,7 @@ def near_groups(
         ),
         "wanted",
     )
-    picked = rows.join(small_side(wanted, 64), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")))
+    picked = texts.join(small_side(wanted, 64), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")))
 
     def sets(batches):
         for batch in batches:
@@ -383,9 +466,10 @@ def near_groups(
     small = members.filter(F.col("size") <= group_rows).select("grp", "cls", "items")
     links = small.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(_confirm_groups, "a bigint, b bigint")
     large = members.filter(F.col("size") > group_rows).select("grp", "cls", "n", "items").dropDuplicates(["grp", "cls"])
-    if not members.filter(F.col("size") > group_rows).isEmpty():
-        links = links.unionAll(_large_links(scratch.table(large, "large"), classes, scratch, block))
-    roots = components(scratch.table(links, "links"), scratch)
+    large = scratch.table(large, "large")
+    if rows(large):
+        links = links.unionAll(_large_links(large, classes, scratch, block))
+    roots = components(links, scratch)
     merged = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = scratch.table(roots.join(ids, "root").select(F.col("node").alias("cls"), "component_id"), "labels")
