@@ -31,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, text_or_empty
-from .chunk_cache import ChunkCache, word_chunks
+from .chunk_cache import ChunkCache, release_memory, word_chunks
+from .shingles import text_slices
 
 MAGIC, VERSION = b"OFTK", 1
 HEADER = struct.Struct("<4sI32s")
 FOOTER = struct.Struct("<QQ4s")
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_tokens", "<u8")])
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 3
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 3
 END_ID = 0
 JOINED = 2000  # chunks in one string
+SLICE_BYTES = 4 << 20  # of text encoded at once
 
 
 @functools.cache
@@ -94,7 +96,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, to
     rows, at, total = [], HEADER.size, 0
     with fs.open_output_stream(own) as f:
         f.write(HEADER.pack(MAGIC, VERSION, hashlib.sha256(dictionary).digest()))
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             doc_ids = batch.column("doc_id")
             ids, counts = encode_texts(batch.column("text"), tokenizer_path)
             ids = ids.astype("<u4")
@@ -104,9 +106,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, to
                 rows.append((doc_id or 0, doc_id is None, at, len(frame), len(ids_of)))
                 at += len(frame)
                 total += len(ids_of)
+            pa.default_memory_pool().release_unused()
         f.write(np.array(rows, INDEX).tobytes())
         f.write(FOOTER.pack(len(rows), at, MAGIC))
     fs.move(own, f"{path}/{name}")
+    release_memory()
     yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "n_docs": [len(rows)], "n_ids": [total]})
 
 
@@ -152,11 +156,14 @@ def _read_back(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents' first SAMPLE_IDS ids; raw bytes where too little is there."""
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring(text_or_empty(), 1, SAMPLE_IDS * 4).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    """A dictionary from at most SAMPLE_DOCS documents' first SAMPLE_CHARS characters; raw bytes where too little is there."""
+    # Ids alone are ordered; the bounded list of chosen ones then fetches the texts.
+    ids = docs.select(F.col("doc_id").alias("s_id")).filter("s_id IS NOT NULL").distinct().orderBy(F.xxhash64("s_id"), "s_id").limit(SAMPLE_DOCS)
+    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
+    rows = chosen.select("doc_id", F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id")
     texts = pa.array([r["text"] for r in rows.collect()], pa.string())
     ids, counts = encode_texts(texts, tokenizer_path)
-    samples = [x[:SAMPLE_IDS].astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+    samples = [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
     if sum(map(len, samples)) > 8 * DICTIONARY_BYTES:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     return (b"".join(samples) or b"\0" * 8)[:DICTIONARY_BYTES].ljust(8, b"\0")
