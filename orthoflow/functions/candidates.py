@@ -10,7 +10,7 @@ import functools
 from collections.abc import Callable, Collection
 
 from .charset import PLAIN_OF, TYPED_LETTERS, is_vowel, strip_tone, tones
-from .syllables import Syllable, frames, spell, tone_fits
+from .syllables import Syllable, frames, parse, spell, tone_fits
 
 # --- Fixed values: costs of an edit and the length of the list. ---
 DOUBLED, ADD_MARK, CHANGE_MARK, OTHER_TONE, OTHER_LENGTH = 0, 2, 3, 3, 1
@@ -35,7 +35,8 @@ def _frames_by_plain() -> dict[str, list[str]]:
 @functools.cache
 def _spellings(frame: str) -> tuple[tuple[int, str], ...]:
     onset, rhyme = frames()[frame]
-    return tuple((t, spell(Syllable(onset, rhyme, t))) for t in range(6) if tone_fits(rhyme, t))
+    words = ((t, spell(Syllable(onset, rhyme, t))) for t in range(6) if tone_fits(rhyme, t))
+    return tuple((t, w) for t, w in words if parse(w))
 
 
 def mark_variants(frame: str) -> list[tuple[str, int]]:

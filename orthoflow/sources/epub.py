@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,6 +134,18 @@ def output_name(path: str) -> str:
     return f"{folder}/{name}" if folder else name
 
 
+def as_uri(path: str) -> str:
+    """A path, with or without a scheme, as a URI with its odd characters quoted."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = "file", path
+    authority = ""
+    if rest.startswith("//"):
+        authority, _, rest = rest[2:].partition("/")
+        rest = "/" + rest
+    return f"{scheme}://{authority}{quote(rest)}"
+
+
 def write_archives(books: DataFrame, folder: str | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
     """Write each (book_id, content) beside its source, or into `folder`; returns (book_id, path written).
 
@@ -153,7 +166,7 @@ def write_archives(books: DataFrame, folder: str | None = None, dry_run: bool =
                 if target == book:
                     raise ValueError(f"{book}: output would replace the input")
                 if not dry_run:
-                    fs, path = pafs.FileSystem.from_uri(target if "://" in target or target.startswith("file:") else f"file://{target}")
+                    fs, path = pafs.FileSystem.from_uri(as_uri(target))
                     own = f"{path}.{uuid.uuid4().hex}"
                     with fs.open_output_stream(own) as f:
                         f.write(content)
