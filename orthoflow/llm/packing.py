@@ -41,16 +41,24 @@ def default_cost(capacity: int) -> float:
 
 @dataclass
 class Pattern:
-    """`count` bins with the same contents. parts: (length, pieces in each bin, rank of the first bin's first piece)."""
+    """`count` bins, opened one after another from number `serial` on, with the same contents.
+
+    parts: (length, pieces in each bin, rank of the first bin's first piece).
+    """
 
     capacity: int
     room: int
     count: int
+    serial: int
     parts: tuple[tuple[int, int, int], ...]
 
 
 def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, cost: Callable[[int], float] = default_cost) -> list[Pattern]:
-    """Best-fit decreasing over `histogram` (length -> pieces); lengths are 1 to the largest capacity."""
+    """Best-fit decreasing over `histogram` (length -> pieces); lengths are 1 to the largest capacity.
+
+    Of open bins with the same room, the one of smaller capacity is filled first, then the one opened first. The result
+    is that of placing the pieces one by one.
+    """
     caps = sorted(set(capacities))
     if not caps or caps[0] < 1:
         raise ValueError("capacities must be positive")
@@ -58,6 +66,7 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, cost: Callable[[
     rooms: list[int] = []
     full: list[Pattern] = []
     left = sum(length * n for length, n in histogram.items())
+    opened = 0
 
     def put(p: Pattern) -> None:
         if p.room == 0:
@@ -66,7 +75,7 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, cost: Callable[[
         if p.room not in open_bins:
             bisect.insort(rooms, p.room)
             open_bins[p.room] = []
-        open_bins[p.room].append(p)
+        bisect.insort(open_bins[p.room], p, key=lambda q: (q.capacity, q.serial))
 
     for length in sorted((k for k, n in histogram.items() if n), reverse=True):
         if not 1 <= length <= caps[-1]:
@@ -77,23 +86,26 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, cost: Callable[[
             at = bisect.bisect_left(rooms, length)
             if at < len(rooms):
                 room = rooms[at]
-                p = open_bins[room].pop()
+                p = open_bins[room].pop(0)
                 if not open_bins[room]:
                     del open_bins[room]
                     rooms.pop(at)
-                each = min(room // length, max(1, n // p.count))
+                each = min(room // length, n)
                 bins = min(p.count, n // each)
             else:
-                # Later pieces of this length and shorter ones may fill the rest of a new bin.
+                # Pieces that wait behind this one may fill the rest of a new bin.
                 waiting = left + length * (n - 1)
                 fits = [c for c in caps if c >= length]
-                capacity = min(fits, key=lambda c: (cost(c) / (length + min(c - length, waiting)), c))
-                each = min(capacity // length, n)
-                bins, p, room = n // each, Pattern(capacity, capacity, n // each, ()), capacity
+                room = min(fits, key=lambda c: (cost(c) / (length + min(c - length, waiting)), c))
+                each = min(room // length, n)
+                # The choice stays the same while enough waits to fill the largest bin.
+                least = 1 + max(0, -((left + length - caps[-1]) // length))
+                bins = max(1, min(n // each, (n - least) // each + 1))
+                p = Pattern(room, room, bins, opened, ())
+                opened += bins
             if bins < p.count:
                 put(_split(p, bins))
-            taken = Pattern(p.capacity, room - each * length, bins, (*p.parts, (length, each, rank)))
-            put(taken)
+            put(Pattern(p.capacity, room - each * length, bins, p.serial, (*p.parts, (length, each, rank))))
             rank += each * bins
             n -= each * bins
     return full + [p for r in rooms for p in open_bins[r]]
@@ -101,7 +113,8 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, cost: Callable[[
 
 def _split(p: Pattern, first: int) -> Pattern:
     """The bins of `p` from number `first` on; `p` keeps the bins ahead of it."""
-    rest = Pattern(p.capacity, p.room, p.count - first, tuple((ln, e, r + e * first) for ln, e, r in p.parts))
+    parts = tuple((length, each, rank + each * first) for length, each, rank in p.parts)
+    rest = Pattern(p.capacity, p.room, p.count - first, p.serial + first, parts)
     p.count = first
     return rest
 
