@@ -79,4 +79,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.unhex("text_sha256").alias("g_sha")).distinct()
     gone = scratch.table(gone, "dropped")
     sha = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
-    return docs.join(small_side(gone, 48), F.col("doc_id").eqNullSafe(F.col("g_id")) & (sha == F.col("g_sha")), "left_anti")
+    return docs.join(small_side(gone, 48), docs["doc_id"].eqNullSafe(gone["g_id"]) & (sha == gone["g_sha"]), "left_anti")

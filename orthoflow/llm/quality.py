@@ -266,13 +266,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("l_id"), "y")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(text_or_empty().alias("text"), "y", "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(text_or_empty().alias("text"), "y", "doc_id")
     got = rows.mapInArrow(_feature_rows, "doc_id bigint, y int, x array<double>").orderBy("doc_id", "y").collect()
     x = np.array([r["x"] for r in got], np.float64).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r["y"] for r in got], np.float64))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text, so a batch of long texts stays within memory."""
     size = np.cumsum(np.diff(flat_bytes(batch.column("text").fill_null(""))[1]))
     lo = 0
