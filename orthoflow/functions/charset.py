@@ -155,17 +155,21 @@ def recapitalise_col(old: Column, new: Column) -> Column:
     return F.when(upper, F.concat(F.upper(F.left(new, F.lit(1))), F.substr(new, F.lit(2)))).otherwise(new)
 
 
-def token_class_col(c: Column, compat_lowercase_letters: bool = False) -> Column:
-    """nonword, acronym, viet or plain, tested in the order of the rules."""
+def letters_class_col(c: Column) -> Column:
+    """acronym, nonword, viet or plain of a word that is known to hold letters only."""
     return (
-        F.when((c == "") | ~is_letters_col(c, compat_lowercase_letters), "nonword")
-        .when((c == F.upper(c)) & (F.length(c) > 1), "acronym")
+        F.when((F.length(c) > 1) & (c == F.upper(c)), "acronym")
         .when(~F.lower(c).rlike(f"[{_ranges(VOWEL_CHARS)}]"), "nonword")
-        .when(c.rlike("[^\\x00-\\x7F]"), "viet")
+        .when(F.octet_length(c) != F.length(c), "viet")
         .otherwise("plain")
     )
 
 
+def token_class_col(c: Column, compat_lowercase_letters: bool = False) -> Column:
+    """nonword, acronym, viet or plain of any string."""
+    return F.when((c == "") | ~is_letters_col(c, compat_lowercase_letters), "nonword").otherwise(letters_class_col(c))
+
+
 def token_class(s: str) -> str:
     if not s or not re.fullmatch(letter_class() + "+", s):
         return "nonword"

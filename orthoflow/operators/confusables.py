@@ -1,16 +1,14 @@
-"""Confusable phrases: 1 to 4 neighbouring words joined to the table, then claimed greedily within each paragraph."""
+"""Confusable phrases: neighbouring words joined to the table, then claimed greedily within each paragraph."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.charset import letter_class, recapitalise_col
+from ..functions.charset import recapitalise_col
 from .edits import claim_phrases_col
 from .tokens import KEY, parts_col
 
-LONGEST = 4
-
 
 def phrase_matches(paras: DataFrame, table: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """keys, pos, n, section, phrase, before, after: the claimed matches of `table` (section, key, value, file_ix).
@@ -27,9 +25,13 @@ def phrase_matches(paras: DataFrame, table: DataFrame, keys: list[str] = KEY) ->
         ok = (F.size(parts) >= i + (2 * n - 1)) & F.forall(gaps, lambda g: g.rlike("^ *$"))
         return F.when(ok, F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(words, " ").alias("phrase"), whole.alias("before")))
 
+    # Grams are made only where a key's first word stands, and of the lengths that keys have.
+    known = table.select("key").collect()
+    lengths = sorted({len(r["key"]) for r in known})
+    opening = sorted({r["key"][0] for r in known})
     rows = paras.select(*keys, parts_col(F.col("text")).alias("parts"))
-    starts = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike("^" + letter_class()), i)), lambda i: i.isNotNull())
-    grams = F.flatten(F.transform(starts, lambda i: F.array(*[gram(i, n) for n in range(1, LONGEST + 1)])))
+    starts = F.filter(F.transform(parts, lambda p, i: F.when(F.lower(p).isin(opening), i)), lambda i: i.isNotNull())
+    grams = F.flatten(F.transform(starts, lambda i: F.array(*[gram(i, n) for n in lengths])))
     rows = rows.select(*keys, F.inline(F.filter(grams, lambda g: g.isNotNull())))
     small = table.select("section", F.array_join("key", " ").alias("phrase"), F.size("key").alias("n"), "value", "file_ix")
     hits = rows.join(F.broadcast(small), ["phrase", "n"]).withColumn("after", recapitalise_col(F.col("before"), F.col("value")))

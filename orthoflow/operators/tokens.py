@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.charset import letter_class, token_class_col
+from ..functions.charset import letter_class, letters_class_col
 
 KEY = ["book_id", "entry_ix", "para_ix"]
 
@@ -34,12 +34,13 @@ def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bo
             F.get(parts, i - 1).alias("gap"), F.get(parts, i + 1).alias("gap_after"),
         ),
     )
-    first = letter_class(compat_lowercase_letters)
-    rows = paras.select(*keys, parts_col(F.col("text"), compat_lowercase_letters).alias("parts"))
-    rows = rows.select(*keys, F.inline(F.filter(near, lambda x: x["tok"].rlike("^" + first))))
+    # Letters and others alternate, so the first part tells which places hold tokens.
+    first = F.when(F.get(parts, F.lit(0)).rlike("^" + letter_class(compat_lowercase_letters)), 0).otherwise(1)
+    rows = paras.select(*keys, parts_col(F.col("text"), compat_lowercase_letters).alias("parts")).select(*keys, "parts", first.alias("first"))
+    rows = rows.select(*keys, F.inline(F.filter(near, lambda x: (x["pos"] % 2) == F.col("first"))))
     return rows.select(
         *keys, F.shiftright("pos", 1).alias("tok_ix"), "pos", "tok", "prev", "next", "gap", "gap_after",
-        token_class_col(F.col("tok"), compat_lowercase_letters).alias("token_class"),
+        letters_class_col(F.col("tok")).alias("token_class"),
     )
 
 
@@ -57,7 +58,7 @@ def bigrams(toks: DataFrame, keys: list[str] = KEY) -> DataFrame:
     pairs = toks.filter((F.col("gap_after") == " ") & F.col("next").isNotNull())
     return pairs.select(
         *keys, "tok_ix", F.col("tok").alias("first"), F.col("next").alias("second"), "prev", "gap",
-        F.col("token_class").alias("first_class"), token_class_col(F.col("next")).alias("second_class"),
+        F.col("token_class").alias("first_class"), letters_class_col(F.col("next")).alias("second_class"),
     )
 
 

@@ -21,6 +21,7 @@ from .functions.tables import CONFUSABLES, TYPOS
 from .operators import confusables, curate, decide, edits, rank, report, stats, tokens
 from .plans.correct import correct
 from .sources import epub, lexicon, xhtml
+from .staging import spread
 from .streaming import rules
 
 KEY = tokens.KEY
@@ -33,7 +34,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,12 @@ class Scratch:
                 self._fs(t._scratch_path, "delete", True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out over all cores if it comes in fewer splits than those, as small tables do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows(df: DataFrame) -> int:
     """How many rows `df` has: known for a scratch table, counted for any other."""
     known = getattr(df, "_scratch_rows", None)
