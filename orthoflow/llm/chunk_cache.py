@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks kept per worker process; beyond it the cache starts afresh. About 50 bytes each.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_500_000
 #: Chunks encoded at a time.
 FRESH_CHUNKS = 32_768
 

@@ -41,7 +41,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("offset", "<u8"), ("si
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 3
 END_ID = 0
 JOINED = 2000  # chunks in one string
-SLICE_BYTES = 4 << 20  # of text encoded at once
+SLICE_BYTES = 8 << 20  # of text encoded at once
 
 
 @functools.cache
@@ -159,7 +159,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary from at most SAMPLE_DOCS documents' first SAMPLE_CHARS characters; raw bytes where too little is there."""
     # Ids alone are ordered; the bounded list of chosen ones then fetches the texts.
     ids = docs.select(F.col("doc_id").alias("s_id")).filter("s_id IS NOT NULL").distinct().orderBy(F.xxhash64("s_id"), "s_id").limit(SAMPLE_DOCS)
-    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
     rows = chosen.select("doc_id", F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id")
     texts = pa.array([r["text"] for r in rows.collect()], pa.string())
     ids, counts = encode_texts(texts, tokenizer_path)
