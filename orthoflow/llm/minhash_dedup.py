@@ -174,7 +174,7 @@ def _first_keys(classes: DataFrame) -> DataFrame:
         for p in range(PER_CHUNK):
             kept = F.col(f"c{i}").bitwiseAND(F.lit(~(0xFFFF << 16 * p) if p < 3 else 0x0000FFFFFFFFFFFF).cast("bigint"))
             keys.append(F.struct(F.lit(i * PER_CHUNK + p).cast("bigint").alias("tag"), kept.alias("key")))
-    return classes.select("cls", F.col("cls").alias("comp"), "n", *_CHUNK, *_LOW, F.inline(F.array(*keys)))
+    return classes.select("cls", "comp", "n", *_CHUNK, *_LOW, F.inline(F.array(*keys)))
 
 
 def _second_keys(rows: DataFrame) -> DataFrame:
@@ -237,31 +237,30 @@ def _hub_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def coarse_edges(classes: DataFrame, scratch: Scratch, heavy_rows: int = HEAVY) -> DataFrame:
     """Edges (a, b) that connect every two classes within the signature distance."""
-    keyed = _first_keys(classes)
+    keyed = _first_keys(classes.withColumn("comp", F.col("cls")))
     light, heavy = _split_heavy(keyed, heavy_rows, scratch)
-    found = [_meet(light)]
-    if heavy is not None:
-        heavy = scratch.table(heavy, "heavy-rows")
-        hubs = scratch.table(_key_hubs(heavy), "key-hubs")
-        beside = heavy.join(small_side(hubs, 80), ["tag", "key"]).select("cls", "n", *_LOW, "hub", "hub_n", *(f"hub_{s}" for s in _LOW))
-        stars = scratch.table(beside.mapInArrow(_hub_edges, "a bigint, b bigint"), "key-stars")
-        found.append(stars)
-        joined = components(stars, scratch).select(F.col("node").alias("cls"), "root")
-        heavy = heavy.drop("comp").join(joined, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        heavy = scratch.table(heavy, "heavy-comps")
-        split = heavy.groupBy("tag", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        split = scratch.table(split.select("tag", "key"), "split-keys")
-    if heavy is not None and rows(split):
+    if heavy is None:
+        return _meet(light).filter("a <> b")
+    heavy = scratch.table(heavy, "heavy-rows")
+    hubs = scratch.table(_key_hubs(heavy), "key-hubs")
+    beside = heavy.join(small_side(hubs, 80), ["tag", "key"]).select("cls", "n", *_LOW, "hub", "hub_n", *(f"hub_{s}" for s in _LOW))
+    stars = scratch.table(beside.mapInArrow(_hub_edges, "a bigint, b bigint"), "key-stars")
+    joined = components(stars, scratch).select(F.col("node").alias("cls"), "root")
+    # From here on only pairs of classes that the hubs have not joined matter, under light keys too.
+    known = scratch.table(classes.join(joined, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "hub-comps")
+    light = _first_keys(known).join(small_side(heavy.select("tag", "key").distinct(), 32), ["tag", "key"], "left_anti")
+    out = stars.unionAll(_meet(light))
+    heavy = heavy.drop("comp").join(known.select("cls", "comp"), "cls")
+    split = heavy.groupBy("tag", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    split = scratch.table(split.select("tag", "key"), "split-keys")
+    if rows(split):
         second = scratch.table(_second_keys(heavy.join(small_side(split, 32), ["tag", "key"], "left_semi")), "second")
         light, heavy = _split_heavy(second, heavy_rows, scratch)
-        found.append(_meet(light))
+        out = out.unionAll(_meet(light))
         if heavy is not None:  # five symbols alike in thousands of classes: one coarse group, left to the exact step
             heavy = scratch.table(heavy.select("tag", "key", "cls"), "third")
             firsts = heavy.groupBy("tag", "key").agg(F.min("cls").alias("a"))
-            found.append(heavy.join(firsts, ["tag", "key"]).select("a", F.col("cls").alias("b")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
+            out = out.unionAll(heavy.join(firsts, ["tag", "key"]).select("a", F.col("cls").alias("b")))
     return out.filter("a <> b")
 
 
@@ -487,4 +486,4 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     gone = near_groups(docs, words).filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
     gone = scratch.table(gone, "dropped")
     th = F.xxhash64(text_or_empty())
-    return docs.join(small_side(gone, 32), F.col("doc_id").eqNullSafe(F.col("g_id")) & (th == F.col("g_th")), "left_anti")
+    return docs.join(small_side(gone, 32), docs["doc_id"].eqNullSafe(gone["g_id"]) & (th == gone["g_th"]), "left_anti")

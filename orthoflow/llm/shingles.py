@@ -83,7 +83,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mix(least) >> U(48)).astype(np.uint16)
 
 
-def text_slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of its `text` (no nulls), so long texts stay within memory."""
     size = np.cumsum(np.diff(flat_bytes(batch.column("text"))[1]))
     lo = 0
