@@ -8,9 +8,10 @@ with probability below 1e-4; nearer pairs far less.
 
 1. Texts with equal shingle sets are one class (128-bit set fingerprint), so copies cost one row from here on.
 2. Classes that meet under a key and lie within the signature distance form coarse groups. A key with more than
-   `HEAVY` classes first has its classes compared with its hub, the middle of a sample; where that makes them one
-   component, the key is done. Else it is refined: the other 7 chunks hold at most 15 errors, so one of them has at
-   most 2, and the pair also meets under that chunk's 2 remaining symbols. Keys yield spanning forests, not pairs.
+   `HEAVY` classes first has its classes compared with its hub, the middle of a sample. Up to `ASKED` classes that this
+   does not join to the hub are compared with all of the key, in blocks. A key with more of them is refined: the other 7
+   chunks hold at most 15 errors, so one of them has at most 2, and a pair also meets under that chunk's 2 remaining
+   symbols. Keys yield spanning forests, not pairs.
 3. Full sets of grouped classes only are rebuilt from the texts, and each coarse group is confirmed exactly. A
    group above `GROUP` classes is not gathered in one task: its members are compared with a few hubs, wherever they
    are; those not linked to the main hub's links (the query set) are then compared with all members of a similar
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, rows, small_side, text_or_empty
+from ._shared import BROADCAST_BYTES, Scratch, rows, small_side, text_or_empty
 from .components import components
 from .shingles import U, shingle_sets, signature, stream, text_slices
 
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 15
 PER_CHUNK = SYMBOLS // CHUNKS
-HEAVY, GROUP, HUBS, BLOCK = 1000, 1500, 4, 500
+HEAVY, GROUP, HUBS, BLOCK, ASKED = 1000, 1500, 4, 500, 256
 _A, _B = stream(SYMBOLS, 2) | U(1), stream(SYMBOLS, 3)
 _F1, _F2 = stream(2, 4)
 
@@ -250,20 +251,51 @@ def coarse_edges(classes: DataFrame, scratch: Scratch, heavy_rows: int = HEAVY)
     known = scratch.table(classes.join(joined, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "hub-comps")
     light = _first_keys(known).join(small_side(heavy.select("tag", "key").distinct(), 32), ["tag", "key"], "left_anti")
     out = stars.unionAll(_meet(light))
-    heavy = heavy.drop("comp").join(known.select("cls", "comp"), "cls")
-    split = heavy.groupBy("tag", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    split = scratch.table(split.select("tag", "key"), "split-keys")
-    if rows(split):
-        second = scratch.table(_second_keys(heavy.join(small_side(split, 32), ["tag", "key"], "left_semi")), "second")
-        light, heavy = _split_heavy(second, heavy_rows, scratch)
+    heavy = scratch.table(heavy.drop("comp").join(known.select("cls", "comp"), "cls"), "heavy-comps")
+    main = hubs.join(known.select(F.col("cls").alias("hub"), F.col("comp").alias("main")), "hub").select("tag", "key", "main")
+    main = scratch.table(main, "main")
+    odd = scratch.table(heavy.join(small_side(main, 48), ["tag", "key"]).filter("comp <> main").drop("main"), "odd")
+    if not rows(odd):
+        return out.filter("a <> b")
+    size = heavy.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("all"))
+    plan = odd.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("asked")).join(size, ["tag", "key"])
+    plan = scratch.table(plan.withColumn("salts", F.ceil(F.col("all") / heavy_rows).cast("int")), "plan")
+    few, many = plan.filter(F.col("asked") <= ASKED).select("tag", "key", "salts"), plan.filter(F.col("asked") > ASKED).select("tag", "key")
+    cell = ["tag", "key", "salt"]
+    salts = F.sequence(F.lit(0), F.col("salts") - 1)
+    few = F.broadcast(few) if rows(plan) * 48 <= BROADCAST_BYTES else few
+    asks = odd.join(few, ["tag", "key"])
+    asks = asks.select("tag", "key", F.explode(salts).alias("salt"), "cls", "comp", "n", *_LOW, F.lit(True).alias("asks"))
+    told = heavy.join(few, ["tag", "key"])
+    told = told.select("tag", "key", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), "cls", "comp", "n", *_LOW, F.lit(False).alias("asks"))
+    both = asks.unionByName(told).repartition(*cell).sortWithinPartitions(*cell)
+    out = out.unionAll(both.mapInArrow(_ask_edges, "a bigint, b bigint"))
+    left = scratch.table(heavy.join(many, ["tag", "key"], "left_semi"), "left")
+    if rows(left):
+        second = scratch.table(_second_keys(left), "second")
+        light, rest = _split_heavy(second, heavy_rows, scratch)
         out = out.unionAll(_meet(light))
-        if heavy is not None:  # five symbols alike in thousands of classes: one coarse group, left to the exact step
-            heavy = scratch.table(heavy.select("tag", "key", "cls"), "third")
-            firsts = heavy.groupBy("tag", "key").agg(F.min("cls").alias("a"))
-            out = out.unionAll(heavy.join(firsts, ["tag", "key"]).select("a", F.col("cls").alias("b")))
+        if rest is not None:  # five symbols alike in thousands of classes: one coarse group, left to the exact step
+            comps = scratch.table(rest.select("tag", "key", "comp").distinct(), "third")
+            firsts = comps.groupBy("tag", "key").agg(F.min("comp").alias("a"))
+            out = out.unionAll(comps.join(firsts, ["tag", "key"]).select("a", F.col("comp").alias("b")))
     return out.filter("a <> b")
 
 
+def _ask_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of a heavy key to the edges between the classes that ask and those told, not of one component yet."""
+    forest = _Forest()
+    for run in _runs(batches, ["tag", "key", "salt"]):
+        cls, comp, n, asks = (run.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "comp", "n", "asks"))
+        low = np.ascontiguousarray(np.stack([run.column(s).to_numpy() for s in _LOW], 1)).view(np.uint8)
+        pairs = []
+        for i in np.flatnonzero(asks):
+            near = np.flatnonzero((comp != comp[i]) & _sizes_fit(n, n[i]))
+            near = near[_far(low[near], low[i]) <= ERRORS]
+            pairs += [(int(cls[i]), int(cls[j])) for j in near]
+        yield _edge_batch([p for p in pairs if forest.new(*p)])
+
+
 class _Sets:
     """Sets of one gathered group in one array, for counting one set's intersections with all others at once."""
 
