@@ -43,6 +43,11 @@ def book_summary(paragraphs: DataFrame, edits: DataFrame, open_cases: DataFrame,
     return joined.na.fill(0, ["n_edits", "n_errors", "n_doubtful", "n_open", "n_old", "n_new"])
 
 
+def scorer_calls(cases: DataFrame) -> DataFrame:
+    """(book_id, n_calls): texts that a scorer is asked for, the original and every candidate of each case without evidence."""
+    return cases.filter("evidence = 'none'").groupBy("book_id").agg(F.sum(F.size("cands") + 1).alias("n_calls"))
+
+
 def visible(s: str) -> str:
     """Spaces, line ends and invisible characters made visible."""
     if not s:

@@ -544,6 +544,12 @@ def agg10_book_totals(spark, sf_dir):
     return report.book_summary(paras, none, cases, style).select("book_id", "n_files", "n_paragraphs", "n_chars")
 
 
+@query("SELECT 'b1' AS book_id, 8::BIGINT AS n_calls")
+def agg14_scorer_calls(spark, sf_dir):
+    df = spark.createDataFrame(_OPEN, "book_id string, before string, cands string").withColumn("cands", F.split("cands", r"\|"))
+    return report.scorer_calls(df.withColumn("evidence", F.lit("none")))
+
+
 @query()
 def snk4_book_summary(spark, sf_dir):
     c = _fixture_correction(spark)
