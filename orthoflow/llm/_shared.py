@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import BROADCAST_BYTES, Scratch, rows, scratch_root, small_side
+from ..staging import BROADCAST_BYTES, Scratch, rows, scratch_root, small_side, spread
 
-__all__ = ["BROADCAST_BYTES", "LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "read", "rows", "scratch_root", "small_side", "text_or_empty"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "read", "rows", "scratch_root", "small_side", "spread", "text_or_empty"]
 
 #: `[\x20\x09-\x0D]`, the white space that the operators strip and split on.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,4 +23,4 @@ def ascii_lower(col):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_BYTES, Scratch, rows, small_side, text_or_empty
+from .chunk_cache import release_memory
 from .components import components
 from .shingles import U, shingle_sets, signature, stream, text_slices
 
@@ -65,6 +66,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             columns = [part.column("doc_id"), part.column("th"), pa.array(n), *(pa.array(x.view(np.int64)) for x in prints)]
             columns += [pa.array(np.ascontiguousarray(x)) for x in (*chunks.T, *low.T)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "f1", "f2", *_CHUNK, *_LOW])
+    release_memory()
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:

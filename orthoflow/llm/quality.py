@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import text_or_empty
-from .chunk_cache import flat_bytes
+from .chunk_cache import flat_bytes, release_memory
 
 #: The most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -288,6 +288,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = features(part.column("text"))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), lists], ["doc_id", "y", "x"])
+    release_memory()
 
 
 def score(docs: DataFrame, model: GamModel, threshold: float = 0.3) -> DataFrame:
@@ -304,6 +305,7 @@ def score(docs: DataFrame, model: GamModel, threshold: float = 0.3) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
                 )
+        release_memory()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
@@ -317,5 +319,6 @@ def keep_good(docs: DataFrame, model: GamModel, threshold: float = 0.3) -> DataF
             for part in _slices(batch):
                 x = features(part.column("text").fill_null(""))
                 yield part.filter(pa.array(model.scores(x) >= threshold))
+        release_memory()
 
     return docs.mapInArrow(run, schema)
