@@ -34,15 +34,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def line_totals(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n_docs, first): line keys found in at least `min_docs` rows, and the first (doc_id, th) of each."""
+    """(h1, h2, n_docs, first_id): line keys found in at least `min_docs` rows, and the least doc_id of each (null: all are)."""
     keys = F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.length(k) >= min_chars)
     hashes = F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))
     once = _rows(docs).select("doc_id", "th", F.explode(F.array_distinct(hashes)).alias("h"))
     salted = once.groupBy(
         F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), F.pmod(F.col("th"), F.lit(SALTS)).alias("salt")
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
-    ranged = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first")
-    totals = ranged.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    ranged = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first_id")
+    totals = ranged.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id"))
     return totals.filter(F.col("n_docs") >= min_docs)
 
 
@@ -64,10 +64,11 @@ def drop_bitmaps(
     )
     hit = hashed.join(small_side(totals, 48), ["h1", "h2"])
     if keep == "first":
-        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+        own = F.col("doc_id").eqNullSafe(F.col("first_id"))
         hit = scratch.table(hit.select("h1", "h2", "doc_id", "th", "pos", own.alias("own")), "hits")
-        firsts = hit.filter("own").groupBy("h1", "h2").agg(F.min("pos").alias("first_pos"))
-        hit = hit.join(firsts, ["h1", "h2"]).filter(~F.col("own") | (F.col("pos") > F.col("first_pos")))
+        firsts = hit.filter("own").groupBy("h1", "h2").agg(F.min(F.struct("th", "pos")).alias("first"))
+        kept = F.col("own") & (F.struct("th", "pos") == F.col("first"))
+        hit = hit.join(firsts, ["h1", "h2"]).filter(~kept)
     word, bit = F.shiftright("pos", 6), F.expr("shiftleft(1L, pos & 63)")
     words = hit.groupBy("doc_id", "th", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     per_doc = words.groupBy("doc_id", "th").agg(
