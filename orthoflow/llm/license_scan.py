@@ -126,65 +126,100 @@ class TemplateIndex:
         return [(int(self.of[e]), p, int(self.at[e])) for p, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist(), strict=True) for e in range(a, b)]
 
 
+def least_matched(length: int, min_coverage: float) -> int:
+    """The fewest matched words, one at least, that make `min_coverage` of a template of `length` words."""
+    return next((m for m in range(1, length + 1) if m >= min_coverage * length), length + 1)
+
+
+def _ends(doc: np.ndarray, template: np.ndarray, low: int, high: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(score, matched, start, stop) of the best local alignment that ends at each doc word, of those that match `need` words or more.
+
+    Only cells with low <= doc position - template position <= high count. A cell is one integer: score, matched, start.
+    """
+    low, high = max(low, -len(template)), min(high, len(doc) - 1)
+    if low > high or not len(doc):
+        return (np.zeros(0, np.int64),) * 4
+    width = high - low + 1
+    start_bits, matched_bits = len(doc).bit_length(), len(template).bit_length()
+    one, point = 1 << start_bits, 1 << start_bits + matched_bits
+    steps = np.arange(width) * -GAP * point
+    padded = np.zeros(len(template) + width, np.uint64)
+    at = np.arange(len(padded)) + low
+    inside = (at >= 0) & (at < len(doc))
+    padded[inside] = doc[at[inside]]
+    best = np.zeros(len(padded), np.int64)
+    above = np.zeros(width + 1, np.int64)
+    for t, word in enumerate(template):
+        here, is_doc = at[t : t + width], inside[t : t + width]
+        diagonal = above[:-1]
+        begun = diagonal + MATCH * point + one + np.where(diagonal > 0, 0, here)
+        row = np.where(padded[t : t + width] == word, begun, diagonal + MISMATCH * point)
+        row = np.where(is_doc, np.maximum(row, above[1:] + GAP * point), 0)
+        row = np.maximum.accumulate(row + steps) - steps
+        row[(row < point) | ~is_doc] = 0
+        above[:-1] = row
+        best[t : t + width] = np.maximum(best[t : t + width], np.where((row >> start_bits) % (point // one) >= need, row, 0))
+    ends = np.flatnonzero(best)
+    cells = best[ends]
+    return cells // point, (cells >> start_bits) % (point // one), cells % one, at[ends] + 1
+
+
 def align(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment with low <= doc position - template position <= high: (matched words, start, stop in doc)."""
-    width = high - low + 1
-    # Each cell: (score, matched, start); the best ends with the most matched words of the highest score.
-    empty = (0, 0, -1)
-    above = [empty] * (width + 2)
-    best = (0, 0, 0, 0)
-    doc_words = doc.tolist()
-    for t, word in enumerate(template.tolist()):
-        row = [empty] * (width + 2)
-        for d in range(1, width + 1):
-            i = t + low + d - 1
-            if not 0 <= i < len(doc_words):
-                continue
-            score, matched, start = above[d]
-            if doc_words[i] == word:
-                cell = (score + MATCH, matched + 1, start if start >= 0 else i)
-            else:
-                cell = (score + MISMATCH, matched, start)
-            for s, m, b in (above[d + 1], row[d - 1]):
-                if (s + GAP, m) > cell[:2]:
-                    cell = (s + GAP, m, b)
-            if cell[0] <= 0:
-                cell = empty
-            row[d] = cell
-            if cell[:2] > best[:2]:
-                best = (cell[0], cell[1], cell[2], i + 1)
-        above = row
-    return best[1], best[2], best[3]
+    score, matched, start, stop = _ends(doc, template, low, high, 1)
+    if not len(score):
+        return 0, 0, 0
+    first = np.lexsort((stop, -matched, -score))[0]
+    return int(matched[first]), int(start[first]), int(stop[first])
+
+
+def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, need: int) -> list[tuple[int, int, int]]:
+    """Disjoint local alignments that match `need` words or more, the best first: (matched words, start, stop in doc)."""
+    score, matched, start, stop = _ends(doc, template, low, high, need)
+    taken = np.zeros(len(doc), bool)
+    out = []
+    for e in np.lexsort((stop, -matched, -score)).tolist():
+        a, b = int(start[e]), int(stop[e])
+        if not taken[a:b].any():
+            taken[a:b] = True
+            out.append((int(matched[e]), a, b))
+    return out
 
 
 def scan_words(doc: np.ndarray, hits: list[tuple[int, int, int]], index: TemplateIndex, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, start word, stop word) of one document's matches, overlaps resolved.
 
-    Of overlapping matches the one with more matched words stays, then the earlier, then the earlier template.
+    Of overlapping matches the one with more matched words stays, then the earlier, then the earlier template. What the
+    accepted matches leave of a region is aligned again, until nothing in it reaches `min_coverage`.
     """
-    found = set()
-    by_template: dict[int, list[tuple[int, int]]] = {}
+    by_template: dict[int, set[int]] = {}
     for t, p, q in hits:
-        by_template.setdefault(t, []).append((p - q, p))
-    for t, places in by_template.items():
-        template = index.words[t]
-        places.sort()
-        region = [places[0]]
-        for place in [*places[1:], None]:
-            if place is not None and place[0] - region[-1][0] <= BAND:
-                region.append(place)
-                continue
-            low, high = region[0][0] - BAND, region[-1][0] + BAND
-            # Diagonals of far repeats chain only while each step is within the band.
-            at = max(0, low)
-            matched, start, stop = align(doc[at : high + len(template) + 1], template, low - at, high - at)
-            if matched >= min_coverage * len(template):
-                found.add((t, matched, start + at, stop + at))
-            region = [place]
+        by_template.setdefault(t, set()).add(p - q)
+    parts = []
+    for t, diagonals in by_template.items():
+        places = np.sort(np.fromiter(diagonals, np.int64))
+        cuts = np.flatnonzero(np.diff(places) > BAND)
+        for low, high in zip(places[np.r_[0, cuts + 1]].tolist(), places[np.r_[cuts, -1]].tolist(), strict=True):
+            low, high = low - BAND, high + BAND
+            parts.append((t, low, high, max(0, low), min(len(doc), high + len(index.words[t]))))
     out: list[tuple[int, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[1], m[2], m[0])):
-        if all(m[3] <= o[2] or o[3] <= m[2] for o in out):
-            out.append(m)
+    taken = np.zeros(len(doc) + 1, bool)
+    while parts:
+        found, fertile = set(), []
+        for t, low, high, a, b in parts:
+            need = least_matched(len(index.words[t]), min_coverage)
+            here = align_all(doc[a:b], index.words[t], low - a, high - a, need) if b - a >= need else []
+            if here:
+                fertile.append((t, low, high, a, b))
+                found.update((t, matched, start + a, stop + a) for matched, start, stop in here)
+        for m in sorted(found, key=lambda m: (-m[1], m[2], m[0])):
+            if not taken[m[2] : m[3]].any():
+                taken[m[2] : m[3]] = True
+                out.append(m)
+        parts = []
+        for t, low, high, a, b in fertile:
+            edges = np.flatnonzero(np.diff(np.r_[True, taken[a:b], True])).reshape(-1, 2)
+            parts += [(t, low, high, a + lo, a + hi) for lo, hi in edges.tolist()]
     return sorted(out, key=lambda m: m[2])
 
 

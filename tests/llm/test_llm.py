@@ -414,6 +414,31 @@ def test_license_scan(spark):
     assert [texts[1][r["start"] : r["stop"]] for r in got if r["doc_id"] == 1] == ["Released under the MIT License"]
 
 
+def license_rows(text):
+    """(license, matched, coverage, span) of one text's matches, without Spark."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    words, starts, stops, _, _ = license_scan._words(pa.array([text]))
+    hits = index.hits(license_scan._grams(words))
+    found = license_scan.scan_words(words, hits, index, license_scan.MIN_COVERAGE)
+    raw = text.encode()
+    return [(index.names[t], m, m / len(index.words[t]), raw[starts[a] : stops[b - 1]].decode()) for t, m, a, b in found]
+
+
+@pytest.mark.parametrize("times", [2, 3, 100])
+@pytest.mark.parametrize(("name", "which"), [(n, i) for n, texts in license_scan.TEMPLATES.items() for i in range(len(texts))])
+def test_license_scan_finds_adjacent_repeats(name, which, times):
+    text = license_scan.TEMPLATES[name][which]
+    got = license_rows("\n".join([text] * times))
+    whole = license_rows(text)
+    assert len(whole) == 1 and got == whole * times
+
+
+def test_license_scan_rescans_what_another_template_leaves():
+    apache, rights = license_scan.TEMPLATES["Apache-2.0"], license_scan.TEMPLATES["proprietary"][0]
+    got = license_rows(" ".join([rights, apache[0], apache[1], apache[0], rights, rights]))
+    assert [(n, m) for n, m, _, _ in got] == [("proprietary", 3), ("Apache-2.0", 8), ("Apache-2.0", len(license_scan._words(pa.array([apache[1]]))[0])), ("Apache-2.0", 8)] + [("proprietary", 3)] * 2
+
+
 # --- 8 ---
 
 
