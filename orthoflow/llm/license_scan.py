@@ -2,14 +2,18 @@
 
 Templates are cut into words (runs of letters and digits, lower-cased) and their K-word hashes are winnowed: of each
 window of W successive hashes the least is a fingerprint, kept in an inverted index of (hash, template, position).
-Any K + W - 1 successive words shared with a template therefore hit its index. A document's K-word hashes are probed all
-at once; hits of a template on near diagonals are one candidate region, and a local alignment in a band around
-those diagonals gives matched words, coverage and the span. The index is as small as the template set and goes to
-every task; documents are scanned in one pass without a shuffle.
+Any K + W - 1 successive words shared with a template therefore hit its index. Scattered changes can leave no K words in
+succession, so the index also holds single words, the anchors: of a template of n words, a match that may miss m of them has
+one of any m + 1; the m + 1 that look rarest are anchors. A document's hashes are probed all at once; hits of a
+template on near diagonals are one candidate region, and a local alignment in a band around those diagonals gives matched
+words, coverage and the span. The band is as wide as an alignment with a positive score can stray, so it loses nothing:
+a match is found as without a band and an index. The index is as small as the template set and goes to every task; documents
+are scanned in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -97,15 +101,32 @@ def winnow(grams: np.ndarray, window: int = W) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], 1))
 
 
+def least_matched(length: int, min_coverage: float) -> int:
+    """The fewest matched words, one at least, that make `min_coverage` of a template of `length` words."""
+    return next((m for m in range(1, length + 1) if m >= min_coverage * length), length + 1)
+
+
+def reach(length: int, need: int) -> int:
+    """How many diagonals an alignment with a positive score that matches `need` of `length` words can lie from any of its words.
+
+    At most length - need template words are skipped; skipped document words cost a gap each, a match pays for MATCH of them.
+    """
+    return max(BAND, length - need + MATCH * length)
+
+
 class TemplateIndex:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, and of their anchors for matches of `min_coverage`."""
 
-    def __init__(self, templates: Mapping[str, list[str]]):
-        self.names, self.words = [], []
+    def __init__(self, templates: Mapping[str, list[str]], min_coverage: float = MIN_COVERAGE):
+        self.names, self.words, self.need = [], [], []
         hashes, of, at = [], [], []
+        spread: Counter[int] = Counter()
+        letters: dict[int, int] = {}
         for name, texts in templates.items():
             for text in texts:
-                words = _words(pa.array([text]))[0]
+                words, starts, stops, _, _ = _words(pa.array([text]))
+                spread.update(set(words.tolist()))
+                letters.update(zip(words.tolist(), (stops - starts).tolist(), strict=True))
                 grams = _grams(words)
                 picked = winnow(grams)
                 if not len(picked):
@@ -115,20 +136,41 @@ class TemplateIndex:
                 at.append(picked)
                 self.names.append(name)
                 self.words.append(words)
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.hashes, self.of, self.at = (np.concatenate(x)[order] for x in (hashes, of, at))
+                self.need.append(least_matched(len(words), min_coverage))
+        self.fingerprints = self._sorted(hashes, of, at)
+        hashes, of, at = [], [], []
+        for t, words in enumerate(self.words):
+            # A guess at what is rare: long words that few templates share. Only speed depends on it.
+            rarest = sorted(range(len(words)), key=lambda q: (spread[int(words[q])] / letters[int(words[q])], q))
+            picked = np.array(rarest[: len(words) - self.need[t] + 1], np.int64)
+            hashes.append(words[picked])
+            of.append(np.full(len(picked), t))
+            at.append(picked)
+        self.anchors = self._sorted(hashes, of, at)
+
+    @staticmethod
+    def _sorted(*columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        hashes, of, at = (np.concatenate(x) for x in columns)
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], of[order], at[order]
+
+    @staticmethod
+    def _probe(table: tuple[np.ndarray, ...], keys: np.ndarray) -> list[tuple[int, int, int]]:
+        hashes, of, at = table
+        if not len(hashes):
+            return []
+        lo = np.searchsorted(hashes, keys)
+        found = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == keys)
+        hi = np.searchsorted(hashes, keys[found], side="right")
+        return [(int(of[e]), p, int(at[e])) for p, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist(), strict=True) for e in range(a, b)]
 
     def hits(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, gram position, template position) of all grams that are fingerprints."""
-        lo = np.searchsorted(self.hashes, grams)
-        found = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == grams)
-        hi = np.searchsorted(self.hashes, grams[found], side="right")
-        return [(int(self.of[e]), p, int(self.at[e])) for p, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist(), strict=True) for e in range(a, b)]
-
+        return self._probe(self.fingerprints, grams)
 
-def least_matched(length: int, min_coverage: float) -> int:
-    """The fewest matched words, one at least, that make `min_coverage` of a template of `length` words."""
-    return next((m for m in range(1, length + 1) if m >= min_coverage * length), length + 1)
+    def anchor_hits(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, word position, template position) of all words that are anchors."""
+        return self._probe(self.anchors, words)
 
 
 def _ends(doc: np.ndarray, template: np.ndarray, low: int, high: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,11 +228,11 @@ def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, need:
     return out
 
 
-def scan_words(doc: np.ndarray, hits: list[tuple[int, int, int]], index: TemplateIndex, min_coverage: float) -> list[tuple[int, int, int, int]]:
+def scan_words(doc: np.ndarray, hits: list[tuple[int, int, int]], index: TemplateIndex) -> list[tuple[int, int, int, int]]:
     """(template, matched words, start word, stop word) of one document's matches, overlaps resolved.
 
     Of overlapping matches the one with more matched words stays, then the earlier, then the earlier template. What the
-    accepted matches leave of a region is aligned again, until nothing in it reaches `min_coverage`.
+    accepted matches leave of a region is aligned again, until nothing in it reaches the index's coverage.
     """
     by_template: dict[int, set[int]] = {}
     for t, p, q in hits:
@@ -198,16 +240,20 @@ def scan_words(doc: np.ndarray, hits: list[tuple[int, int, int]], index: Templat
     parts = []
     for t, diagonals in by_template.items():
         places = np.sort(np.fromiter(diagonals, np.int64))
-        cuts = np.flatnonzero(np.diff(places) > BAND)
+        words, need = index.words[t], index.need[t]
+        far = reach(len(words), need)
+        cuts = np.flatnonzero(np.diff(places) > far)
         for low, high in zip(places[np.r_[0, cuts + 1]].tolist(), places[np.r_[cuts, -1]].tolist(), strict=True):
-            low, high = low - BAND, high + BAND
-            parts.append((t, low, high, max(0, low), min(len(doc), high + len(index.words[t]))))
+            low, high = low - far, high + far
+            a, b = max(0, low), min(len(doc), high + len(words))
+            if np.count_nonzero(np.isin(words, doc[a:b])) >= need:
+                parts.append((t, low, high, a, b))
     out: list[tuple[int, int, int, int]] = []
     taken = np.zeros(len(doc) + 1, bool)
     while parts:
         found, fertile = set(), []
         for t, low, high, a, b in parts:
-            need = least_matched(len(index.words[t]), min_coverage)
+            need = index.need[t]
             here = align_all(doc[a:b], index.words[t], low - a, high - a, need) if b - a >= need else []
             if here:
                 fertile.append((t, low, high, a, b))
@@ -232,7 +278,7 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, min_co
     schema = "doc_id bigint, license string, matched int, coverage double, start int, stop int"
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
     names = ["doc_id", "license", "matched", "coverage", "start", "stop"]
-    index = TemplateIndex(templates)
+    index = TemplateIndex(templates, min_coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in text_slices(b)):
@@ -240,15 +286,16 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, min_co
             raw, _ = flat_bytes(part.column("text"))
             grams = _grams(words)
             hits: dict[int, list] = {}
-            for t, p, q in index.hits(grams):
-                doc = int(np.searchsorted(edges, p, side="right")) - 1
-                if p + K <= edges[doc + 1]:
-                    hits.setdefault(doc, []).append((t, p - int(edges[doc]), q))
+            for found, size in ((index.hits(grams), K), (index.anchor_hits(words), 1)):
+                for t, p, q in found:
+                    doc = int(np.searchsorted(edges, p, side="right")) - 1
+                    if p + size <= edges[doc + 1]:
+                        hits.setdefault(doc, []).append((t, p - int(edges[doc]), q))
             rows = []
             ids = part.column("doc_id")
             for doc, mine in hits.items():
                 lo, hi = int(edges[doc]), int(edges[doc + 1])
-                for t, matched, a, b in scan_words(words[lo:hi], mine, index, min_coverage):
+                for t, matched, a, b in scan_words(words[lo:hi], mine, index):
                     base, first, last = int(ends[doc]), int(starts[lo + a]), int(stops[lo + b - 1])
                     start = len(raw[base:first].tobytes().decode("utf-8", "replace"))
                     stop = start + len(raw[first:last].tobytes().decode("utf-8", "replace"))

@@ -418,8 +418,8 @@ def license_rows(text):
     """(license, matched, coverage, span) of one text's matches, without Spark."""
     index = license_scan.TemplateIndex(license_scan.TEMPLATES)
     words, starts, stops, _, _ = license_scan._words(pa.array([text]))
-    hits = index.hits(license_scan._grams(words))
-    found = license_scan.scan_words(words, hits, index, license_scan.MIN_COVERAGE)
+    hits = index.hits(license_scan._grams(words)) + index.anchor_hits(words)
+    found = license_scan.scan_words(words, hits, index)
     raw = text.encode()
     return [(index.names[t], m, m / len(index.words[t]), raw[starts[a] : stops[b - 1]].decode()) for t, m, a, b in found]
 
@@ -439,6 +439,44 @@ def test_license_scan_rescans_what_another_template_leaves():
     assert [(n, m) for n, m, _, _ in got] == [("proprietary", 3), ("Apache-2.0", 8), ("Apache-2.0", len(license_scan._words(pa.array([apache[1]]))[0])), ("Apache-2.0", 8)] + [("proprietary", 3)] * 2
 
 
+@pytest.mark.parametrize("many", [9, 11, 13])
+def test_license_scan_bridges_missing_and_inserted_words(many):
+    mit = license_scan.TEMPLATES["MIT"][1].replace("and/or", "and or").split()
+    middle = len(mit) // 2
+    missing = " ".join(mit[: middle - many // 2] + mit[middle - many // 2 + many :])
+    inserted = " ".join([*mit[:middle], *(f"holder{i}" for i in range(many)), *mit[middle:]])
+    assert [(n, m, s) for n, m, _, s in license_rows(missing)] == [("MIT", len(mit) - many, missing.rstrip(":"))]
+    assert [(n, m, s) for n, m, _, s in license_rows(inserted)] == [("MIT", len(mit), inserted.rstrip(":"))]
+
+
+@pytest.mark.parametrize("text", ["Released under MIT License", "Released under an MIT License", "Released under our the very MIT fine License", "licensed CC BY own NC 4.0"])
+def test_license_scan_finds_short_notices_without_a_shared_run(text):
+    got = license_rows(f"before {text} after")
+    assert len(got) == 1 and got[0][2] >= license_scan.MIN_COVERAGE and text.endswith(got[0][3][-3:])
+
+
+def test_license_scan_equals_unbanded_alignment():
+    """Whatever is changed, a match is reported exactly where an alignment over the whole text, without index and band, has one."""
+    r = random.Random(9)
+    seen = Counter()
+    for _ in range(300):
+        n = r.randrange(3, 40)
+        template = [f"w{r.randrange(25)}" for _ in range(n)]
+        index = license_scan.TemplateIndex({"t": [" ".join(template)]})
+        doc = list(template)
+        for _ in range(r.randrange(0, 4)):
+            at, many = r.randrange(len(doc) + 1), r.randrange(1, 2 + n // 3)
+            r.choice([lambda: doc.__delitem__(slice(at, at + max(1, many // 3))), lambda: doc.__setitem__(slice(at, at), [f"x{i}" for i in range(many)])])()
+        text = " ".join([f"y{i}" for i in range(r.randrange(60))] + doc + [f"z{i}" for i in range(r.randrange(60))])
+        words = license_scan._words(pa.array([text]))[0]
+        whole = license_scan.align_all(words, index.words[0], -len(words) - n, len(words) + n, index.need[0])
+        hits = index.hits(license_scan._grams(words)) + index.anchor_hits(words)
+        got = license_scan.scan_words(words, hits, index)
+        assert [g[1:] for g in got[:1]] == whole[:1] and len(whole) <= 1
+        seen[len(got)] += 1
+    assert min(seen[0], seen[1]) > 20
+
+
 # --- 8 ---
 
 
