@@ -63,7 +63,8 @@ def _layered(paras: DataFrame, style: DataFrame, options: Options) -> DataFrame:
     """keys, text_before, text, edits, doubtful after layers 1 to 6."""
     table = confusable_rows()
     styled = paras.join(small_side(style.select("book_id", "style"), 64), "book_id", "left")
-    schema = f"book_id string, entry_ix int, para_ix int, text_before string, text string, edits array<{_EDIT}>, doubtful array<{_EDIT}>"
+    keys = ", ".join(f"{k} {styled.schema[k].dataType.simpleString()}" for k in KEY)
+    schema = f"{keys}, text_before string, text string, edits array<{_EDIT}>, doubtful array<{_EDIT}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("layer", "start", "end")] + [(n, pa.string()) for n in ("before", "after", "kind", "certainty", "reason")]))

@@ -1,8 +1,8 @@
 """One query per operator over the driver's tables, and SQL for DuckDB where SQL can say it.
 
 Texts are the lines of all `documents`, as paragraphs of the book that their source names, with the Vietnamese fixture
-paragraphs beside them: the documents hold no Vietnamese. Correction itself, which only makes sense on
-Vietnamese, runs over the fixture books; its rules run over all lines.
+paragraphs beside them: the documents hold no Vietnamese. Correction, its candidates and its ranking run over all of
+them too; the reports with SQL (agg7, agg8, agg9, agg14) have the rows that their SQL spells out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .functions.tables import CONFUSABLES, TYPOS
 from .operators import confusables, curate, decide, edits, rank, report, stats, tokens
 from .plans.correct import correct
 from .sources import epub, lexicon, xhtml
-from .staging import spread
+from .staging import Scratch, spread
 from .streaming import rules
 
 KEY = tokens.KEY
@@ -330,60 +330,68 @@ def src10_json_text(spark, sf_dir):
 _TOKENS = "khôngg phảii mộtt ẩnh đnag khôgn đing lưư măy thuơng Duơng chúg nhưmg cẳu hoat Phúlần củangười khôngbiết erằng ngồiở việcc cuốic".split()
 
 
-def _made(spark):
-    df = spark.createDataFrame([(t,) for t in _TOKENS], "tok string")
-    return rank.candidate_table(df, fixtures.syllables(spark), fixtures.compounds(spark))
+def _found(spark, toks):
+    """Suspicious tokens of all lines, and the listed ones between two words of a book of their own: book_id, tok, prev, next."""
+    lex = fixtures.syllables(spark)
+    found = stats.suspicious(toks, lex, syllable_table(spark), stats.names(toks, lex)).select("book_id", "tok", "prev", "next")
+    return found.unionByName(spark.createDataFrame([("vi", t, "tình", "ta") for t in _TOKENS], "book_id string, tok string, prev string, next string"))
+
+
+def _made(spark, found):
+    return rank.candidate_table(found.select("tok").distinct(), fixtures.syllables(spark), fixtures.compounds(spark))
 
 
 @query()
 def gen3_candidates(spark, sf_dir):
-    return _made(spark).select("tok", F.posexplode("cands").alias("place", "c")).select("tok", "place", "c.cand", "c.cost")
+    return _made(spark, _found(spark, _toks(spark, sf_dir))).select("tok", F.posexplode("cands").alias("place", "c")).select("tok", "place", "c.cand", "c.cost")
 
 
 @query()
 def gen4_splits(spark, sf_dir):
-    return _made(spark).select("tok", F.posexplode("splits").alias("place", "split"))
+    return _made(spark, _found(spark, _toks(spark, sf_dir))).select("tok", F.posexplode("splits").alias("place", "split"))
 
 
-def _fixture_correction(spark, **kw):
-    return correct(fixtures.paragraphs(spark), fixtures.syllables(spark), fixtures.compounds(spark), **kw)
+def _correction(spark, sf_dir, **kw):
+    return correct(paragraphs(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark), **kw)
 
 
 @query()
 def srt1_ranked_candidates(spark, sf_dir):
-    made = _made(spark).withColumn("case_id", F.xxhash64("tok")).withColumn("book_id", F.lit("vi"))
-    made = made.withColumn("prev", F.lit("tình")).withColumn("next", F.lit("ta"))
-    clusters = spark.createDataFrame([("vi", "hỏa dương")], "book_id string, phrase string")
-    used = spark.createDataFrame([("vi", "không")], "book_id string, word string")
-    out = rank.rank_candidates(made, fixtures.syllables(spark), fixtures.compounds(spark), clusters, used, lexicon.typo_table(spark))
+    toks, lex, comps = _toks(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark)
+    found = Scratch(spark, "ranked").table(_found(spark, toks).withColumn("case_id", F.monotonically_increasing_id()), "found")
+    cases = found.join(_made(spark, found), "tok")
+    clusters = stats.name_clusters(toks, lex, comps).select("book_id", "phrase")
+    clusters = clusters.unionByName(spark.createDataFrame([("vi", "hỏa dương")], "book_id string, phrase string"))
+    used = stats.used_words(toks).select("book_id", "word").unionByName(spark.createDataFrame([("vi", "không")], "book_id string, word string"))
+    out = rank.rank_candidates(cases, lex, comps, clusters, used, lexicon.typo_table(spark))
     return out.drop("case_id")
 
 
 @query()
 def dec6_corrected_paragraphs(spark, sf_dir):
-    return _fixture_correction(spark).paragraphs
+    return _correction(spark, sf_dir).paragraphs
 
 
 @query()
 def dec6_edit_log(spark, sf_dir):
-    return _fixture_correction(spark).edits
+    return _correction(spark, sf_dir).edits
 
 
 @query()
 def dec6_open_cases(spark, sf_dir):
-    return _fixture_correction(spark).open
+    return _correction(spark, sf_dir).open
 
 
 @query()
 def dec7_scored_paragraphs(spark, sf_dir):
     scorer = decide.BigramScorer([t for *_, t in fixtures.PARAGRAPHS])
-    return _fixture_correction(spark, scorer=scorer, options=lexicon.Options.with_scoring(False)).paragraphs
+    return _correction(spark, sf_dir, scorer=scorer, options=lexicon.Options.with_scoring(False)).paragraphs
 
 
 @query()
 def dec10_blank_fill_paragraphs(spark, sf_dir):
     scorer = decide.BigramScorer([t for *_, t in fixtures.PARAGRAPHS])
-    return _fixture_correction(spark, scorer=scorer, options=lexicon.Options.with_scoring(True)).paragraphs
+    return _correction(spark, sf_dir, scorer=scorer, options=lexicon.Options.with_scoring(True)).paragraphs
 
 
 # --- Edits ---
@@ -552,7 +560,7 @@ def agg14_scorer_calls(spark, sf_dir):
 
 @query()
 def snk4_book_summary(spark, sf_dir):
-    c = _fixture_correction(spark)
+    c = _correction(spark, sf_dir)
     return report.book_summary(c.paragraphs, c.edits, c.open, c.stats.style)
 
 

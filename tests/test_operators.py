@@ -287,6 +287,27 @@ def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["dec6_corrected_paragraphs", "dec7_scored_paragraphs", "dec10_blank_fill_paragraphs"])
+def test_correction_runs_over_all_lines(spark, name):
+    lines = queries.paragraphs(spark, SF)
+    got = queries.QUERIES[name](spark, SF).select(*tokens.KEY, F.col("text_before").alias("text"))
+    assert got.count() == lines.count() and got.exceptAll(lines).count() == 0
+
+
+def test_correction_results_hold_documents_and_fixtures(spark, fixed):
+    own = {book for book, *_ in fixtures.PARAGRAPHS}
+    log = queries.QUERIES["dec6_edit_log"](spark, SF)
+    assert log.filter(~F.col("book_id").isin(*own)).count() > 0
+    mine = log.filter(F.col("book_id").isin(*own)).collect()
+    assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, map(tuple, fixed.edits.collect())))
+    books_ = {r["book_id"] for r in queries.paragraphs(spark, SF).select("book_id").distinct().collect()}
+    assert {r["book_id"] for r in queries.QUERIES["snk4_book_summary"](spark, SF).collect()} == books_
+    found = {r["word"] for r in queries.QUERIES["flt2_suspicious_words"](spark, SF).collect()}
+    assert found <= {r["tok"].lower() for r in queries.QUERIES["srt1_ranked_candidates"](spark, SF).select("tok").collect()} | {
+        r["tok"].lower() for r in rank.candidate_table(spark.createDataFrame([(w,) for w in found], "tok string"), fixtures.syllables(spark), fixtures.compounds(spark)).filter("size(cands) + size(splits) = 0").collect()
+    }
+
+
 def test_entry(spark):
     import __spark_entry__
 
