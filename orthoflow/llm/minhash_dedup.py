@@ -4,7 +4,7 @@ Signatures have 32 symbols of 16 bits; the distance of two is the number of symb
 split into 8 chunks of 4 symbols. If two signatures differ in at most 15 symbols, some chunk has at most 15 // 8 = 1
 error, so enumerating the allowed error (each symbol of each chunk left out in turn: 32 keys of 3 symbols)
 makes every such pair meet under a key. A pair with Jaccard similarity 0.8 has more than 15 differing symbols
-with probability below 1e-4; nearer pairs far less.
+with probability 1.44e-4, P(Binomial(32, 0.2) >= 16), about one in 7000; nearer pairs less.
 
 1. Texts with equal shingle sets are one class (128-bit set fingerprint), so copies cost one row from here on.
 2. Classes that meet under a key and lie within the signature distance form coarse groups. A key with more than
