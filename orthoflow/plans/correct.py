@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +23,14 @@ from ..staging import Scratch, small_side
 
 _EDIT = "struct<layer:int,start:int,end:int,before:string,after:string,kind:string,certainty:string,reason:string>"
 _ACCENTED = "".join(c for c in VOWEL_CHARS if not c.isascii()) + "đ"
+#: What composition changes though it is no mark: code points with another NFC, and the later jamo of a syllable.
+_COMPOSED = "".join(c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c) + "\u1161-\u1175\u11a8-\u11c2"
+#: Confusable phrases of plain letters only.
+_PLAIN_KEYS = "|".join(sorted({" +".join(k) for _, k, _, _ in confusable_rows() if "".join(k).isascii()}))
 #: A paragraph without any of these cannot be changed by a layer and skips the Python kernel.
 _MAY_CHANGE = (
-    f"[{INVISIBLE}{ODD_SPACES}{_ACCENTED}{_ACCENTED.upper()}]|\\p{{M}}|  |^ | $| [,;:!?…).\\]}}]|[(\\[{{] |[,;:][^ ]|\\p{{IsLowercase}}[.!?]\\p{{IsUppercase}}|\\.{{3}}"
+    (f"(?i:{_PLAIN_KEYS})|" if _PLAIN_KEYS else "") +
+    f"[{INVISIBLE}{ODD_SPACES}{_ACCENTED}{_ACCENTED.upper()}{_COMPOSED}]|\\p{{M}}|  |^ | $| [,;:!?…).\\]}}]|[(\\[{{] |[,;:][^ ]|\\p{{IsLowercase}}[.!?]\\p{{IsUppercase}}|\\.{{3}}"
 )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orthoflow import fixtures, queries
 from orthoflow.functions import layers
 from orthoflow.operators import decide, edits, rank, report, stats, tokens
-from orthoflow.plans.correct import correct
+from orthoflow.plans.correct import _layered, correct
 from orthoflow.sources import epub, lexicon
 from orthoflow.streaming import rules
 
@@ -308,6 +308,16 @@ def test_correction_results_hold_documents_and_fixtures(spark, fixed):
     }
 
 
+def test_lines_that_skip_the_kernel_are_those_it_leaves_alone(spark):
+    lines = ["Anh ta phong thanh di", "PHONG Thanh di", "5 \u212a", "5 \u212b", "a\u037eb", "\uf900", "\u1100\u1161", "\U0002f800", "plain text"]
+    paras = books(spark, [("b", 0, i, t) for i, t in enumerate(lines)])
+    style = spark.createDataFrame([("b", "old")], "book_id string, style string")
+    table = lexicon.confusable_rows()
+    for r in _layered(paras, style, lexicon.Options()).collect():
+        want = layers.run_layers(r["text_before"], False, lexicon.Options(), table)
+        assert (r["text"], len(r["edits"]), len(r["doubtful"])) == (want.text, len(want.edits), len(want.open)), r["text_before"]
+
+
 def test_entry(spark):
     import __spark_entry__
 
