@@ -1,10 +1,10 @@
-"""Line dedup in DataFrame functions only: salted counts, a range-partitioned sorted stream, keep bitmaps.
+"""Line dedup in DataFrame functions only: salted counts, range-partitioned totals, keep bitmaps.
 
 1. Each document's distinct line keys are hashed (128 bits) inside the row, so a document counts once for a
    key without a distinct shuffle.
 2. Keys are counted per (key, salt) first, so a line that stands in a third of all documents never meets in
-   one task. The at most `SALTS` rows that remain of each key are range-partitioned by hash, sorted by
-   (hash, first document) and streamed through a grouped total, which needs no further exchange.
+   one task. The at most `SALTS` rows that remain of each key are range-partitioned by hash and go into a grouped
+   total, which needs no further exchange. First occurrences are found by aggregates and a join, not streamed.
 3. Occurrences of the keys to drop become one sparse bitmap per document: (word, bits) pairs of 64
    positions, only for words with a dropped line. Text takes no part in this.
 
