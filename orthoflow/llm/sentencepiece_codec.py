@@ -3,11 +3,19 @@
 A text is marked: its spaces become U+2581 and one is set ahead. No piece holds a mark after another character or a
 newline, so the best segmentation of a text is that of its marked words (marks and what follows up to the
 next mark or newline), one after another. Distinct marked words are sorted, which lists the leaves of their trie depth-first:
-a word keeps the forward scores of the prefix it shares with the word before it and only goes on from there.
+a word keeps the forward states of the prefix it shares with the word before it and only goes on from there.
 
-The piece table is read as a unigram model: the path with the largest sum of piece scores wins, the longer piece
-among equals. A character without a piece costs the least score less 10, as in the library, and becomes
-its UTF-8 bytes where the model has byte pieces. Models with a normaliser other than identity are refused.
+A forward state is the last piece of the best segmentation of a prefix, and what makes one best is the model's kind:
+
+- unigram: the path with the largest sum of piece scores wins, the longer piece among equals; a character
+  without a piece costs the least score less 10.
+- BPE: a segmentation is the one that merging gives exactly if each two successive pieces, merged alone, stay those two. So of
+  the pieces that end at a place just one goes with the state where it begins, and the search needs no scores of paths.
+
+Both give the library's own ids. A character without a piece becomes its UTF-8 bytes. Other kinds of model, models with a
+normaliser other than identity, without the 256 byte pieces or with user-defined pieces are refused.
+
+A U+2581 of the text itself is a mark to the format, as in the library: it is encoded as one and decodes to a space.
 """
 
 from __future__ import annotations
@@ -27,6 +35,9 @@ from .shingles import text_slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 4 << 20
+#: Pairs of pieces remembered per worker; beyond it they are looked at afresh. About 250 bytes each.
+STABLE_PAIRS = 500_000
+NEVER = float("-inf")
 
 
 class PieceModel:
@@ -43,28 +54,35 @@ class PieceModel:
             raise ValueError(f"{path}: only models without normalisation are supported")
         if proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError(f"{path}: marks at word ends are not supported")
+        if proto.trainer_spec.model_type not in (proto.trainer_spec.UNIGRAM, proto.trainer_spec.BPE):
+            raise ValueError(f"{path}: only unigram and BPE models are supported")
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
         self.prefix = spec.add_dummy_prefix
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: dict[int, int] = {}
         self.surface: list[bytes] = []
-        self.unknown = 0
         for i, p in enumerate(proto.pieces):
             surface = b""
-            if p.type in (kind.NORMAL, kind.USER_DEFINED):
+            if p.type == kind.NORMAL:
                 self.pieces[p.piece] = (i, p.score)
                 surface = p.piece.replace(MARK, " ").encode()
             elif p.type == kind.BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
                 surface = bytes([int(p.piece[3:5], 16)])
             elif p.type == kind.UNKNOWN:
-                self.unknown = i
                 surface = " ⁇ ".encode()
+            elif p.type != kind.CONTROL:
+                raise ValueError(f"{path}: user-defined and unused pieces are not supported")
             self.surface.append(surface)
+        if len(self.bytes) != 256:
+            raise ValueError(f"{path}: only models with all byte pieces are supported")
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces):
             raise ValueError(f"{path}: a piece goes over a word's start or a newline")
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        self._score = {p: s for p, (_, s) in self.pieces.items()}.get
+        self._stable: dict[tuple[str, str], bool] = {}
 
     def _ids(self, word: str, back: list[tuple[int, int]]) -> list[int]:
         out, at = [], len(word)
@@ -72,18 +90,61 @@ class PieceModel:
             start, piece = back[at]
             if piece >= 0:
                 out.append(piece)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass"))]
             else:
-                out.append(self.unknown)
+                out += [self.bytes[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass"))]
             at = start
         return out[::-1]
 
+    def _merged(self, text: str) -> list[str]:
+        """The pieces of a short text by merging: again and again the neighbours that make the best piece, the leftmost of equals."""
+        score, parts = self._score, list(text)
+        gains = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (top := max(gains)) > NEVER:
+            at = gains.index(top)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], NEVER)
+        return parts
+
+    def stable(self, left: str, right: str) -> bool:
+        """Whether merging leaves these two pieces as they are, side by side; of one piece alone (`left` empty), whether it makes it."""
+        known = self._stable.get((left, right))
+        if known is None:
+            if len(self._stable) >= STABLE_PAIRS:
+                self._stable.clear()
+            known = self._stable[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+        return known
+
+    def _step_scores(self, word: str, end: int, best: list[float], back: list[tuple[int, int]]) -> None:
+        top, edge = float("-inf"), (end - 1, -1)
+        for start in range(max(0, end - self.longest), end):
+            found = self.pieces.get(word[start:end])
+            if found is not None and best[start] + found[1] > top:
+                top, edge = best[start] + found[1], (start, found[0])
+        if word[end - 1] not in self.pieces and best[end - 1] + self.unknown_score > top:
+            top, edge = best[end - 1] + self.unknown_score, (end - 1, -1)
+        best.append(top)
+        back.append(edge)
+
+    def _step_merges(self, word: str, end: int, back: list[tuple[int, int]]) -> None:
+        pieces, known = self.pieces, self._stable
+        for start in range(max(0, end - self.longest), end):
+            piece = word[start:end]
+            if (found := pieces.get(piece)) or end - start == 1:
+                left = word[back[start][0] : start]
+                ok = known.get((left, piece))
+                if self.stable(left, piece) if ok is None else ok:
+                    back.append((start, found[0] if found else -1))
+                    return
+        raise AssertionError(f"no piece ends at {end} of {word!r}")  # what merging gives for the prefix always does
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each marked word (with spaces for marks), by a depth-first walk of their trie."""
         marked = [w.replace(" ", MARK) for w in words]
         out: list[list[int]] = [[]] * len(words)
-        pieces, longest, lost = self.pieces, self.longest, self.unknown_score
         best, back, last = [0.0], [(0, 0)], ""
         for k in sorted(range(len(words)), key=marked.__getitem__):
             word = marked[k]
@@ -92,15 +153,10 @@ class PieceModel:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, edge = float("-inf"), (end - 1, -1)
-                for start in range(max(0, end - longest), end):
-                    found = pieces.get(word[start:end])
-                    if found is not None and best[start] + found[1] > top:
-                        top, edge = best[start] + found[1], (start, found[0])
-                if word[end - 1] not in pieces and best[end - 1] + lost > top:
-                    top, edge = best[end - 1] + lost, (end - 1, -1)
-                best.append(top)
-                back.append(edge)
+                if self.merges:
+                    self._step_merges(word, end, back)
+                else:
+                    self._step_scores(word, end, best, back)
             out[k] = self._ids(word, back)
             last = word
         return out

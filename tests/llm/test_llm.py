@@ -323,30 +323,75 @@ def test_components(spark, local):
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_viterbi_equals_the_library(tmp_path):
-    """Against the library's own search, on the same pieces read as a unigram model, with scores that its floats can add up."""
+ODD_TEXTS = ["", "a", " ", "  Hello  wörld 日本 \U0001f9ff", "x   y ", "a\nb\n\n c", "the and of", "a▁b c", "▁▁ x▁", "<s> </s> <0x41> <unk>", "......... ------", "    a\n\tb  \n", "\x00é e\u0301"]
+
+
+def split_ids(ids, counts):
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_ids_equal_the_library_on_whole_tables(scale):
+    import sentencepiece
+
+    docs = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/sf{scale}/documents.parquet'").fetchall()]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert split_ids(*sentencepiece_codec.encode_texts(pa.array(docs + ODD_TEXTS), PIECES)) == library.encode(docs + ODD_TEXTS)
+
+
+@given(st.lists(st.text(alphabet=" aeinorst.,\n▁é日Tx-", max_size=40), min_size=1, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_ids_equal_the_library_on_random_texts(texts):
     import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert split_ids(*sentencepiece_codec.encode_texts(pa.array(texts), PIECES)) == library.encode(texts)
+
+
+def model_file(tmp_path, change):
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(PIECES, "rb") as f:
         proto.ParseFromString(f.read())
-    for p in proto.pieces:
-        p.score = max(p.score, -32000.0)
-    proto.trainer_spec.model_type = 1
-    path = tmp_path / "unigram.model"
+    change(proto)
+    path = tmp_path / "changed.model"
     path.write_bytes(proto.SerializeToString())
-    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    return str(path)
+
+
+def test_unigram_ids_equal_the_library(tmp_path):
+    """The same pieces as a unigram model, with scores that the library's floats can add up."""
+    import sentencepiece
+
+    def unigram(proto):
+        for p in proto.pieces:
+            p.score = max(p.score, -32000.0)
+        proto.trainer_spec.model_type = 1
+
+    path = model_file(tmp_path, unigram)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
     r = random.Random(5)
     docs = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
-    texts = ["", "a", " ", "  Hello  wörld 日本 \U0001f9ff", "x   y ", "a\nb\n\n c", "the and of"] + [t[s : s + 120] for t in docs for s in [r.randrange(max(1, len(t)))]]
-    ids, counts = sentencepiece_codec.encode_texts(pa.array(texts), str(path))
-    ends = np.cumsum(counts)
-    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode(t) for t in texts]
+    texts = ODD_TEXTS + [t[s : s + 120] for t in docs for s in [r.randrange(max(1, len(t)))]]
+    assert split_ids(*sentencepiece_codec.encode_texts(pa.array(texts), path)) == [library.encode(t) for t in texts]
+
+
+def test_other_models_are_refused(tmp_path):
+    def char(proto):
+        proto.trainer_spec.model_type = 4
+
+    def no_bytes(proto):
+        for p in proto.pieces[3:259]:
+            p.type = 1
+
+    for change, why in ((char, "unigram and BPE"), (no_bytes, "byte pieces")):
+        with pytest.raises(ValueError, match=why):
+            sentencepiece_codec.PieceModel(model_file(tmp_path, change))
 
 
 def test_codec_round_trip(spark, corpus):
-    rows = [*corpus, (900, " lead"), (901, "\x00\x01 \u2028\u2581mark".replace("\u2581", "")), (902, "日本語 😀 é")]
+    rows = [*corpus, (900, " lead"), (901, "\x00\x01 \u2028mark"), (902, "日本語 😀 é")]
     df = docs_frame(spark, rows)
     encoded = sentencepiece_codec.encode(df, PIECES)
     same(sentencepiece_codec.decode(encoded, PIECES), [(i, t or "") for i, t in rows])
@@ -355,6 +400,13 @@ def test_codec_round_trip(spark, corpus):
     assert by_id[176] == []
 
 
+def test_codec_reads_a_mark_as_a_space(spark):
+    df = docs_frame(spark, [(1, "a▁b c"), (2, "a b c")])
+    encoded = sentencepiece_codec.encode(df, PIECES)
+    same(sentencepiece_codec.decode(encoded, PIECES), [(1, "a b c"), (2, "a b c")])
+    assert {r["doc_id"]: r["same"] for r in sentencepiece_codec.round_trip(df, PIECES).collect()} == {1: False, 2: True}
+
+
 # --- 7 ---
 
 
