@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its row count times its row width is within this many bytes.
@@ -13,9 +13,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orthoflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,19 +46,21 @@ class Scratch:
         self._fs(path, "mkdirs")
         return path
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, row_bytes: Column | None = None) -> DataFrame:
         """Write `df` and read it back: cuts the lineage, as checkpoint() does, and keeps file statistics.
 
-        Its rows are counted on the way, for `rows`.
+        Its rows are counted on the way, for `rows`; with `row_bytes`, the size of a row, their bytes too, for `small_side`.
         """
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
         # zstd: the snappy writer keeps direct buffers until a garbage collection, which adds up over many files
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+        size = F.coalesce(F.sum((F.lit(0) if row_bytes is None else row_bytes).cast("bigint")), F.lit(0))
+        df.observe(seen, F.count(F.lit(1)).alias("n"), size.alias("bytes")).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         out._scratch_rows = seen.get.get("n")
+        out._scratch_bytes = None if row_bytes is None else seen.get.get("bytes")
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -77,6 +81,10 @@ def rows(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, a scratch table, marked for broadcast if rows x row_bytes is within `limit`, else unmarked (sort-merge join)."""
-    return F.broadcast(df) if rows(df) * row_bytes <= limit else df
+def small_side(df: DataFrame, row_bytes: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, a scratch table, marked for broadcast if it is within `limit` bytes, else with a merge hint.
+
+    `row_bytes` is the size of a row where all are alike; without it the table must have been written with the sizes of its rows.
+    """
+    size = df._scratch_bytes if row_bytes is None else rows(df) * row_bytes
+    return F.broadcast(df) if size <= limit else df.hint("merge")
