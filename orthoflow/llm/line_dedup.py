@@ -1,25 +1,32 @@
-"""Line dedup in DataFrame functions only: salted counts, range-partitioned totals, keep bitmaps.
-
-1. Each document's distinct line keys are hashed (128 bits) inside the row, so a document counts once for a
-   key without a distinct shuffle.
-2. Keys are counted per (key, salt) first, so a line that stands in a third of all documents never meets in
-   one task. The at most `SALTS` rows that remain of each key are range-partitioned by hash and go into a grouped
-   total, which needs no further exchange. First occurrences are found by aggregates and a join, not streamed.
-3. Occurrences of the keys to drop become one sparse bitmap per document: (word, bits) pairs of 64
-   positions, only for words with a dropped line. Text takes no part in this.
-
-Nulls and repeats: a null or empty text is one empty line; every row is a document of its own, also when it
-repeats another row or its doc_id (a null doc_id too). Columns other than doc_id and text are not read.
+"""Line dedup in DataFrame functions only: a range-partitioned, sorted stream of line hashes, and keep bitmaps.
+
+1. Every line's key becomes one row (h1, h2, doc_id, th, pos): two 64-bit hashes and the place. Texts are left behind.
+2. Rows are range-partitioned by (hash, document) and sorted by (hash, document, position) within a partition. The first row of a
+   hash and document in that stream is marked as the document's first occurrence. A document counts once for a
+   key, by its doc_id. The range goes on into the document, so a line that stands in a third of all documents is dealt over
+   many partitions, and no partition holds part of a document's rows of a key.
+3. Marks are counted per hash within each partition first; a key then has at most one row a partition. Beside the count stands
+   the key's first occurrence, the least mark.
+4. Rows of the keys to drop become one sparse bitmap per document: (word, bits) pairs of 64 positions, only for words with a
+   dropped line. Keys to drop are broadcast within a checked size. Beyond it they are joined by (partition, hash), so that
+   a popular key stays dealt over the partitions of step 2.
+
+Nulls and repeats: a null or empty text is one empty line. Rows that share a doc_id are one document to the count, and each is
+cleaned by itself; rows without a doc_id are one document where their texts are equal. Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, Scratch, ascii_lower, small_side, text_or_empty
+from ._shared import BROADCAST_BYTES, SPACES, Scratch, ascii_lower, rows, small_side, text_or_empty
 
-SALTS = 32
+KEY = ["h1", "h2"]
+#: A document to the count: its doc_id, or without one its text.
+DOC = ["doc_id", "own"]
 
 
 def line_key(line):
@@ -33,21 +40,35 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def line_totals(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n_docs, first_id): line keys found in at least `min_docs` rows, and the least doc_id of each (null: all are)."""
-    keys = F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.length(k) >= min_chars)
-    hashes = F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))
-    once = _rows(docs).select("doc_id", "th", F.explode(F.array_distinct(hashes)).alias("h"))
-    salted = once.groupBy(
-        F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), F.pmod(F.col("th"), F.lit(SALTS)).alias("salt")
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-    ranged = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first_id")
-    totals = ranged.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id"))
-    return totals.filter(F.col("n_docs") >= min_docs)
+def line_stream(docs: DataFrame, scratch: Scratch, min_chars: int = 1) -> DataFrame:
+    """(h1, h2, doc_id, own, th, pos, fresh, part) of every line whose key has `min_chars` characters: the sorted stream, as a table.
+
+    `fresh` marks a document's first row of a key, `part` is the partition of the stream.
+    """
+    lines = _rows(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    key = line_key(F.col("line"))
+    own = F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.lit(0).cast("bigint"))
+    hashed = lines.filter(F.length(key) >= min_chars).select(
+        F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", own.alias("own"), "th", "pos"
+    )
+    # A table of its own: the range partitioner reads its input twice.
+    hashed = scratch.table(hashed, "hashed")
+    ranged = hashed.repartitionByRange(*KEY, *DOC).sortWithinPartitions(*KEY, *DOC, "th", "pos")
+    nth = F.row_number().over(W.partitionBy(*KEY, *DOC).orderBy("th", "pos"))
+    stream = scratch.table(ranged.withColumn("fresh", nth == 1).withColumn("part", F.spark_partition_id()), "stream")
+    scratch.drop(hashed)
+    return stream
+
+
+def line_totals(stream: DataFrame, min_docs: int = 10) -> DataFrame:
+    """(h1, h2, n_docs, first): keys found in at least `min_docs` documents, and the place of the first line of each."""
+    place = F.struct("doc_id", "own", "th", "pos")
+    marked = stream.filter("fresh").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
+    return marked.filter(F.col("n_docs") >= min_docs)
 
 
 def drop_bitmaps(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", scratch: Scratch | None = None
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", scratch: Scratch | None = None, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(doc_id, th, n_dropped, dropped): one row per document that loses lines.
 
@@ -56,25 +77,20 @@ def drop_bitmaps(
     keep="none" drops every line of a key that reaches `min_docs`.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    totals = scratch.table(line_totals(docs, min_docs, min_chars), "totals")
-    lines = _rows(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    key = line_key(F.col("line"))
-    hashed = lines.filter(F.length(key) >= min_chars).select(
-        "doc_id", "th", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")
-    )
-    hit = hashed.join(small_side(totals, 48), ["h1", "h2"])
+    stream = line_stream(docs, scratch, min_chars)
+    totals = scratch.table(line_totals(stream, min_docs), "totals")
+    if rows(totals) * 72 <= limit:
+        hit = stream.join(F.broadcast(totals), KEY)
+    else:
+        dealt = stream.filter("fresh").select("part", *KEY).distinct().join(totals.hint("merge"), KEY)
+        hit = stream.join(dealt.hint("merge"), ["part", *KEY])
     if keep == "first":
-        own = F.col("doc_id").eqNullSafe(F.col("first_id"))
-        hit = scratch.table(hit.select("h1", "h2", "doc_id", "th", "pos", own.alias("own")), "hits")
-        firsts = hit.filter("own").groupBy("h1", "h2").agg(F.min(F.struct("th", "pos")).alias("first"))
-        kept = F.col("own") & (F.struct("th", "pos") == F.col("first"))
-        hit = hit.join(firsts, ["h1", "h2"]).filter(~kept)
+        hit = hit.filter(F.struct("doc_id", "own", "th", "pos") != F.col("first"))
     word, bit = F.shiftright("pos", 6), F.expr("shiftleft(1L, pos & 63)")
     words = hit.groupBy("doc_id", "th", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    per_doc = words.groupBy("doc_id", "th").agg(
+    return words.groupBy("doc_id", "th").agg(
         F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped")
     )
-    return per_doc
 
 
 def kept_text(text, dropped):
@@ -88,18 +104,15 @@ def kept_text(text, dropped):
     return F.when(dropped.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every row of `docs` as (doc_id, n_lines, n_dropped, dropped, text): `text` holds the kept lines.
 
-    The bitmaps are joined to the documents by a checked broadcast, or by sort-merge beyond its bound.
+    The bitmaps are joined to the documents: broadcast within `limit` bytes as they are, by sort-merge beyond it.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    maps = scratch.table(drop_bitmaps(docs, min_docs, min_chars, keep, scratch), "bitmaps").select(
-        F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "n_dropped", "dropped"
-    )
-    rows = _rows(docs)
-    # Bitmaps hold a few words on most documents; 128 bytes bound a row well above their mean.
-    joined = rows.join(small_side(maps, 128), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    maps = drop_bitmaps(docs, min_docs, min_chars, keep, scratch, limit).withColumnsRenamed({"doc_id": "m_id", "th": "m_th"})
+    maps = scratch.table(maps, "bitmaps", F.size("dropped") * 40 + 80)
+    joined = _rows(docs).join(small_side(maps, limit=limit), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
     return joined.select(
         "doc_id",
         (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("bigint").alias("n_lines"),

@@ -607,8 +607,11 @@ def test_chunks_encode_like_whole_texts(texts):
 def brute_lines(rows, min_docs, keep):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = [[(x, x.strip(" \t\n\x0b\x0c\r").translate(lower)) for x in (t or "").split("\n")] for _, t in rows]
-    counts = Counter(k for lines in split for k in {k for _, k in lines})
-    frequent = {k for k, n in counts.items() if k and n >= min_docs}
+    found: dict[str, set] = {}
+    for (doc, text), lines in zip(rows, split, strict=True):
+        for _, k in lines:
+            found.setdefault(k, set()).add((doc, text or "" if doc is None else None))
+    frequent = {k for k, docs in found.items() if k and len(docs) >= min_docs}
     out, seen = [], set()
     for (doc, _), lines in zip(rows, split, strict=True):
         stays = []
@@ -621,18 +624,47 @@ def brute_lines(rows, min_docs, keep):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark, corpus):
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_line_dedup_equals_brute_force(spark, corpus, limit):
     rows = [*corpus, *((1000 + i, "Common line\n" * 3 + "\n" * 130 + "tail") for i in range(3))]
-    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=10).drop("dropped")
+    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=10, limit=limit).drop("dropped")
     same(got, brute_lines(rows, 10, "none"))
 
 
-def test_line_dedup_keeps_first(spark, corpus):
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_line_dedup_keeps_first(spark, corpus, limit):
     rows = sorted({i: t for i, t in corpus if i is not None}.items())
-    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=2, keep="first").drop("dropped")
+    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=2, keep="first", limit=limit).drop("dropped")
     same(got, brute_lines(rows, 2, "first"))
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    rows = [(1, f"often\nseldom {i}") for i in range(10)] + [(2, "often")]
+    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=10)
+    assert got.agg(F.sum("n_dropped")).first()[0] == 0
+    rows += [(i, "often") for i in range(3, 11)]
+    got = line_dedup.dedup_lines(docs_frame(spark, rows), min_docs=10)
+    assert got.agg(F.sum("n_dropped")).first()[0] == len(rows)
+
+
+def test_line_dedup_streams_sorted_ranges(spark):
+    """The stream is dealt in ranges of (hash, document): its window needs no exchange of its own, and a popular line is split."""
+    docs = docs_frame(spark, [(i, f"common\nline {i}") for i in range(300)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = line_dedup.line_stream(docs, Scratch(spark, "t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_part: dict[int, list] = {}
+    for r in stream:
+        by_part.setdefault(r["part"], []).append((r["h1"], r["h2"], r["doc_id"]))
+    bounds = sorted((min(keys), max(keys)) for keys in by_part.values())
+    assert len(bounds) > 2 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+    popular = Counter((r["h1"], r["h2"]) for r in stream).most_common(1)[0][0]
+    assert len({r["part"] for r in stream if (r["h1"], r["h2"]) == popular}) > 1
+    assert sum(r["fresh"] for r in stream) == 600
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = queries.op10_line_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
