@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, small_side, text_or_empty
+from ._shared import Scratch, keep_rows, text_or_empty
 
-FIRST_DIGIT, GROWTH, WIDEST = 128, 4, 1 << 20
+FIRST_DIGIT, GROWTH, WIDEST = 128, 4, 1 << 18
 
 
 def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH, widest: int = WIDEST) -> DataFrame:
@@ -70,13 +70,13 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `exact_groups` keeps, with all their columns.
+    """One row of each text, with all its columns: the one `exact_groups` keeps; of rows that repeat its doc_id too, any one.
 
-    Only the dropped (doc_id, hash) pairs are joined to the documents: broadcast within a checked bound, else
-    by sort-merge. The hash tells apart rows that share a doc_id.
+    Null doc_ids count as equal. See `keep_rows` for how rows are found.
     """
     scratch = Scratch(docs.sparkSession, "exact-keep")
-    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.unhex("text_sha256").alias("g_sha")).distinct()
-    gone = scratch.table(gone, "dropped")
-    sha = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
-    return docs.join(small_side(gone, 48), docs["doc_id"].eqNullSafe(gone["g_id"]) & (sha == gone["g_sha"]), "left_anti")
+    groups = exact_groups(docs).select(F.col("doc_id").alias("k_id"), F.unhex("text_sha256").alias("k_hash"), "kept")
+    keys = scratch.table(groups.groupBy("k_id", "k_hash", "kept").agg(F.count(F.lit(1)).alias("k_rows")), "keys")
+    gone = scratch.table(keys.filter("NOT kept").select("k_id", "k_hash"), "dropped")
+    repeated = scratch.table(keys.filter("kept AND k_rows > 1").select("k_id", "k_hash"), "repeated")
+    return keep_rows(docs, F.unhex(F.sha2(text_or_empty().cast("binary"), 256)), gone, repeated)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_BYTES, Scratch, rows, small_side, text_or_empty
+from ._shared import BROADCAST_BYTES, Scratch, keep_rows, rows, small_side, text_or_empty
 from .chunk_cache import release_memory
 from .components import components
 from .shingles import U, shingle_sets, signature, stream, text_slices
@@ -430,8 +430,8 @@ def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block
     sample = key.withColumn("nth", nth).filter(F.col("nth") <= 256)
     hubs = scratch.table(_hub_choice(sample).join(members.select("grp", "cls", "items"), ["grp", "cls"]), "hubs")
     packed = hubs.dropDuplicates(["cls"]).groupBy("grp").agg(F.collect_list(F.struct("cls", "items")).alias("hubs"))
-    packed = scratch.table(packed, "hub-sets")
-    beside = members.join(small_side(packed, 1 << 20), "grp").select("cls", "items", "hubs")
+    packed = scratch.table(packed, "hub-sets", F.expr("aggregate(hubs, 64L, (n, h) -> n + 64 + length(h.items))"))
+    beside = members.join(small_side(packed), "grp").select("cls", "items", "hubs")
     links = scratch.table(beside.mapInArrow(_hub_links, "a bigint, b bigint"), "hub-links")
     roots = components(links, scratch)
     main = roots.groupBy("root").count().join(roots, "root").join(hubs.select("grp", F.col("cls").alias("node")), "node")
@@ -459,14 +459,14 @@ def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block
 def near_groups(
     docs: DataFrame, words: int = 4, heavy_rows: int = HEAVY, group_rows: int = GROUP, block: int = BLOCK
 ) -> DataFrame:
-    """Every row of `docs` as (doc_id, th, n_shingles, component_id, kept).
+    """Every row of `docs` as (doc_id, th, n_shingles, component_id, kept, grp).
 
     Words are runs of characters outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased; a set holds the distinct
     `words`-word shingles, or a shorter text's whole sequence. Texts are linked when 100 * intersection >=
     80 * union. component_id is the smallest doc_id of the rows reachable over links, `kept` is doc_id =
     component_id. Null, empty and wordless texts have n_shingles 0 and stand alone. Rows with a null doc_id take
     part and get the smallest known doc_id of their component, or null; rows that repeat a doc_id each take part. th is a hash of the
-    text that tells apart rows with one doc_id. Other columns are not read.
+    text that tells apart rows with one doc_id; grp is a number of the component, null without shingles. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     text = text_or_empty()
@@ -505,19 +505,30 @@ def near_groups(
     roots = components(links, scratch)
     merged = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.table(roots.join(ids, "root").select(F.col("node").alias("cls"), "component_id"), "labels")
-    named = classes.join(labels, "cls", "left").select(*(F.col(c).alias(f"k_{c}") for c in same), F.coalesce("component_id", "least").alias("component_id"))
+    labels = scratch.table(roots.join(ids, "root").select(F.col("node").alias("cls"), "component_id", "root"), "labels")
+    named = classes.join(labels, "cls", "left").select(
+        *(F.col(c).alias(f"k_{c}") for c in same), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "cls").alias("grp"),
+    )
     joined = sketch.select("doc_id", "th", *same).join(named, [F.col(c) == F.col(f"k_{c}") for c in same], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
-        "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "grp"
     )
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of `docs` that are kept (one document of each group of near copies), with all their columns."""
+    """One row of each group of near copies, with all its columns: its smallest doc_id's; of several such, the least hash's.
+
+    Rows that repeat doc_id and text are one, also those without words, which stand alone. See `keep_rows` for how rows are found.
+    """
     scratch = Scratch(docs.sparkSession, "near-keep")
-    gone = near_groups(docs, words).filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
-    gone = scratch.table(gone, "dropped")
-    th = F.xxhash64(text_or_empty())
-    return docs.join(small_side(gone, 32), docs["doc_id"].eqNullSafe(gone["g_id"]) & (th == gone["g_th"]), "left_anti")
+    groups = near_groups(docs, words).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_hash"), "kept", "grp")
+    keys = scratch.table(groups.groupBy("k_id", "k_hash", "kept", "grp").agg(F.count(F.lit(1)).alias("k_rows")), "keys")
+    # Several kept texts of one group share their doc_id, or have none.
+    several = keys.filter("kept AND grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("texts"), F.min("k_hash").alias("best"))
+    several = scratch.table(several.filter("texts > 1").select("grp", "best"), "several")
+    keys = keys.join(small_side(several, 32), "grp", "left").withColumn("stays", F.expr("kept AND (best IS NULL OR best = k_hash)"))
+    gone = scratch.table(keys.filter("NOT stays").select("k_id", "k_hash"), "dropped")
+    repeated = scratch.table(keys.filter("stays AND k_rows > 1").select("k_id", "k_hash"), "repeated")
+    return keep_rows(docs, F.xxhash64(text_or_empty()), gone, repeated)

@@ -37,7 +37,7 @@ def op4_packing(spark, sf_dir):
 
 
 def op5_minhash_dedup(spark, sf_dir):
-    return minhash_dedup.near_groups(read(spark, sf_dir, "documents"), words=4).drop("th")
+    return minhash_dedup.near_groups(read(spark, sf_dir, "documents"), words=4).drop("th", "grp")
 
 
 def _tokenizer(name: str) -> str:
