@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import BROADCAST_BYTES, Scratch, rows, scratch_root, small_side, spread
 
-__all__ = ["BROADCAST_BYTES", "LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "keep_rows", "read", "rows", "scratch_root", "small_side", "spread", "text_or_empty"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "keep_rows", "read", "rows", "scratch_root", "small_side", "spread", "text_or_empty", "tokenizer"]
 
 #: `[\x20\x09-\x0D]`, the white space that the operators strip and split on.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,6 +22,13 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 

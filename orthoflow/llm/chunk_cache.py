@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 CACHE_CHUNKS = 1_500_000
 #: Chunks encoded at a time.
 FRESH_CHUNKS = 32_768
+#: Bytes encoded at a time: a longer text is cut.
+PART_BYTES = 8 << 20
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,20 +39,40 @@ def cut_texts(raw: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> tuple[pa.Ar
     return chunks, np.diff(np.searchsorted(at, ends))
 
 
-def word_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Chunks that a byte-level BPE with the usual pre-tokenizing pattern treats independently.
+def word_cuts(raw: np.ndarray) -> np.ndarray:
+    """Where bytes may be cut so that a byte-level BPE with the usual pre-tokenizing pattern treats the chunks independently.
 
     No pre-token runs from a non-space to a space, so a cut before a space is safe wherever the character
     ahead of it is surely no white space: printable ASCII, or U+00C0 to U+00FF.
     """
-    raw, ends = flat_bytes(texts)
     cut = np.zeros(len(raw), bool)
     if len(raw) > 1:
         before = raw[:-1]
         solid = (before > 0x20) & (before < 0x7F)
         solid[1:] |= (before[:-1] == 0xC3) & (before[1:] >= 0x80)
         cut[1:] = (raw[1:] == 0x20) & solid
-    return cut_texts(raw, ends, cut)
+    return cut
+
+
+def long_parts(raw: np.ndarray, lo: int, hi: int, cuts: Callable[[np.ndarray], np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of at most about `most` bytes that make up raw[lo:hi], cut where `cuts` allows; longer only where nothing does.
+
+    Whether a cut is allowed must depend on the two bytes ahead of it and the byte behind it only.
+    """
+    step = min(most, 1 << 16)
+    while hi - lo > most:
+        at, look = None, lo + most - step
+        while at is None and look < hi:
+            first = max(look, lo + 1)
+            places = np.flatnonzero(cuts(raw[max(lo, first - 2) : look + step])) + max(lo, first - 2)
+            places = places[(places >= first) & (places < hi)]
+            at = int(places[-1]) if len(places) else None
+            look += step
+        if at is None:
+            break
+        yield lo, at
+        lo = at
+    yield lo, hi
 
 
 def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,6 +139,23 @@ class ChunkCache:
         return take_runs(self.ids, self.starts[which], counts), counts
 
 
+def encode_chunks(
+    raw: np.ndarray, ends: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray], cache: ChunkCache, most: int = PART_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, count of each text): texts are cut into chunks by `cuts`; more than `most` bytes are encoded in parts."""
+    if len(raw) <= most:
+        chunks, per_text = cut_texts(raw, ends, cuts(raw))
+        ids, per_chunk = cache.encode(chunks)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(per_chunk)])[np.concatenate([[0], np.cumsum(per_text)])])
+    out, counts = [], np.zeros(len(ends) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        for lo, hi in long_parts(raw, a, b, cuts, most):
+            ids, _ = encode_chunks(raw[lo:hi], np.array([0, hi - lo]), cuts, cache, hi - lo)
+            out.append(ids)
+            counts[i] += len(ids)
+    return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; workers that wait for their next task would keep it."""
     import ctypes

@@ -13,13 +13,18 @@ with a multiplicity, so each step moves many bins at once and the plan stays abo
 Documents longer than the largest capacity are cut into full pieces and a rest: every token is packed.
 
 The plan gives, for each length, runs of consecutive pieces (by doc_id, piece) that go to consecutive bins of one
-pattern. Pieces are range-partitioned by (length, doc_id, piece), ranked by a count within their partition plus the
+pattern. Pieces are range-partitioned by (length, doc_id, row, piece), ranked by a count within their partition plus the
 partitions' running sums, and matched to their run, so one popular length is spread over many tasks.
+
+`pack` plans over lengths alone. `pack_texts` encodes texts, cuts their ids into pieces, plans over the pieces' lengths and brings
+each bin's ids together: a packed sequence with the boundaries of the documents in it. A bin holds at most the
+largest capacity, so no sequence is large.
 """
 
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, text_or_empty
+from ._shared import Scratch, small_side, text_or_empty
+from .chunk_cache import release_memory
+from .shingles import text_slices
+from .token_files import SLICE_BYTES, encode_texts
 
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: Cost of a sequence besides its tokens: start-up of a step, in tokens.
@@ -136,7 +144,9 @@ def plan_rows(patterns: list[Pattern], capacities=CAPACITIES) -> list[tuple[int,
     return sorted(rows)
 
 
-_OUT = "doc_id bigint, piece int, start bigint, length int, bin_id bigint, capacity int, offset int"
+_OUT = "doc_id bigint, row bigint, piece int, start bigint, length int, bin_id bigint, capacity int, offset int"
+_ORDER = ["length", "doc_id", "row", "piece"]
+_SEGMENT = [("doc_id", "bigint"), ("row", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "int")]
 
 
 def _assign(batches: Iterator[pa.RecordBatch], rows: dict[int, tuple], firsts: dict[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
@@ -158,32 +168,18 @@ def _assign(batches: Iterator[pa.RecordBatch], rows: dict[int, tuple], firsts: d
             cols[:, a:b] = first[r] + i // each[r], capacity[r], offset[r] + (i % each[r]) * key[1]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column("piece"), batch.column("start"), batch.column("length"),
+                *(batch.column(c) for c in ("doc_id", "row", "piece", "start", "length")),
                 pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
             ],
-            ["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"],
+            ["doc_id", "row", "piece", "start", "length", "bin_id", "capacity", "offset"],
         )
 
 
-def pack(lengths: DataFrame, capacities=CAPACITIES, cost: Callable[[int], float] = default_cost) -> DataFrame:
-    """Pack documents, rows of `lengths` (doc_id, n_tokens), into bins.
+def _place(placed: DataFrame, capacities, cost: Callable[[int], float]) -> tuple[DataFrame, int]:
+    """Pieces (part, doc_id, row, piece, start, length), a scratch table in the order of length within part, to their bins.
 
-    Returns one row per piece: doc_id, piece (from 0), start (token of the document where it begins), length,
-    bin_id, capacity (of the downsized bin), offset (place in the bin). Documents with a null or no positive
-    n_tokens hold nothing to pack: they get one row with length 0 and null bin_id, capacity and offset. Rows with equal or
-    null doc_ids are packed one by one. Other columns are not read.
+    The second value counts the pieces of length 0, which are left out.
     """
-    scratch = Scratch(lengths.sparkSession, "packing")
-    largest = max(capacities)
-    n = F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)), F.lit(0))
-    docs = lengths.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n"))
-    last = F.greatest(F.ceil(F.col("n") / largest) - 1, F.lit(0)).cast("int")
-    pieces = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    start = F.col("piece").cast("bigint") * largest
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).cast("int").alias("length"))
-    order = ["length", "doc_id", "piece"]
-    ranged = pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = scratch.table(ranged, "pieces")
     # Bounded: at most largest capacity + partitions rows, since a partition shares only its end lengths with others.
     cells = sorted((r["part"], r["length"], r["n"]) for r in placed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")).collect())
     histogram: dict[int, int] = {}
@@ -197,8 +193,34 @@ def pack(lengths: DataFrame, capacities=CAPACITIES, cost: Callable[[int], float]
         runs.setdefault(length, []).append(row)
     # (rank_from, each, first_bin, capacity, offset) of each length's runs
     arrays = {k: tuple(np.array(v, np.int64).T[[0, 2, 3, 4, 5]]) for k, v in runs.items()}
-    some = placed.filter("length > 0").repartition("part").sortWithinPartitions("part", *order)
-    packed = some.mapInArrow(lambda b: _assign(b, arrays, firsts), _OUT)
+    some = placed.filter("length > 0").repartition("part").sortWithinPartitions("part", *_ORDER)
+    return some.mapInArrow(lambda b: _assign(b, arrays, firsts), _OUT), empty
+
+
+def _ranged(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    ranged = pieces.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).withColumn("part", F.spark_partition_id())
+    return scratch.table(ranged, "pieces")
+
+
+def pack(lengths: DataFrame, capacities=CAPACITIES, cost: Callable[[int], float] = default_cost) -> DataFrame:
+    """Pack documents, rows of `lengths` (doc_id, n_tokens), into bins.
+
+    Returns one row per piece: doc_id, piece (from 0), start (token of the document where it begins), length,
+    bin_id, capacity (of the downsized bin), offset (place in the bin). Documents with a null or no positive
+    n_tokens hold nothing to pack: they get one row with length 0 and null bin_id, capacity and offset. Rows with equal or
+    null doc_ids are packed one by one. Other columns are not read.
+    """
+    scratch = Scratch(lengths.sparkSession, "packing")
+    largest = max(capacities)
+    n = F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)), F.lit(0))
+    docs = scratch.table(lengths.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n")), "lengths")
+    last = F.greatest(F.ceil(F.col("n") / largest) - 1, F.lit(0)).cast("int")
+    pieces = docs.select("doc_id", F.lit(0).cast("bigint").alias("row"), "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    start = F.col("piece").cast("bigint") * largest
+    pieces = pieces.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).cast("int").alias("length"))
+    placed = _ranged(pieces, scratch)
+    packed, empty = _place(placed, capacities, cost)
+    packed = packed.drop("row")
     if not empty:
         return packed
     none = placed.filter("length = 0").selectExpr(
@@ -207,6 +229,82 @@ def pack(lengths: DataFrame, capacities=CAPACITIES, cost: Callable[[int], float]
     return packed.unionAll(none)
 
 
+def _token_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, largest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, row, text) to the pieces of their ids: doc_id, row, piece, start, length, ids."""
+    for batch in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
+        ids, counts = encode_texts(batch.column("text"), tokenizer_path)
+        many = -(-counts // largest)
+        of = np.repeat(np.arange(len(counts)), many)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(counts[of] - piece * largest, largest)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(ids.astype(np.int32)))
+        at = pa.array(of)
+        columns = [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(piece, pa.int32()), pa.array(piece * largest, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(length, pa.int32()), lists], ["doc_id", "row", "piece", "start", "length", "ids"])
+        pa.default_memory_pool().release_unused()
+    release_memory()
+
+
+def _join_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bin_id, offset) to one row per bin."""
+    held: pa.Table | None = None
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        bins = rows.column("bin_id").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        edges = np.append(first, len(bins)).astype(np.int32)
+        flat = rows.column("ids").chunk(0).flatten()
+        ends = np.concatenate([[0], np.cumsum(rows.column("length").to_numpy())])
+        wide = flat.to_numpy().astype("<u4")
+        sums = [zlib.crc32(wide[a:b]) for a, b in zip(ends[edges[:-1]], ends[edges[1:]], strict=True)]
+        segments = pa.StructArray.from_arrays([rows.column(c).chunk(0) for c, _ in _SEGMENT], [c for c, _ in _SEGMENT])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bins[first]), rows.column("capacity").chunk(0).take(pa.array(first)), pa.array(np.diff(ends[edges]), pa.int32()),
+                pa.ListArray.from_arrays(edges, segments), pa.ListArray.from_arrays(ends[edges].astype(np.int32), flat), pa.array(sums, pa.int64()),
+            ],
+            ["bin_id", "capacity", "n_tokens", "segments", "ids", "ids_crc32"],
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        bins = rows.column("bin_id").to_numpy()
+        cut = int(np.argmax(bins == bins[-1]))  # the last bin may go on in the next batch
+        held = rows.slice(cut)
+        if cut:
+            yield whole(rows.slice(0, cut))
+    if held is not None:
+        yield whole(held)
+    release_memory()
+
+
+def pack_texts(docs: DataFrame, tokenizer_path: str, capacities=CAPACITIES, cost: Callable[[int], float] = default_cost) -> DataFrame:
+    """Packed sequences of all rows of `docs` (doc_id, text): bin_id, capacity, n_tokens, segments, ids, ids_crc32.
+
+    A text's ids are those of the token files, with the end id; a null or empty text has that one only. `segments` lists the pieces in
+    the bin, in order: doc_id, row (a number of the input row, which tells apart rows with equal or null doc_ids), piece,
+    start (id of the document where the piece begins), length. `ids` are their ids, one after another, ids_crc32 the checksum of these as unsigned 32-bit little-endian
+    integers. Other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "packing")
+    largest = max(capacities)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    schema = "doc_id bigint, row bigint, piece int, start bigint, length int, ids array<int>"
+    tokens = scratch.table(rows.mapInArrow(lambda b: _token_pieces(b, tokenizer_path, largest), schema), "tokens")
+    placed = _ranged(tokens.drop("ids"), scratch)
+    plan = scratch.table(_place(placed, capacities, cost)[0].select("row", "piece", "bin_id", "capacity", "offset"), "plan")
+    scratch.drop(placed)
+    beside = tokens.join(small_side(plan, 64), ["row", "piece"])
+    columns = ["bin_id", "offset", "capacity", *(c for c, _ in _SEGMENT), "ids"]
+    ordered = beside.select(*columns).repartition("bin_id").sortWithinPartitions("bin_id", "offset")
+    kinds = ", ".join(f"{c}: {k}" for c, k in _SEGMENT)
+    return ordered.mapInArrow(_join_bins, f"bin_id bigint, capacity int, n_tokens int, segments array<struct<{kinds}>>, ids array<int>, ids_crc32 bigint")
+
+
 def word_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens): words of the whole text (runs without `[\\x20\\x09-\\x0D]`) and one for the end."""
     return docs.select("doc_id", (F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")) + 1).alias("n_tokens"))

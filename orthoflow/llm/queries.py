@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, hamming_search, license_scan, line_dedup, minhash_dedup, packing, quality, sentencepiece_codec, token_files, url_filter
 from ._shared import read
+from ._shared import tokenizer as tokenizer_file
 
 #: (host, path, verdict)
 URL_RULES = [
@@ -32,22 +33,19 @@ def op3_quality(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def op4_packing(spark, sf_dir):
-    return packing.pack(packing.word_lengths(read(spark, sf_dir, "documents")))
+def op4_packing(spark, sf_dir, tokenizer: str | None = None):
+    """One row per packed sequence; the ids themselves are given by their checksum."""
+    packed = packing.pack_texts(read(spark, sf_dir, "documents"), tokenizer or tokenizer_file("byte_bpe_50k.json"))
+    segments = F.transform("segments", lambda s: F.struct(s["doc_id"].alias("doc_id"), s["piece"].alias("piece"), s["start"].alias("start"), s["length"].alias("length")))
+    return packed.select("bin_id", "capacity", "n_tokens", segments.alias("segments"), "ids_crc32")
 
 
 def op5_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(read(spark, sf_dir, "documents"), words=4).drop("th", "grp")
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_sentencepiece(spark, sf_dir, model: str | None = None):
-    return sentencepiece_codec.round_trip(read(spark, sf_dir, "documents"), model or _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_codec.round_trip(read(spark, sf_dir, "documents"), model or tokenizer_file("piece_bpe_32k.model"))
 
 
 def op7_license_scan(spark, sf_dir):
@@ -65,7 +63,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def op9_token_files(spark, sf_dir, tokenizer: str | None = None):
-    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer or _tokenizer("byte_bpe_50k.json"))
+    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer or tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES = {

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._shared import text_or_empty
-from .chunk_cache import ChunkCache, cut_texts, flat_bytes, release_memory, take_runs
+from .chunk_cache import ChunkCache, encode_chunks, flat_bytes, release_memory, take_runs
 from .shingles import text_slices
 
 MARK = "▁"
@@ -162,13 +162,13 @@ class PieceModel:
         return out
 
 
-def marked_words(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """(marked words, words of each text): cut before a run of spaces, and before and after newlines."""
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Where marked words begin: before a run of spaces, and before and after newlines."""
     cut = np.zeros(len(raw), bool)
     if len(raw) > 1:
         space, line = raw == 0x20, raw == 0x0A
         cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-    return cut_texts(raw, ends, cut)
+    return cut
 
 
 @functools.cache
@@ -186,9 +186,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         some = np.diff(ends) > 0
         raw = np.insert(raw, ends[:-1][some], 0x20)
         ends = ends + np.concatenate([[0], np.cumsum(some)])
-    words, per_text = marked_words(raw, ends)
-    ids, per_word = cache.encode(words)
-    return ids, np.diff(np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_text)])])
+    return encode_chunks(raw, ends, word_starts, cache)
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:

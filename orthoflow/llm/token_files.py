@@ -10,8 +10,10 @@ token count, so that one short document is read with two small reads and no othe
 Documents are range-partitioned by doc_id, so shards and the rows within them ascend. A shard is written under a
 name of its own attempt and then renamed, so a task that runs again replaces whole files only.
 
-The dictionary is trained on the ids of at most `SAMPLE_DOCS` documents, those with the least hashed doc_id: it
-only affects the size of the files, never their contents.
+The dictionary is trained on the ids of at most `SAMPLE_DOCS` documents, those with the least hashed doc_id: of each a run of
+`SAMPLE_IDS` ids that begins at a hashed place of its whole id array. It only affects the size of the files, never their
+contents. It is as large as an eighth of what it is trained on, up to `DICTIONARY_BYTES`. Where that is too little for any
+training (a few documents), the dictionary is empty, and frames are made without one.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, text_or_empty
-from .chunk_cache import ChunkCache, release_memory, word_chunks
+from .chunk_cache import ChunkCache, encode_chunks, flat_bytes, release_memory, word_cuts
 from .shingles import text_slices
 
 MAGIC, VERSION = b"OFTK", 1
 HEADER = struct.Struct("<4sI32s")
 FOOTER = struct.Struct("<QQ4s")
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_tokens", "<u8")])
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 3
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 2048, 64 << 10, 3
+#: Ids in one training sample, and the least dictionary in bytes.
+SAMPLE_CUT, LEAST_DICTIONARY = 256, 256
 END_ID = 0
 JOINED = 2000  # chunks in one string
 SLICE_BYTES = 8 << 20  # of text encoded at once
@@ -76,21 +80,18 @@ def _encoder(tokenizer_path: str) -> ChunkCache:
 
 def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts as one array, count of ids of each text), `end_id` appended to each."""
-    chunks, per_text = word_chunks(texts)
-    ids, per_chunk = _encoder(tokenizer_path).encode(chunks)
-    ends = np.concatenate([[0], np.cumsum(per_chunk)])
-    edges = ends[np.concatenate([[0], np.cumsum(per_text)])]
-    counts = np.diff(edges)
+    raw, ends = flat_bytes(texts)
+    ids, counts = encode_chunks(raw, ends, word_cuts, _encoder(tokenizer_path))
     if end_id is None:
         return ids, counts
-    return np.insert(ids, edges[1:], end_id), counts + 1
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, tokenizer_path: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     fs, path = pafs.FileSystem.from_uri(folder)
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
     part = TaskContext.get().partitionId()
     name, own = f"part-{part:05d}.tok", f"{path}/.{uuid.uuid4().hex}"
     rows, at, total = [], HEADER.size, 0
@@ -125,7 +126,7 @@ class TokenShard:
             raise ValueError(f"shard {part} of {folder}: not a token file of this dictionary")
         n, at, _ = FOOTER.unpack(self.file.read_at(FOOTER.size, self.file.size() - FOOTER.size))
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, at), INDEX)
-        self._unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+        self._unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
     def ids(self, row: int) -> np.ndarray:
         r = self.index[row]
@@ -155,33 +156,52 @@ def _read_back(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes
                 )
 
 
+def _sample_ids(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
+        ids, counts = encode_texts(batch.column("text"), tokenizer_path)
+        runs = []
+        for place, of in zip(batch.column("place").to_pylist(), np.split(ids.astype("<u4"), np.cumsum(counts)[:-1]), strict=True):
+            start = int(place * max(0, len(of) - SAMPLE_IDS + 1))
+            runs.append(of[start : start + SAMPLE_IDS].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(runs, pa.binary())], ["doc_id", "ids"])
+    release_memory()
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents' first SAMPLE_CHARS characters; raw bytes where too little is there."""
+    """A dictionary from runs of ids anywhere in at most SAMPLE_DOCS documents; empty where they are too little to train on."""
     # Ids alone are ordered; the bounded list of chosen ones then fetches the texts.
     ids = docs.select(F.col("doc_id").alias("s_id")).filter("s_id IS NOT NULL").distinct().orderBy(F.xxhash64("s_id"), "s_id").limit(SAMPLE_DOCS)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
-    rows = chosen.select("doc_id", F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id")
-    texts = pa.array([r["text"] for r in rows.collect()], pa.string())
-    ids, counts = encode_texts(texts, tokenizer_path)
-    samples = [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
-    if sum(map(len, samples)) > 8 * DICTIONARY_BYTES:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    return (b"".join(samples) or b"\0" * 8)[:DICTIONARY_BYTES].ljust(8, b"\0")
+    text = text_or_empty()
+    place = F.pmod(F.xxhash64(F.lit(3), "doc_id", text), F.lit(1 << 20)) / (1 << 20)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), place.alias("place"))
+    got = chosen.mapInArrow(lambda b: _sample_ids(b, tokenizer_path), "doc_id bigint, ids binary").groupBy("doc_id").agg(F.max("ids").alias("ids")).orderBy("doc_id").collect()
+    samples = [r["ids"][at : at + 4 * SAMPLE_CUT] for r in got for at in range(0, len(r["ids"]), 4 * SAMPLE_CUT)]
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    if size < LEAST_DICTIONARY:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too few samples, or nothing in them repeats
+        return b""
+
+
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> tuple[DataFrame, bytes]:
     """Write `docs` (doc_id, text) to shards in `folder`; returns (shard, n_docs, n_ids) and the dictionary.
 
-    Documents ascend by doc_id over the shards in order, null doc_ids first; rows with equal doc_ids stand
-    together. A null text is empty and has the end id only. Other columns are not read.
+    Documents ascend by doc_id over the shards in order, null doc_ids first; rows with equal doc_ids ascend by a hash of their
+    text. A null text is empty and has the end id only. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "token-files")
     dictionary = train_dictionary(docs, tokenizer_path)
     fs, path = pafs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{path}/dictionary.zst") as f:
         f.write(dictionary)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th", "text")
     shards = ordered.mapInArrow(lambda b: _write(b, folder, dictionary, tokenizer_path), "shard int, n_docs bigint, n_ids bigint")
     return scratch.table(shards, "shards"), dictionary
 

@@ -23,8 +23,9 @@ from orthoflow.llm.components import components, roots_of
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Columns that share names with ones the operators make.
-EXTRA = ["lang", "n", "th", "g_id", "g_sha", "g_th", "y", "l_id", "s_id", "grp", "rest", "keep_id", "cls", "row", "h1", "part", "key"]
+EXTRA = ["lang", "row", "length", "n", "th", "g_id", "g_sha", "g_th", "y", "l_id", "s_id", "grp", "rest", "keep_id", "cls", "h1", "part", "key"]
 SCHEMA = "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
@@ -250,6 +251,31 @@ def test_packing_places_every_token_once(spark):
     assert shapes == one_by_one(pieces, caps)
 
 
+def test_packed_sequences_decode_to_the_documents(spark, corpus):
+    rows = [*corpus, (990, "very long " * 3000)]
+    caps = (64, 256, 1024)
+    out = packing.pack_texts(docs_frame(spark, rows), BPE, caps).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    pieces: dict = {}
+    for x in out:
+        assert x["capacity"] in caps and len(x["ids"]) == x["n_tokens"] <= x["capacity"]
+        assert x["capacity"] == min(c for c in caps if c >= x["n_tokens"])
+        assert x["ids_crc32"] == zlib.crc32(np.array(x["ids"], "<u4").tobytes())
+        at = 0
+        for s in x["segments"]:
+            pieces.setdefault((s["doc_id"], s["row"]), []).append((s["start"], x["ids"][at : at + s["length"]]))
+            at += s["length"]
+        assert at == x["n_tokens"]
+    whole = Counter((doc, tuple(i for _, part in sorted(p) for i in part)) for (doc, _), p in pieces.items())
+    assert whole == Counter((i, (*tok.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
+    lengths = [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    cut = [min(1024, n - s) for n in lengths for s in range(0, n, 1024)]
+    got = Counter((x["capacity"], tuple(sorted((s["length"] for s in x["segments"]), reverse=True))) for x in out)
+    assert got == one_by_one(cut, caps)
+
+
 # --- 5 ---
 
 
@@ -563,8 +589,6 @@ def test_url_rules_equal_brute_force(spark, rule_bytes):
 
 # --- 9 ---
 
-BPE = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def test_token_files(spark, corpus):
     from tokenizers import Tokenizer
@@ -599,6 +623,39 @@ def test_token_files(spark, corpus):
         token_files.TokenShard(folder, part, b"other" * 10)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 40])
+def test_token_files_of_few_documents(spark, rows):
+    """From one document, too little for a dictionary, to enough for a small one."""
+    r = random.Random(rows)
+    df = docs_frame(spark, [(i, rng_words(r, 300, 60)) for i in range(rows)])
+    folder = Scratch(spark, "test").mkdirs("shards")
+    shards, dictionary = token_files.write_token_files(df, BPE, folder)
+    assert (len(dictionary) == 0) == (rows == 1) and len(dictionary) <= token_files.DICTIONARY_BYTES
+    got = token_files.read_token_files(shards, folder, dictionary).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(rows))
+
+
+def test_order_of_equal_ids_is_defined(spark):
+    rows = [(1, f"text {i}") for i in range(30)]
+    read = [sorted(map(tuple, token_files.round_trip(docs_frame(spark, rows[::step]), BPE).collect())) for step in (1, -1)]
+    assert read[0] == read[1]
+
+
+@pytest.mark.parametrize("most", [64, 1000])
+def test_long_texts_are_encoded_in_parts(monkeypatch, most):
+    """A text cut into parts of a few bytes has the ids it has as a whole, for both tokenizers."""
+    from orthoflow.llm import chunk_cache
+
+    r = random.Random(1)
+    texts = pa.array(["", rng_words(r, 400), "x" * 3000, "a\n" * 500 + "é é\u3000é" * 200, " " * 500 + "end", rng_words(r, 30)])
+    whole = token_files.encode_texts(texts, BPE), sentencepiece_codec.encode_texts(texts, PIECES)
+    cut = chunk_cache.encode_chunks
+    for module in (token_files, sentencepiece_codec):
+        monkeypatch.setattr(module, "encode_chunks", lambda raw, ends, cuts, cache: cut(raw, ends, cuts, cache, most))
+    for (ids, counts), (p_ids, p_counts) in zip(whole, (token_files.encode_texts(texts, BPE), sentencepiece_codec.encode_texts(texts, PIECES)), strict=True):
+        assert ids.tolist() == p_ids.tolist() and counts.tolist() == p_counts.tolist()
+
+
 @given(st.lists(st.text(alphabet=" ab'é\u00a0\u3000\n\t<|1.日", max_size=20), min_size=1, max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_chunks_encode_like_whole_texts(texts):
@@ -702,10 +759,10 @@ def test_pipeline_stages(spark):
     near = corpus_pipeline.near_copies(spark, docs, SF)
     assert near.columns == docs.columns
     assert {r["doc_id"] for r in near.collect()} == {i for i, _, _, keep in brute_components(pairs, 5) if keep}
-    packed = corpus_pipeline.best_fit(spark, docs, SF)
-    want = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1 for i, r in rows.items()}
+    packed = corpus_pipeline.best_fit(spark, docs, SF).select(F.inline("segments"))
+    want = {r["doc_id"]: r["n_tokens"] for r in queries.op9_token_files(spark, SF).collect()}
     assert {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
     # The whole run is the stages one after another.
     end = corpus_pipeline.run(spark, SF)
-    ids = {r["doc_id"] for r in end.select("doc_id").distinct().collect()}
+    ids = {r["doc_id"] for r in end.select(F.inline("segments")).select("doc_id").distinct().collect()}
     assert ids and ids <= kept
