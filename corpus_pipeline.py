@@ -1,7 +1,8 @@
 """A training-corpus pipeline over `documents`: quality, exact copies, near copies, packing.
 
 Each stage takes (spark, docs, sf_dir) and its result is written as Parquet and read again as the next one's docs.
-The first three return rows of `documents`, unchanged; the last returns the packing plan.
+The first three return rows of `documents`, unchanged; the last returns packed sequences: which pieces stand in each, and
+the checksum of their ids.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orthoflow.llm import exact_dedup, minhash_dedup, packing, quality
-from orthoflow.llm._shared import Scratch, read
+from orthoflow.llm._shared import Scratch, read, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
-    return packing.pack(packing.word_lengths(docs))
+    """Packed sequences of the token ids of all documents."""
+    return packing.pack_texts(docs, tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
