@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate, islice
 from typing import NamedTuple
 
 #: Above this many cells a diff gives up and returns one hunk for the whole paragraph.
@@ -35,43 +37,56 @@ def pieces(text: str) -> list[str]:
     return re.findall(r"\s+|\S+", text)
 
 
+def _growth(a: list[str], b: list[str]) -> list[int]:
+    """For each i a bit set over j, b's last piece first: where the longest common subsequence of a[i:] and b[j:] outgrows that of b[j + 1:].
+
+    One addition of long integers per piece of `a` makes a whole row.
+    """
+    places: dict[str, int] = {}
+    for k, piece in enumerate(reversed(b)):
+        places[piece] = places.get(piece, 0) | 1 << k
+    every = (1 << len(b)) - 1
+    level, rows = every, []
+    for piece in reversed(a):
+        met = level & places.get(piece, 0)
+        level = ((level + met) | (level - met)) & every
+        rows.append(every ^ level)
+    return rows[::-1]
+
+
+def _common(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of the common subsequence that takes a match wherever it meets one, and of equal ways an insertion first."""
+    rows, top = _growth(a, b), len(b) - 1
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif rows[i] >> top - j & 1:  # b[j] is needed, so a[i] goes
+            i += 1
+        else:
+            j += 1
+
+
 def diff(old: str, new: str) -> list[Hunk]:
-    """Hunks that turn `old` into `new`: by longest common subsequence of pieces, neighbours merged.
+    """Hunks that turn `old` into `new`: what lies between the pieces of a longest common subsequence.
 
     Of equal ways, an insertion is taken before a deletion.
     """
     if old == new:
         return []
     a, b = pieces(old), pieces(new)
-    n, m = len(a), len(b)
-    if n * m > MOST_CELLS:
+    if len(a) * len(b) > MOST_CELLS:
         return [Hunk(0, len(old), new)]
-    # Common ends cannot change the way back through the table: they are on every longest path there.
-    length = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = length[i], length[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    starts = [0]
-    for p in a:
-        starts.append(starts[-1] + len(p))
-    out: list[list] = []
-    joins = False
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            i, j, joins = i + 1, j + 1, False
-            continue
-        if not joins:
-            out.append([starts[i], starts[i], ""])
-            joins = True
-        if j < m and (i == n or length[i][j + 1] >= length[i + 1][j]):
-            out[-1][2] += b[j]
-            j += 1
-        else:
-            i += 1
-            out[-1][1] = starts[i]
-    return [Hunk(*h) for h in out]
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    starts = [0, *accumulate(map(len, a))]
+    out = []
+    at, bt = head, head
+    for i, j in [*((i + head, j + head) for i, j in _common(a[head:], b[head:])), (len(a), len(b))]:
+        if i > at or j > bt:
+            out.append(Hunk(starts[at], starts[i], "".join(b[bt:j])))
+        at, bt = i + 1, j + 1
+    return out
 
 
 def nearest(text: str, piece: str, near: int) -> int | None:
@@ -98,46 +113,23 @@ def sentence_window(text: str, start: int, end: int) -> tuple[int, int]:
     return left, right
 
 
-_END = ".!?…\n"
-_AFTER = "”\"»’')"
-_CLOSE = "”\"»’"
-
-
-def _may_follow(c: str) -> bool:
-    return c.isspace() or c in _AFTER
-
-
-def _ends_sentence(text: str, i: int) -> bool:
-    """Whether text[i] bounds a sentence: a newline, or an end mark with white space or a closing mark behind it."""
-    return text[i] == "\n" or (text[i] in _END and (i + 1 == len(text) or _may_follow(text[i + 1])))
+#: What bounds a sentence: a newline, or an end mark with white space, a quote, an apostrophe, a bracket or nothing behind it.
+_BEHIND = r"\s”\"»’')"
+_BOUND = rf"(?:\n|[.!?…](?=[{_BEHIND}]|\Z))"
+#: Bounds with nothing between them but what may stand behind one count once. Ahead of a blank the last bound of such a group tells ...
+_BOUNDS_AHEAD = re.compile(rf"{_BOUND}(?:(?:[{_BEHIND}]|{_BOUND})*{_BOUND})?(?P<rest>[{_BEHIND}]*)")
+#: ... and behind it the first one, with the quotes that close on it.
+_BOUND_BEHIND = re.compile(rf"(?P<end>{_BOUND}[”\"»’]*)\s*")
 
 
 def blank_window(before: str, text: str, after: str, start: int, end: int) -> tuple[str, str]:
     """What stands ahead of and behind [start, end) of `text`: two sentences each, over the neighbouring paragraphs."""
-    left = (before + "\n" if before else "") + text[:start]
-    right = text[end:] + ("\n" + after if after else "")
-    at, count, inside = 0, CONTEXT_SENTENCES, False
-    for i in range(len(left) - 1, -1, -1):
-        bound = left[i] == "\n" or (left[i] in _END and (i + 1 == len(left) or _may_follow(left[i + 1])))
-        if bound and not inside:
-            count -= 1
-            if not count:
-                at = i + 1
-                while at < len(left) and _may_follow(left[at]):
-                    at += 1
-                break
-        inside = bound or (inside and _may_follow(left[i]))
-    i, count = 0, CONTEXT_SENTENCES
-    while i < len(right):
-        bound = _ends_sentence(right, i)
-        i += 1
-        if not bound:
-            continue
-        while i < len(right) and right[i] in _CLOSE:
-            i += 1
-        count -= 1
-        if not count:
-            break
-        while i < len(right) and right[i].isspace():
-            i += 1
-    return _clip_left(left[at:], BEFORE_BYTES), _clip_right(right[:i], AFTER_BYTES)
+    left = f"{before}\n{text[:start]}" if before else text[:start]
+    right = f"{text[end:]}\n{after}" if after else text[end:]
+    ahead = [m.end() for m in _BOUNDS_AHEAD.finditer(left)][-CONTEXT_SENTENCES:]
+    behind = [m.end("end") for m in islice(_BOUND_BEHIND.finditer(right), CONTEXT_SENTENCES)]
+    if len(ahead) == CONTEXT_SENTENCES:
+        left = left[ahead[0] :]
+    if len(behind) == CONTEXT_SENTENCES:
+        right = right[: behind[-1]]
+    return _clip_left(left, BEFORE_BYTES), _clip_right(right, AFTER_BYTES)
