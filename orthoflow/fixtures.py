@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .staging import local_table
+
 SYLLABLES = (
     "phú lần của người không biết e rằng ngồi ở chúng ta thương tình mẹ dương nhưng những hỏa tộc hàn lập thiên uyên "
     "bêtông micrô rađa nilông cafê pittông quýt méc được"
@@ -54,15 +56,15 @@ PARAGRAPH_SCHEMA = "book_id string, entry_ix int, para_ix int, text string"
 
 
 def paragraphs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARAGRAPHS, PARAGRAPH_SCHEMA)
+    return local_table(spark, PARAGRAPHS, PARAGRAPH_SCHEMA)
 
 
 def syllables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SYLLABLES], "syllable string")
+    return local_table(spark, [(s,) for s in SYLLABLES], "syllable string")
 
 
 def compounds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in COMPOUNDS], "compound string")
+    return local_table(spark, [(c,) for c in COMPOUNDS], "compound string")
 
 
 def sql_values(rows, columns: str) -> str:

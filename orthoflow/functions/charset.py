@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,7 +66,7 @@ WITH_TONE = {v[0]: v for v in VOWELS}
 PLAIN_OF = dict(zip(_STRIP_FROM, _STRIP_TO, strict=True))
 
 
-def _ranges(chars: str) -> str:
+def char_ranges(chars: Iterable[str]) -> str:
     """The characters as the ranges of a regex class: short classes are fast."""
     codes, out = sorted(map(ord, set(chars))), []
     for c in codes:
@@ -75,14 +77,15 @@ def _ranges(chars: str) -> str:
     return "".join(chr(a) if a == b else f"{chr(a)}{chr(b)}" if b == a + 1 else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
+@functools.cache
 def letter_class(compat_lowercase_letters: bool = False) -> str:
     """Regex class of word letters. Upper-case accented vowels count as letters unless the compatibility switch is on.
 
     With the switch, only lower-case vowels, ASCII letters and đ/Đ are letters, so `Ước` gives the token `ớc`.
     """
     if compat_lowercase_letters:
-        return "[" + _ranges(LOWER_LETTERS + "ABCDEFGHIJKLMNOPQRSTUVWXYZĐ") + "]"
-    return "[" + _ranges(LETTERS) + "]"
+        return "[" + char_ranges(LOWER_LETTERS + "ABCDEFGHIJKLMNOPQRSTUVWXYZĐ") + "]"
+    return "[" + char_ranges(LETTERS) + "]"
 
 
 def strip_tone(s: str) -> str:
@@ -159,7 +162,7 @@ def letters_class_col(c: Column) -> Column:
     """acronym, nonword, viet or plain of a word that is known to hold letters only."""
     return (
         F.when((F.length(c) > 1) & (c == F.upper(c)), "acronym")
-        .when(~F.lower(c).rlike(f"[{_ranges(VOWEL_CHARS)}]"), "nonword")
+        .when(~F.lower(c).rlike(f"[{char_ranges(VOWEL_CHARS)}]"), "nonword")
         .when(F.octet_length(c) != F.length(c), "viet")
         .otherwise("plain")
     )
@@ -170,6 +173,7 @@ def token_class_col(c: Column, compat_lowercase_letters: bool = False) -> Column
     return F.when((c == "") | ~is_letters_col(c, compat_lowercase_letters), "nonword").otherwise(letters_class_col(c))
 
 
+@functools.lru_cache(1 << 16)
 def token_class(s: str) -> str:
     if not s or not re.fullmatch(letter_class() + "+", s):
         return "nonword"

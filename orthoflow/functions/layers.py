@@ -6,6 +6,7 @@ tone marks, confusable phrases. Offsets of an edit are code points of its layer'
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import Options
-from .charset import INVISIBLE, LETTERS, ODD_SPACES, TWO_STYLES, token_class
+from .charset import INVISIBLE, ODD_SPACES, TWO_STYLES, char_ranges, letter_class, token_class
 from .editing import apply_edits, diff, nearest
 from .syllables import parse, spell
 
@@ -51,9 +52,22 @@ def _compose_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@functools.cache
+def uncomposed() -> str:
+    """Regex class of all that composition can change: marks, what is the later part of a composed character, and single characters with another NFC."""
+    alone, later = [], set()
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        if unicodedata.normalize("NFC", c) != c:
+            alone.append(c)
+        elif len(parts := unicodedata.normalize("NFD", c)) > 1:
+            later.update(parts[1:])
+    # The long class is asked only about what is neither Latin, nor Vietnamese, nor common punctuation.
+    return rf"(?=[^\x00-\x{{2FF}}\x{{1EA0}}-\x{{1EF9}}\x{{2010}}-\x{{2027}}])[\p{{M}}{char_ranges([*alone, *later])}]"
+
+
 def compose(c: Column) -> Column:
-    """Canonical composition (NFC); Spark has no function for it. Rows without a combining mark skip the Python call."""
-    return F.pandas_udf(_compose_batch, "string")(c)
+    """Canonical composition (NFC); Spark has no function for it. Python sees only texts that it may change, and nulls for the others."""
+    return F.coalesce(F.pandas_udf(_compose_batch, "string")(F.when(c.rlike(uncomposed()), c)), c)
 
 
 def space_before_closing(c: Column) -> Column:
@@ -153,10 +167,14 @@ def spacing_edits(text: str) -> list[Edit]:
     return out
 
 
+_WORD = re.compile(f"{letter_class()}+")
+
+
 def words(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.group()) for m in re.finditer(f"[{LETTERS}]+", text)]
+    return [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
 
 
+@functools.lru_cache(1 << 16)
 def respell(word: str, new_style: bool) -> str | None:
     """The word with its tone mark in place, in the word's case: all upper, first upper, or lower."""
     s = parse(word)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import local_table
 from .charset import BASE_OF, LEVEL, MARKED, NANG, ONSETS, RHYMES, SAC, TONE_OF, TWO_STYLES, WITH_TONE, is_vowel
 
 _RHYMES = frozenset(RHYMES)
@@ -127,4 +128,4 @@ def syllable_table(spark: SparkSession) -> DataFrame:
     About 37 thousand rows of a few dozen bytes, by construction; it may always be broadcast.
     """
     rows = [(w, *v) for w, v in sorted(all_words().items())]
-    return spark.createDataFrame(rows, "word string, onset string, rhyme string, tone int, old_spelling string, new_spelling string")
+    return local_table(spark, rows, "word string, onset string, rhyme string, tone int, old_spelling string, new_spelling string")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import candidates as C
-from ..functions.charset import keeps_onset_col, tone_marks_col
+from ..functions.charset import VOWEL_CHARS, keeps_onset_col, tone_marks_col
 from .tokens import capitalised
 
 #: Cost of a split beside the candidates' costs: trusted, and not.
@@ -21,11 +22,12 @@ MOST_ENTRIES = 1_000_000
 _CANDS = "tok string, cands array<struct<cand:string,cost:int>>, splits array<string>, strong array<boolean>, compound array<boolean>, repaired string"
 
 
-def _entries(df: DataFrame, column: str) -> frozenset[str]:
+def _entries(df: DataFrame, column: str) -> Broadcast[frozenset[str]]:
+    """The entries of a lexicon, sent to each executor once."""
     rows = df.select(column).distinct().limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"{column} lexicon has more than {MOST_ENTRIES} entries")
-    return frozenset(r[0] for r in rows if r[0])
+    return df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows if r[0]))
 
 
 def candidate_table(distinct: DataFrame, lexicon: DataFrame, compounds: DataFrame) -> DataFrame:
@@ -33,10 +35,11 @@ def candidate_table(distinct: DataFrame, lexicon: DataFrame, compounds: DataFram
 
     cands: at most 40 (cand, cost) in order; splits with their flags in order; repaired: `uơ` set right, or null.
     """
-    words, phrases = _entries(lexicon, "syllable"), _entries(compounds, "compound")
+    known_words, known_phrases = _entries(lexicon, "syllable"), _entries(compounds, "compound")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("cand", pa.string()), ("cost", pa.int32())]))
+        words, phrases = known_words.value, known_phrases.value
         for batch in batches:
             toks = batch.column(0).to_pylist()
             cut = [C.splits(t, words.__contains__, phrases) for t in toks]
@@ -83,24 +86,30 @@ def rank_candidates(
     case). Candidates that are no lexicon words go if any candidate of the case is one. The order is typo,
     name cluster, kept onset, compound, cost, then the order in which candidates were made.
     """
-    weak = F.transform("splits", lambda s: ~F.forall(F.slice(F.split(F.lower(s), " "), F.lit(2), F.lit(9)), lambda p: ~p.rlike("^[aăâeêioôơuưyàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ]")))
+    # What depends on the token alone is found once per distinct token.
+    weak = F.transform("splits", lambda s: ~F.forall(F.slice(F.split(F.lower(s), " "), F.lit(2), F.lit(9)), lambda p: ~p.rlike(f"^[{VOWEL_CHARS}]")))
     trusted = tone_marks_col(F.col("tok")) > 1
     split_cands = F.zip_with("splits", weak, lambda s, w: F.struct(s.alias("cand"), F.when(w & ~trusted, WEAK_SPLIT).otherwise(SPLIT).alias("cost")))
-    rows = cases.join(F.broadcast(typos.select(F.col("typo").alias("t_key"), "answers")), F.lower("tok") == F.col("t_key"), "left")
+    toks = cases.select("tok", "cands", "splits", "repaired").dropDuplicates(["tok"])
+    toks = toks.join(typos.select(F.col("typo").alias("t_key"), "answers"), F.lower("tok") == F.col("t_key"), "left")
     answers = F.coalesce("answers", F.when(F.col("repaired").isNotNull(), F.array("repaired")), F.array().cast("array<string>"))
-    rows = rows.withColumn("answers", answers)
-    rows = rows.select("case_id", "book_id", "tok", "prev", "next", "answers", F.posexplode(F.concat("cands", split_cands)).alias("made", "c"))
-    rows = rows.select("*", "c.cand", "c.cost").drop("c")
-    rows = _has(rows, F.lower("cand"), lexicon, "syllable", "single")
-    rows = rows.withColumn("is_real", F.col("single") | F.contains("cand", F.lit(" "))).drop("single")
-    rows = rows.withColumn("any_real", F.max("is_real").over(W.partitionBy("case_id"))).filter(F.col("is_real") | ~F.col("any_real")).drop("any_real")
-    rows = rows.withColumn("typo", F.array_contains("answers", F.lower("cand")).cast("int"))
+    toks = toks.withColumn("answers", answers).select("tok", "answers", F.posexplode(F.concat("cands", split_cands)).alias("made", "c"))
+    toks = toks.select("tok", "answers", "made", "c.cand", "c.cost")
+    toks = _has(toks, F.lower("cand"), lexicon, "syllable", "single")
+    toks = _has(toks, F.when(F.contains("cand", F.lit(" ")), F.lower("cand")), compounds, "compound", "whole")
+    made = F.struct(
+        "made", "cand", "cost", (F.col("single") | F.contains("cand", F.lit(" "))).alias("is_real"), F.array_contains("answers", F.lower("cand")).cast("int").alias("typo"),
+        keeps_onset_col(F.col("tok"), F.col("cand")).cast("int").alias("keep"), F.col("whole").cast("int").alias("whole"),
+    )
+    toks = toks.groupBy("tok", "answers").agg(F.collect_list(made).alias("made"))
+    real = F.filter("made", lambda m: m["is_real"])
+    toks = toks.select("tok", "answers", F.when(F.size(real) > 0, real).otherwise(F.col("made")).alias("made"))
+    rows = cases.select("case_id", "book_id", "tok", "prev", "next").join(toks, "tok")
+    rows = rows.select("case_id", "book_id", "tok", "prev", "next", "answers", F.inline("made"))
     rows = _phrases(rows, clusters, "phrase", ["book_id"], "cluster")
     rows = rows.withColumn("cluster", F.when(capitalised(F.col("tok")), F.col("cluster")).otherwise(0))
-    rows = rows.withColumn("keep", keeps_onset_col(F.col("tok"), F.col("cand")).cast("int"))
     rows = _phrases(rows, compounds, "compound", [], "compound")
-    rows = _has(rows, F.when(F.contains("cand", F.lit(" ")), F.lower("cand")), compounds, "compound", "whole")
-    rows = rows.withColumn("compound", F.col("compound") + F.col("whole").cast("int")).drop("whole")
+    rows = rows.withColumn("compound", F.col("compound") + F.col("whole")).drop("whole")
     rows = _has(rows, F.struct("book_id", F.lower("cand").alias("word")), used.select(F.struct("book_id", "word").alias("w")), "w", "in_use")
     counted = used.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_used"))
     rows = rows.join(counted, "book_id", "left")

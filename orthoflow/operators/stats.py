@@ -1,27 +1,46 @@
 """What a whole book says about itself: tone style, names, name clusters, words in use.
 
-Every count is a grouped aggregate with partial aggregation, so frequent words stay cheap however large a book is.
+All of it follows from one table, `seen`: the counts of the tokens that any statistic asks for, made in one scan with partial
+aggregation, so frequent words stay cheap however large a book is. Lexicons are joined to distinct words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.charset import TWO_STYLES
-from .tokens import bigrams, capitalised, mid_sentence
+from ..functions.charset import ONSETS, TWO_STYLES, letters_class_col, strip_tone_col
+from .tokens import capitalised, has_marks, mid_sentence, tokens
 
 #: A word must occur this often to count as a name, cluster or word in use.
 LEAST = 3
 
 
-def tone_style(toks: DataFrame, syllables: DataFrame) -> DataFrame:
-    """(book_id, n_old, n_new, style, minority): votes of the words whose mark has two places; a tie is old."""
+def seen(paras: DataFrame) -> DataFrame:
+    """(book_id, tok, token_class, named, next, n) of the tokens that statistics ask for: with marks, or the first of a capitalised pair.
+
+    `named`: capitalised in mid-sentence. `next`: the token after it, where both make such a pair of clean words with one space between.
+    """
+    toks = tokens(paras, ["book_id"], keep=lambda t: has_marks(t) | capitalised(t))
+    clean = F.col("token_class").isin("viet", "plain") & letters_class_col(F.col("next")).isin("viet", "plain")
+    named = capitalised(F.col("tok")) & F.col("prev").isNotNull() & mid_sentence(F.col("gap"))
+    pair = named & clean & (F.col("gap_after") == " ") & capitalised(F.col("next"))
+    rows = toks.select("book_id", "tok", "token_class", F.coalesce(named, F.lit(False)).alias("named"), F.when(pair, F.col("next")).alias("next"))
+    rows = rows.filter("token_class = 'viet' OR next IS NOT NULL")
+    return rows.groupBy("book_id", "tok", "token_class", "named", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _words(counts: DataFrame, condition: str) -> DataFrame:
+    return counts.filter(condition).groupBy("book_id", F.lower("tok").alias("word")).agg(F.sum("n").alias("n"))
+
+
+def tone_style(counts: DataFrame, syllables: DataFrame) -> DataFrame:
+    """(book_id, n_old, n_new, style, minority) from `seen`: votes of the words whose mark has two places; a tie is old."""
     two = syllables.filter(F.col("rhyme").isin(*TWO_STYLES) & (F.col("tone") != 0)).select("word", "old_spelling", "new_spelling")
-    low = toks.filter("token_class = 'viet'").withColumn("word", F.lower("tok"))
-    votes = low.join(F.broadcast(two), "word", "left").groupBy("book_id")
-    old = F.col("word") == F.col("old_spelling")
-    counted = votes.agg(F.count_if(old).alias("n_old"), F.count_if(~old & (F.col("word") == F.col("new_spelling"))).alias("n_new"))
+    votes = _words(counts, "token_class = 'viet'").join(F.broadcast(two), "word", "left")
+    old, new = F.expr("word = old_spelling"), F.expr("word <> old_spelling AND word = new_spelling")
+    counted = votes.groupBy("book_id").agg(F.sum(F.when(old, F.col("n")).otherwise(0)).alias("n_old"), F.sum(F.when(new, F.col("n")).otherwise(0)).alias("n_new"))
     total = F.col("n_old") + F.col("n_new")
     return counted.select(
         "book_id", "n_old", "n_new", F.when(F.col("n_new") > F.col("n_old"), "new").otherwise("old").alias("style"),
@@ -33,44 +52,54 @@ def _known(df: DataFrame, column: str, lexicon: DataFrame, how: str) -> DataFram
     return df.join(lexicon.select(F.col("syllable").alias(column)), column, how)
 
 
-def names(toks: DataFrame, lexicon: DataFrame, least: int = LEAST) -> DataFrame:
-    """(book_id, word, n): capitalised words in mid-sentence that the lexicon lacks, at least `least` times."""
-    found = toks.filter((F.col("token_class") == "viet") & capitalised(F.col("tok")) & F.col("prev").isNotNull() & mid_sentence(F.col("gap")))
-    found = _known(found.select("book_id", F.lower("tok").alias("word")), "word", lexicon, "left_anti")
-    return found.groupBy("book_id", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+def names(counts: DataFrame, lexicon: DataFrame, least: int = LEAST) -> DataFrame:
+    """(book_id, word, n) from `seen`: capitalised words in mid-sentence that the lexicon lacks, at least `least` times."""
+    return _known(_words(counts, "token_class = 'viet' AND named").filter(F.col("n") >= least), "word", lexicon, "left_anti").select("book_id", "word", "n")
+
+
+def name_clusters(counts: DataFrame, lexicon: DataFrame, compounds: DataFrame, least: int = LEAST) -> DataFrame:
+    """(book_id, phrase, n) from `seen`: capitalised pairs of lexicon words in mid-sentence that are no compound, at least `least` times."""
+    pairs = counts.filter("next IS NOT NULL").groupBy("book_id", F.lower("tok").alias("a"), F.lower("next").alias("b")).agg(F.sum("n").alias("n"))
+    pairs = _known(_known(pairs.filter(F.col("n") >= least), "a", lexicon, "left_semi"), "b", lexicon, "left_semi")
+    pairs = pairs.select("book_id", F.concat_ws(" ", "a", "b").alias("phrase"), "n")
+    return pairs.join(compounds.select(F.col("compound").alias("phrase")), "phrase", "left_anti").select("book_id", "phrase", "n")
+
+
+def used_words(counts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(book_id, word, n) from `seen`: words with a diacritic or tone, at least `least` times in the book."""
+    return _words(counts, "token_class = 'viet'").filter(F.col("n") >= least)
 
 
-def name_clusters(toks: DataFrame, lexicon: DataFrame, compounds: DataFrame, least: int = LEAST) -> DataFrame:
-    """(book_id, phrase, n): capitalised pairs of lexicon words in mid-sentence that are no compound, at least `least` times."""
-    clean = F.col("first_class").isin("viet", "plain") & F.col("second_class").isin("viet", "plain")
-    pairs = bigrams(toks).filter(
-        clean & capitalised(F.col("first")) & capitalised(F.col("second")) & F.col("prev").isNotNull() & mid_sentence(F.col("gap"))
-    )
-    pairs = pairs.select("book_id", F.lower("first").alias("a"), F.lower("second").alias("b"))
-    pairs = _known(_known(pairs, "a", lexicon, "left_semi"), "b", lexicon, "left_semi")
-    pairs = pairs.select("book_id", F.concat_ws(" ", "a", "b").alias("phrase"))
-    pairs = pairs.join(compounds.select(F.col("compound").alias("phrase")), "phrase", "left_anti")
-    return pairs.groupBy("book_id", "phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+def _suspicious(words: DataFrame, lexicon: DataFrame, syllables: DataFrame, book_names: DataFrame) -> DataFrame:
+    """Of (book_id, word, ...) those that the lexicon lacks, that no syllable structure allows and that are no name of the book."""
+    found = _known(words, "word", lexicon, "left_anti")
+    found = found.join(F.broadcast(syllables.select("word")), "word", "left_anti")
+    return found.join(book_names.select("book_id", "word"), ["book_id", "word"], "left_anti")
 
 
-def used_words(toks: DataFrame, least: int = LEAST) -> DataFrame:
-    """(book_id, word, n): words with a diacritic or tone, at least `least` times in the book."""
-    low = toks.filter("token_class = 'viet'").groupBy("book_id", F.lower("tok").alias("word"))
-    return low.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+def suspicious_words(counts: DataFrame, lexicon: DataFrame, syllables: DataFrame, book_names: DataFrame) -> DataFrame:
+    """(book_id, word, n) from `seen`: the distinct suspicious words."""
+    return _suspicious(_words(counts, "token_class = 'viet'"), lexicon, syllables, book_names).select("book_id", "word", "n")
 
 
 def suspicious(toks: DataFrame, lexicon: DataFrame, syllables: DataFrame, book_names: DataFrame, plain_words: bool = False) -> DataFrame:
-    """Tokens that the lexicon lacks, that no syllable structure allows and that are no name of the book."""
+    """The suspicious ones of tokens, rows as they are; plain words only with `plain_words`."""
     kinds = ["viet", "plain"] if plain_words else ["viet"]
-    found = toks.filter(F.col("token_class").isin(*kinds)).withColumn("low", F.lower("tok"))
-    found = _known(found, "low", lexicon, "left_anti")
-    found = found.join(F.broadcast(syllables.select(F.col("word").alias("low"))), "low", "left_anti")
-    return found.join(book_names.select("book_id", F.col("word").alias("low")), ["book_id", "low"], "left_anti").drop("low")
-
-
-def invalid_words(toks: DataFrame, syllables: DataFrame) -> DataFrame:
-    """(word, n, share): viet tokens without a valid structure, by frequency; share of all viet tokens."""
-    low = toks.filter("token_class = 'viet'").groupBy(F.lower("tok").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    total = low.agg(F.sum("n").alias("total"))
-    bad = low.join(F.broadcast(syllables.select("word")), "word", "left_anti")
-    return bad.join(F.broadcast(total)).select("word", "n", (F.col("n") / F.col("total")).alias("share"))
+    found = toks.filter(F.col("token_class").isin(*kinds)).withColumn("word", F.lower("tok"))
+    return _suspicious(found, lexicon, syllables, book_names).drop("word")
+
+
+def audit(words: DataFrame, syllables: DataFrame, top: int | None = 60) -> DataFrame:
+    """(word, n, share, rest, place) of the viet words (word, n) without a valid structure, the most frequent `top` first.
+
+    `share` is the word's share of all viet tokens, `rest` is what follows its first
+    consonants, where a rhyme should be. `top` None gives all, unplaced.
+    """
+    bad = words.join(F.broadcast(syllables.select("word")), "word", "left_anti")
+    total = words.agg(F.sum("n").alias("total"))  # one row
+    onset = "^(?:" + "|".join(ONSETS) + ")?"
+    out = bad.join(F.broadcast(total)).select("word", "n", (F.col("n") / F.col("total")).alias("share"), F.regexp_replace(strip_tone_col(F.col("word")), onset, "").alias("rest"))
+    if top is None:
+        return out
+    first = out.orderBy(F.desc("n"), "word").limit(top)
+    return first.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "word")))

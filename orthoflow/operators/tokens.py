@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.charset import letter_class, letters_class_col
@@ -21,33 +23,53 @@ def part_start(parts: Column, pos: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), pos), F.lit(0), lambda n, p: n + F.length(p))
 
 
-def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bool = False) -> DataFrame:
+def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bool = False, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per token: keys, tok_ix, pos, tok, prev, next, gap (text ahead of it), gap_after, token_class.
 
-    `prev` and `next` are the neighbouring tokens, null at the ends; null texts have no tokens.
+    `prev` and `next` are the neighbouring tokens, null at the ends; null texts have no tokens. With `keep`, a condition on the
+    token, others still count as neighbours but get no row of their own.
     """
     parts = F.col("parts")
+    # Letters and others alternate, so the first part tells which places hold tokens.
+    first = F.when(F.get(parts, F.lit(0)).rlike("^" + letter_class(compat_lowercase_letters)), 0).otherwise(1)
+    places = F.when(F.size(parts) > first, F.sequence(first, F.size(parts) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    if keep is not None:
+        places = F.filter(places, lambda i: keep(F.get(parts, i)))
     near = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            i.alias("pos"), p.alias("tok"), F.get(parts, i - 2).alias("prev"), F.get(parts, i + 2).alias("next"),
+        places,
+        lambda i: F.struct(
+            i.alias("pos"), F.get(parts, i).alias("tok"), F.get(parts, i - 2).alias("prev"), F.get(parts, i + 2).alias("next"),
             F.get(parts, i - 1).alias("gap"), F.get(parts, i + 1).alias("gap_after"),
         ),
     )
-    # Letters and others alternate, so the first part tells which places hold tokens.
-    first = F.when(F.get(parts, F.lit(0)).rlike("^" + letter_class(compat_lowercase_letters)), 0).otherwise(1)
-    rows = paras.select(*keys, parts_col(F.col("text"), compat_lowercase_letters).alias("parts")).select(*keys, "parts", first.alias("first"))
-    rows = rows.select(*keys, F.inline(F.filter(near, lambda x: (x["pos"] % 2) == F.col("first"))))
+    rows = paras.select(*keys, parts_col(F.col("text"), compat_lowercase_letters).alias("parts")).select(*keys, F.inline(near))
     return rows.select(
         *keys, F.shiftright("pos", 1).alias("tok_ix"), "pos", "tok", "prev", "next", "gap", "gap_after",
         letters_class_col(F.col("tok")).alias("token_class"),
     )
 
 
+def token_counts(paras: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tok, n): how often each token stands in the texts of each key.
+
+    Texts are cut by a class of three ranges, which is fast, into runs that hold whole tokens. Those are counted, with partial
+    aggregation, and only distinct ones are cut into the tokens themselves.
+    """
+    coarse = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z\x{80}-\x{10FFFF}]+)"), F.lit(1))).alias("run")
+    runs = paras.select(*keys, coarse).groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"))
+    toks = runs.select(*keys, F.explode(F.regexp_extract_all("run", F.lit(f"({letter_class()}+)"), F.lit(1))).alias("tok"), "n")
+    return toks.groupBy(*keys, "tok").agg(F.sum("n").alias("n"))
+
+
 def capitalised(c: Column) -> Column:
     return c.rlike(r"^\p{IsUppercase}")
 
 
+def has_marks(c: Column) -> Column:
+    """Whether a token holds a letter beyond ASCII: all `viet` tokens do."""
+    return F.octet_length(c) != F.length(c)
+
+
 def mid_sentence(gap: Column) -> Column:
     """A gap of only spaces, commas and semicolons: a capital behind it is a name's."""
     return gap.rlike("^[ ,;]*$")
@@ -62,11 +84,9 @@ def bigrams(toks: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
-def paragraph_context(paras: DataFrame) -> DataFrame:
-    """Each paragraph with the texts before and after it in its entry (empty at the ends)."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("book_id", "entry_ix").orderBy("para_ix")
+def paragraph_context(paras: DataFrame, also: list[str] = []) -> DataFrame:
+    """Each paragraph with the texts before and after it in its entry (empty at the ends); columns in `also` are kept and break ties."""
+    order = Window.partitionBy("book_id", "entry_ix").orderBy("para_ix", *also)
     return paras.select(
-        *KEY, "text", F.coalesce(F.lag("text").over(order), F.lit("")).alias("before"), F.coalesce(F.lead("text").over(order), F.lit("")).alias("after")
+        *also, *KEY, "text", F.coalesce(F.lag("text").over(order), F.lit("")).alias("before"), F.coalesce(F.lead("text").over(order), F.lit("")).alias("after")
     )

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import unicodedata
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layers
-from ..functions.charset import INVISIBLE, ODD_SPACES, VOWEL_CHARS
+from ..functions.charset import INVISIBLE, ODD_SPACES, VOWEL_CHARS, char_ranges
+from ..functions.layers import uncomposed
 from ..functions.syllables import syllable_table
 from ..operators import stats
 from ..operators.decide import Scorer, with_scorer, without_scorer
 from ..operators.edits import apply_edits_col
 from ..operators.rank import open_cases
-from ..operators.tokens import KEY, paragraph_context, part_start, parts_col, tokens
+from ..operators.tokens import KEY, has_marks, paragraph_context, part_start, parts_col, tokens
 from ..sources.lexicon import Options, confusable_rows, typo_table
-from ..staging import Scratch, small_side
+from ..staging import Scratch
 
 _EDIT = "struct<layer:int,start:int,end:int,before:string,after:string,kind:string,certainty:string,reason:string>"
 _ACCENTED = "".join(c for c in VOWEL_CHARS if not c.isascii()) + "đ"
-#: What composition changes though it is no mark: code points with another NFC, and the later jamo of a syllable.
-_COMPOSED = "".join(c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c) + "\u1161-\u1175\u11a8-\u11c2"
-#: Confusable phrases of plain letters only.
-_PLAIN_KEYS = "|".join(sorted({" +".join(k) for _, k, _, _ in confusable_rows() if "".join(k).isascii()}))
-#: A paragraph without any of these cannot be changed by a layer and skips the Python kernel.
-_MAY_CHANGE = (
-    (f"(?i:{_PLAIN_KEYS})|" if _PLAIN_KEYS else "") +
-    f"[{INVISIBLE}{ODD_SPACES}{_ACCENTED}{_ACCENTED.upper()}{_COMPOSED}]|\\p{{M}}|  |^ | $| [,;:!?…).\\]}}]|[(\\[{{] |[,;:][^ ]|\\p{{IsLowercase}}[.!?]\\p{{IsUppercase}}|\\.{{3}}"
-)
+#: A row's number, given once at the start: rows that share their keys, or have none, stay apart.
+ROW = "row_id"
+
+
+@functools.cache
+def _may_change() -> str:
+    """A paragraph without a match of this cannot be changed by a layer and skips the Python kernel."""
+    plain = "|".join(sorted({" +".join(k) for _, k, _, _ in confusable_rows() if "".join(k).isascii()}))
+    rules = r"  |^ | $| [,;:!?…).\]}]|[(\[{] |[,;:][^ ]|\p{IsLowercase}[.!?]\p{IsUppercase}|\.{3}"
+    return f"(?i:{plain})|[{char_ranges(INVISIBLE + ODD_SPACES + _ACCENTED + _ACCENTED.upper())}]|{uncomposed()}|{rules}"
 
 
 @dataclass
@@ -56,20 +59,25 @@ class Correction:
 
 def book_stats(paras: DataFrame, lexicon: DataFrame, compounds: DataFrame, syllables: DataFrame, scratch: Scratch) -> BookStats:
     """Pass 1: counts over the composed but otherwise raw text of whole books."""
-    toks = tokens(paras.select(*KEY, layers.compose(F.col("text")).alias("text")))
-    return BookStats(
-        scratch.table(stats.tone_style(toks, syllables), "style"),
-        scratch.table(stats.names(toks, lexicon), "names"),
-        scratch.table(stats.name_clusters(toks, lexicon, compounds), "clusters"),
-        scratch.table(stats.used_words(toks), "used"),
-    )
-
-
-def _layered(paras: DataFrame, style: DataFrame, options: Options) -> DataFrame:
-    """keys, text_before, text, edits, doubtful after layers 1 to 6."""
+    seen = scratch.table(stats.seen(paras.select("book_id", layers.compose(F.col("text")).alias("text"))), "seen")
+    found = {
+        "style": stats.tone_style(seen, syllables),
+        "names": stats.names(seen, lexicon),
+        "clusters": stats.name_clusters(seen, lexicon, compounds),
+        "used": stats.used_words(seen),
+    }
+    # All four in one job and one table, each with its own columns.
+    tagged = [df.withColumn("what", F.lit(name)) for name, df in found.items()]
+    whole = scratch.table(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged), "statistics")
+    return BookStats(**{name: whole.filter(F.col("what") == name).select(df.columns) for name, df in found.items()})
+
+
+def layered(paras: DataFrame, style: DataFrame, options: Options) -> DataFrame:
+    """row_id, keys, text_before, text, edits, doubtful after layers 1 to 6."""
     table = confusable_rows()
-    styled = paras.join(small_side(style.select("book_id", "style"), 64), "book_id", "left")
-    keys = ", ".join(f"{k} {styled.schema[k].dataType.simpleString()}" for k in KEY)
+    styled = paras.join(style.select("book_id", "style"), "book_id", "left")
+    row_keys = [ROW, *KEY]
+    keys = ", ".join(f"{k} {styled.schema[k].dataType.simpleString()}" for k in row_keys)
     schema = f"{keys}, text_before string, text string, edits array<{_EDIT}>, doubtful array<{_EDIT}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +90,14 @@ def _layered(paras: DataFrame, style: DataFrame, options: Options) -> DataFrame:
             logs = [[{"layer": n, **e._asdict()} for n, e in d.edits] for d in done]
             doubts = [[{"layer": 6, **e._asdict()} for e in d.open] for d in done]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in KEY), batch.column("text"), pa.array([d.text for d in done], pa.string()), pa.array(logs, kind), pa.array(doubts, kind)],
-                [*KEY, "text_before", "text", "edits", "doubtful"],
+                [*(batch.column(k) for k in row_keys), batch.column("text"), pa.array([d.text for d in done], pa.string()), pa.array(logs, kind), pa.array(doubts, kind)],
+                [*row_keys, "text_before", "text", "edits", "doubtful"],
             )
 
-    may = F.col("text").rlike(_MAY_CHANGE)
-    changed = styled.filter(may).select(*KEY, "text", "style").mapInArrow(run, schema)
+    may = F.col("text").rlike(_may_change())
+    changed = styled.filter(may).select(*row_keys, "text", "style").mapInArrow(run, schema)
     none = F.array().cast(f"array<{_EDIT}>")
-    same = styled.filter(~may).select(*KEY, F.col("text").alias("text_before"), "text", none.alias("edits"), none.alias("doubtful"))
+    same = styled.filter(~may).select(*row_keys, F.col("text").alias("text_before"), "text", none.alias("edits"), none.alias("doubtful"))
     return changed.unionByName(same)
 
 
@@ -98,41 +106,42 @@ def correct(
 ) -> Correction:
     """Correct `paras` (book_id, entry_ix, para_ix, text) against `lexicon` (syllable) and `compounds` (compound).
 
-    Null texts are left out. Books are counted as wholes first; then every paragraph goes through the layers, the
+    Null texts are left out; rows that repeat their keys, or have null keys, are paragraphs of their own. Books are counted as wholes first; then every paragraph goes through the layers, the
     remaining bad syllables become cases, and decided cases are applied.
     """
     spark = paras.sparkSession
     scratch = Scratch(spark, "correct")
     typos = typo_table(spark) if typos is None else typos
     syllables = syllable_table(spark)
-    paras = paras.select(*KEY, "text").filter("text IS NOT NULL")
+    paras = scratch.table(paras.filter("text IS NOT NULL").select(F.monotonically_increasing_id().alias(ROW), *KEY, "text"), "paragraphs")
     book = book_stats(paras, lexicon, compounds, syllables, scratch)
-    done = scratch.table(_layered(paras, book.style, options), "layered")
-    cases = done.select(*KEY, F.inline("doubtful")).select(
-        *KEY, "start", "end", "before", F.array("after").alias("cands"), "kind", "reason", F.lit("none").alias("evidence")
+    done = scratch.table(layered(paras, book.style, options), "layered")
+    cases = done.select(ROW, *KEY, F.inline("doubtful")).select(
+        ROW, *KEY, "start", "end", "before", F.array("after").alias("cands"), "kind", "reason", F.lit("none").alias("evidence")
     )
     if options.bad_syllables:
-        found = stats.suspicious(tokens(done), lexicon, syllables, book.names, options.plain_words)
-        found = scratch.table(found.withColumn("case_id", F.monotonically_increasing_id()).select("case_id", *KEY, "pos", "tok", "prev", "next"), "found")
+        toks = tokens(done, [ROW, *KEY], keep=None if options.plain_words else has_marks)
+        found = stats.suspicious(toks, lexicon, syllables, book.names, options.plain_words)
+        found = scratch.table(found.select(F.monotonically_increasing_id().alias("case_id"), ROW, *KEY, "pos", "tok", "prev", "next"), "found")
         opened = open_cases(found, lexicon, compounds, book.clusters, book.used, typos)
-        placed = found.join(opened, "case_id").join(done.select(*KEY, "text"), KEY)
+        placed = found.join(opened, "case_id").join(done.select(ROW, "text"), ROW)
         start = part_start(parts_col(F.col("text")), F.col("pos"))
         placed = placed.withColumn("start", start).withColumn("end", start + F.length("tok"))
-        cases = cases.unionByName(placed.select(*KEY, "start", "end", F.col("tok").alias("before"), "cands", "kind", "reason", "evidence"))
+        cases = cases.unionByName(placed.select(ROW, *KEY, "start", "end", F.col("tok").alias("before"), "cands", "kind", "reason", "evidence"))
     cases = scratch.table(cases, "cases")
     if scorer is None:
         decided = without_scorer(cases)
     else:
         # Neighbours are the composed paragraphs, as pass 1 read them.
-        near = paragraph_context(paras.select(*KEY, layers.compose(F.col("text")).alias("text")))
-        asked = cases.join(near.select(*KEY, F.col("before").alias("before_text"), F.col("after").alias("after_text")), KEY)
-        decided = with_scorer(asked.join(done.select(*KEY, "text"), KEY), scorer, options).drop("text", "before_text", "after_text")
+        near = paragraph_context(paras.select(ROW, *KEY, layers.compose(F.col("text")).alias("text")), [ROW])
+        asked = cases.join(near.select(ROW, F.col("before").alias("before_text"), F.col("after").alias("after_text")), ROW)
+        decided = with_scorer(asked.join(done.select(ROW, "text"), ROW), scorer, options).drop("text", "before_text", "after_text")
     decided = scratch.table(decided, "decided")
     chosen = decided.filter("decided IS NOT NULL AND decided <> before").select(
-        *KEY, F.struct("start", "end", F.col("decided").alias("after"), "before", "kind", "certainty", "reason").alias("e")
+        ROW, F.struct("start", "end", F.col("decided").alias("after"), "before", "kind", "certainty", "reason").alias("e")
     )
-    per_para = chosen.groupBy(*KEY).agg(F.collect_list("e").alias("chosen"))
-    joined = done.join(per_para, KEY, "left")
+    per_para = chosen.groupBy(ROW).agg(F.collect_list("e").alias("chosen"))
+    joined = done.join(per_para, ROW, "left")
     fixed = apply_edits_col(F.col("text"), F.col("chosen"))
     final = joined.select(*KEY, "text_before", "text", "edits", "chosen", F.when(F.col("chosen").isNotNull(), fixed).alias("fixed"))
     final = scratch.table(final, "final")

@@ -2,25 +2,25 @@
 
 Texts are the lines of all `documents`, as paragraphs of the book that their source names, with the Vietnamese fixture
 paragraphs beside them: the documents hold no Vietnamese. Correction, its candidates and its ranking run over all of
-them too; the reports with SQL (agg7, agg8, agg9, agg14) have the rows that their SQL spells out.
+them too. Where answers must be known, the generated book (`book`) is corrected: its edits, open cases and reports have SQL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
-from .functions import charset, layers
+from . import book, fixtures, oracle_sql
+from .functions import candidates, charset, editing, layers
 from .functions.charset import LETTERS, TONED, VOWEL_CHARS
-from .functions.editing import diff
-from .functions.syllables import all_words, syllable_table
-from .functions.tables import CONFUSABLES, TYPOS
+from .functions.syllables import syllable_table
+from .functions.tables import BLOCK_TAGS, CONFUSABLES, ENTITIES, STYLE_KINDS, TYPOS
 from .operators import confusables, curate, decide, edits, rank, report, stats, tokens
 from .plans.correct import correct
-from .sources import epub, lexicon, xhtml
+from .sources import epub, lexicon, models, xhtml
 from .staging import Scratch, spread
 from .streaming import rules
 
@@ -45,6 +45,11 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(own).withColumn("para_ix", F.col("para_ix").cast("bigint"))
 
 
+def _novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated book; its size does not depend on the driver's tables."""
+    return book.paragraphs(spark)
+
+
 def _toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens(paragraphs(spark, sf_dir))
 
@@ -81,8 +86,20 @@ COMP = f"comp AS (SELECT compound FROM {_values([(c,) for c in fixtures.COMPOUND
 UPPER = r"^\p{Lu}"
 
 
-def _valid_sql() -> str:
-    return f"valid AS (SELECT unnest(string_split('{' '.join(sorted(all_words()))}', ' ')) AS word)"
+VALID = f"{oracle_sql.WORDS}, valid AS (SELECT word FROM words)"
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scratch(spark, "seen").table(stats.seen(paragraphs(spark, sf_dir)), "seen")
+
+
+def _counts(spark: SparkSession, sf_dir: str, keys: list[str] = []) -> DataFrame:
+    return tokens.token_counts(paragraphs(spark, sf_dir), keys)
+
+
+def _mapped(f, kind: str):
+    """A kernel over one text as a column function."""
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), kind)
 
 
 # --- Tokens and character functions ---
@@ -90,13 +107,14 @@ def _valid_sql() -> str:
 
 @query(f"WITH {TOKS} SELECT book_id, token_class, count(*) AS n FROM toks GROUP BY ALL")
 def gen1_token_class_counts(spark, sf_dir):
-    return _toks(spark, sf_dir).groupBy("book_id", "token_class").agg(F.count(F.lit(1)).alias("n"))
+    counts = _counts(spark, sf_dir, ["book_id"])
+    return counts.groupBy("book_id", charset.letters_class_col(F.col("tok")).alias("token_class")).agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {TOKS} SELECT lower(tok) AS first, lower(next) AS second, count(*) AS n FROM toks WHERE gap_after = ' ' AND next IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
+@query(f"WITH {TOKS} SELECT lower(tok) AS first, lower(next) AS second, count(*) AS n FROM toks WHERE gap_after = ' ' AND next IS NOT NULL GROUP BY ALL")
 def gen2_bigrams(spark, sf_dir):
     pairs = tokens.bigrams(_toks(spark, sf_dir))
-    return pairs.groupBy(F.lower("first").alias("first"), F.lower("second").alias("second")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return pairs.groupBy(F.lower("first").alias("first"), F.lower("second").alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PARAS} SELECT book_id, sum(len(regexp_extract_all(text, '\\s+|\\S+')))::BIGINT AS n_pieces FROM paras GROUP BY ALL")
@@ -107,15 +125,14 @@ def gen5_pieces(spark, sf_dir):
 
 @query(f"WITH {TOKS} SELECT length(regexp_replace(lower(tok), '[^{TONED}]', '', 'g'))::INT AS marks, count(*) AS n FROM toks GROUP BY ALL")
 def scl6_tone_marks(spark, sf_dir):
-    return _toks(spark, sf_dir).groupBy(charset.tone_marks_col(F.col("tok")).alias("marks")).agg(F.count(F.lit(1)).alias("n"))
+    return _counts(spark, sf_dir).groupBy(charset.tone_marks_col(F.col("tok")).alias("marks")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {TOKS} SELECT translate(translate(lower(tok), '{TONED}', '{charset.BARE}'), 'ăâêôơưđ', 'aaeooud') AS plain,
-    count(*) AS n, count(DISTINCT lower(tok)) AS forms FROM toks GROUP BY ALL HAVING count(*) >= 5""")
+    count(*) AS n, count(DISTINCT lower(tok)) AS forms FROM toks GROUP BY ALL""")
 def scl8_plain_forms(spark, sf_dir):
-    toks = _toks(spark, sf_dir).select(charset.strip_all_col(F.col("tok")).alias("plain"), F.lower("tok").alias("low"))
-    words_ = toks.groupBy("plain", "low").agg(F.count(F.lit(1)).alias("k"))
-    return words_.groupBy("plain").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("forms")).filter("n >= 5")
+    low = _counts(spark, sf_dir).groupBy(F.lower("tok").alias("low")).agg(F.sum("n").alias("k"))
+    return low.groupBy(charset.strip_all_col(F.col("low")).alias("plain")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("forms"))
 
 
 @query(f"""WITH {TOKS}, p AS (SELECT lower(tok) AS a, lower(next) AS b FROM toks WHERE gap_after = ' ' AND next IS NOT NULL),
@@ -126,6 +143,39 @@ def scl17_keeps_onset(spark, sf_dir):
     return pairs.groupBy(charset.keeps_onset_col(F.lower("first"), F.lower("second")).alias("keeps")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {TOKS} SELECT translate(lower(tok), '{TONED}', '{charset.BARE}') AS bare, count(*) AS n FROM toks GROUP BY ALL")
+def scl5_strip_tone(spark, sf_dir):
+    return _counts(spark, sf_dir).groupBy(charset.strip_tone_col(F.col("tok")).alias("bare")).agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH {PARAS}, c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM paras)
+    SELECT c, contains('{VOWEL_CHARS}', c) AS is_vowel, contains('{LETTERS}', c) AS is_letter FROM c WHERE c <> ''""")
+def scl9_letters_and_vowels(spark, sf_dir):
+    chars = paragraphs(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c <> ''").distinct()
+    return chars.select("c", charset.is_vowel_col(F.col("c")).alias("is_vowel"), charset.is_letters_col(F.col("c")).alias("is_letter"))
+
+
+@query(f"WITH {TOKS} SELECT DISTINCT tok, substr(tok, 1, 2) || ' ' || substr(tok, 3) AS cut FROM toks WHERE length(tok) >= 4")
+def scl12_put_spaces(spark, sf_dir):
+    cut = _mapped(lambda t: candidates.put_spaces(t, f"{t[:2].lower()} {t[2:].lower()}"), "string")
+    return _counts(spark, sf_dir).filter(F.length("tok") >= 4).select("tok", cut("tok").alias("cut"))
+
+
+@query(f"""WITH {PARAS} SELECT book_id, entry_ix, para_ix, CASE WHEN text = '' THEN '∅' ELSE array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN c = ' ' THEN '␣' WHEN c = chr(9) THEN '⇥' WHEN regexp_matches(c, '[\\x{{00}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}\\x{{AD}}\\x{{200B}}-\\x{{200F}}]') THEN '⟨U+' || format('{{:04X}}', ord(c)) || '⟩' ELSE c END), '') END AS text
+    FROM paras""")
+def scl15_visible(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select(*KEY, _mapped(report.visible, "string")("text").alias("text"))
+
+
+@query(f"""WITH {TOKS}, p AS (SELECT lower(tok) AS a, lower(next) AS b FROM toks WHERE gap_after = ' ' AND next IS NOT NULL)
+    SELECT translate(translate(a[1], '{TONED}', '{charset.BARE}'), 'ăâêôơư', 'aaeoou') = translate(translate(b[1], '{TONED}', '{charset.BARE}'), 'ăâêôơư', 'aaeoou') AS same, count(*) AS n
+    FROM p GROUP BY ALL""")
+def scl16_same_letter(spark, sf_dir):
+    pairs = tokens.bigrams(_toks(spark, sf_dir))
+    return pairs.groupBy(charset.same_letter_col(F.col("first"), F.col("second")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _CASES = [("Duơng", "dương"), ("xử dụng", "sử dụng"), ("Xử dụng", "sử dụng"), ("ẩnh", "ảnh"), ("Ước", "ước mơ")]
 
 
@@ -171,10 +221,10 @@ _RULES = {
     "scl2_nfc": ("nfc_normalize(text)", layers.compose),
     "pun1_space_before_closing": (r"regexp_replace(regexp_replace(text, ' ([,;:!?…)\]}])', '\1', 'g'), ' \.([^.]|$)', '.\1', 'g')", layers.space_before_closing),
     "pun2_space_after_opening": (r"regexp_replace(text, '([(\[{]) ', '\1', 'g')", layers.space_after_opening),
-    "pun3_missing_space": (None, layers.missing_space),
-    "pun4_sentence_space": (None, layers.missing_sentence_space),
+    "pun3_missing_space": (oracle_sql.missing_space("text"), layers.missing_space),
+    "pun4_sentence_space": (oracle_sql.sentence_space("text"), layers.missing_sentence_space),
     "pun5_many_dots": (r"regexp_replace(text, '\.{4,}', '...', 'g')", layers.merge_dots),
-    "pun6_ellipsis": (None, layers.ellipsis_char),
+    "pun6_ellipsis": (oracle_sql.dots("text", "= 3", "…"), layers.ellipsis_char),
     "wsp_collapse_trim": ("trim(regexp_replace(text, ' {2,}', ' ', 'g'), ' ')", layers.collapse_spaces),
 }
 for _name, (_sql, _f) in _RULES.items():
@@ -183,7 +233,7 @@ for _name, (_sql, _f) in _RULES.items():
         ORACLE_SQL[_name] = _oracle
 
 
-@query()
+@query(f"WITH {PARAS}, {oracle_sql.normalised('paras')} SELECT * FROM normal")
 def dec1_normalised(spark, sf_dir):
     """All stateless text rules, as the streaming plan runs them."""
     return rules.normalised(paragraphs(spark, sf_dir))
@@ -192,37 +242,77 @@ def dec1_normalised(spark, sf_dir):
 # --- Syllables and tone ---
 
 
-@query("WITH " + _valid_sql() + " SELECT length(word)::INT AS letters, count(*) AS n FROM valid GROUP BY ALL")
+@query(f"WITH {VALID} SELECT length(word)::INT AS letters, count(*) AS n FROM valid GROUP BY ALL")
 def syl1_valid_words(spark, sf_dir):
     return syllable_table(spark).groupBy(F.length("word").alias("letters")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + _valid_sql() + f""", {TOKS}, c AS (SELECT lower(tok) AS word, count(*) AS n FROM toks WHERE token_class = 'viet' GROUP BY ALL)
-    SELECT word, n, n / (SELECT sum(n) FROM c) AS share FROM c ANTI JOIN valid USING (word)""")
+@query(f"WITH {oracle_sql.WORDS} SELECT word, onset, rhyme, tone::INT AS tone, old_spelling, new_spelling FROM words")
+def syl6_spellings(spark, sf_dir):
+    """Every valid word with its onset, rhyme, tone and both spellings: frames, stops, shared letters and places of marks."""
+    return syllable_table(spark)
+
+
+_VIET = f"c AS (SELECT lower(tok) AS word, count(*) AS n FROM toks WHERE token_class = 'viet' GROUP BY ALL)"
+_REST = f"regexp_replace(translate(word, '{TONED}', '{charset.BARE}'), '^({'|'.join(charset.ONSETS)})', '')"
+_AUDIT = f"bad AS (SELECT word, n, n / (SELECT sum(n) FROM c) AS share, {_REST} AS rest FROM c ANTI JOIN valid USING (word))"
+
+
+def _viet_words(spark, sf_dir):
+    viet = _counts(spark, sf_dir).filter(charset.letters_class_col(F.col("tok")) == "viet")
+    return viet.groupBy(F.lower("tok").alias("word")).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {VALID}, {TOKS}, {_VIET}, {_AUDIT} SELECT * FROM bad")
 def agg11_invalid_words(spark, sf_dir):
-    return stats.invalid_words(_toks(spark, sf_dir), syllable_table(spark))
+    return stats.audit(_viet_words(spark, sf_dir), syllable_table(spark), top=None)
+
+
+@query(f"WITH {VALID}, {TOKS}, {_VIET}, {_AUDIT} SELECT *, row_number() OVER (ORDER BY n DESC, word)::INT AS place FROM bad ORDER BY n DESC, word LIMIT 60")
+def agg11_audit(spark, sf_dir):
+    return stats.audit(_viet_words(spark, sf_dir), syllable_table(spark))
 
 
-def _two_style_sql() -> str:
-    rows = [(w, old, new) for w, (_, rhyme, tone, old, new) in sorted(all_words().items()) if rhyme in charset.TWO_STYLES and tone]
-    return f"two AS (SELECT * FROM {_values(rows, 'word, old_spelling, new_spelling')})"
+@query(f"""WITH {TOKS} SELECT DISTINCT tok, {"".join("regexp_replace(" for _ in range(12))}tok{"".join(f", '(^|[^qQ]){u}([ơờớởỡợƠỜỚỞỠỢ])', '\\1{w}\\2')" for u, w in zip("uùúủũụUÙÚỦŨỤ", "ưừứửữựƯỪỨỬỮỰ"))} AS repaired
+    FROM toks WHERE regexp_matches(translate(lower(tok), '{TONED}', '{charset.BARE}'), '(^|[^q])uơ[cmnpth]')""")
+def syl10_repaired_uo(spark, sf_dir):
+    toks = paragraphs(spark, sf_dir).select("text").unionByName(_novel(spark, sf_dir).select("text"))
+    found = tokens.token_counts(toks, []).select("tok", _mapped(candidates.repair_uo, "string")("tok").alias("repaired"))
+    return found.filter("repaired IS NOT NULL")
 
 
-@query(f"""WITH {_two_style_sql()}, {TOKS}, v AS (
+_TWO = "two AS (SELECT word, old_spelling, new_spelling FROM words WHERE rhyme IN ('oa', 'oe', 'uy') AND tone > 0)"
+
+
+def _style_sql(toks: str) -> str:
+    return f"""v AS (
         SELECT book_id, count(*) FILTER (WHERE word = old_spelling) AS n_old, count(*) FILTER (WHERE word <> old_spelling AND word = new_spelling) AS n_new
-        FROM (SELECT book_id, lower(tok) AS low FROM toks WHERE token_class = 'viet') t LEFT JOIN two ON two.word = t.low GROUP BY ALL)
-    SELECT book_id, n_old, n_new, CASE WHEN n_new > n_old THEN 'new' ELSE 'old' END AS style,
-           CASE WHEN n_old + n_new = 0 THEN 0.0 ELSE least(n_old, n_new) / (n_old + n_new) END::DOUBLE AS minority FROM v""")
+        FROM (SELECT book_id, lower(tok) AS low FROM {toks} WHERE token_class = 'viet') t LEFT JOIN two ON two.word = t.low GROUP BY ALL),
+    style AS (SELECT book_id, n_old, n_new, CASE WHEN n_new > n_old THEN 'new' ELSE 'old' END AS style,
+           CASE WHEN n_old + n_new = 0 THEN 0.0 ELSE least(n_old, n_new) / (n_old + n_new) END::DOUBLE AS minority FROM v)"""
+
+
+@query(f"WITH {oracle_sql.WORDS}, {_TWO}, {TOKS}, {_style_sql('toks')} SELECT * FROM style")
 def agg1_tone_style(spark, sf_dir):
-    return stats.tone_style(_toks(spark, sf_dir), syllable_table(spark))
+    return stats.tone_style(_seen(spark, sf_dir), syllable_table(spark))
 
 
-@query()
+@query(f"""WITH {oracle_sql.WORDS}, {TOKS}, {_VIET} SELECT word, old_spelling, n FROM c JOIN words USING (word) WHERE word <> old_spelling AND word <> new_spelling""")
 def ton1_respelled(spark, sf_dir):
     """Words whose tone mark stands on the wrong vowel, with their right spelling, in every line's words."""
-    toks = _toks(spark, sf_dir).filter("token_class = 'viet'").groupBy(F.lower("tok").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     table = syllable_table(spark).select("word", "old_spelling", "new_spelling")
-    return toks.join(F.broadcast(table), "word").filter("word <> old_spelling AND word <> new_spelling").select("word", "old_spelling", "n")
+    return _viet_words(spark, sf_dir).join(F.broadcast(table), "word").filter("word <> old_spelling AND word <> new_spelling").select("word", "old_spelling", "n")
+
+
+@query(f"""WITH {oracle_sql.WORDS}, {TOKS}, low AS (SELECT DISTINCT tok, lower(tok) AS word FROM toks WHERE token_class = 'viet' AND (tok = lower(tok) OR tok = upper(tok[1]) || lower(substr(tok, 2)))),
+    w AS (SELECT tok, CASE WHEN tok = word THEN old_spelling ELSE upper(old_spelling[1]) || substr(old_spelling, 2) END AS old, CASE WHEN tok = word THEN new_spelling ELSE upper(new_spelling[1]) || substr(new_spelling, 2) END AS new
+          FROM low JOIN words USING (word)) SELECT tok, old, new FROM w""")
+def ton1_layer_words(spark, sf_dir):
+    """The tone layer's spelling of every word of one case in both styles."""
+    toks = _counts(spark, sf_dir).filter(charset.letters_class_col(F.col("tok")) == "viet").select("tok")
+    low = toks.filter((F.col("tok") == F.lower("tok")) | (F.col("tok") == F.concat(F.upper(F.left("tok", F.lit(1))), F.lower(F.substr("tok", F.lit(2))))))
+    spelt = [_mapped(lambda t, style=style: layers.respell(t, style), "string")("tok").alias(name) for name, style in (("old", False), ("new", True))]
+    return low.select("tok", *spelt).filter("old IS NOT NULL")
 
 
 # --- Book statistics and detection ---
@@ -230,7 +320,7 @@ def ton1_respelled(spark, sf_dir):
 
 @query(f"WITH {TOKS} SELECT book_id, lower(tok) AS word, count(*) AS n FROM toks WHERE token_class = 'viet' GROUP BY ALL HAVING count(*) >= 3")
 def agg6_used_words(spark, sf_dir):
-    return stats.used_words(_toks(spark, sf_dir))
+    return stats.used_words(_seen(spark, sf_dir))
 
 
 _NAMES = f"""names AS (
@@ -241,7 +331,7 @@ _NAMES = f"""names AS (
 
 @query(f"WITH {TOKS}, {LEX}, {_NAMES} SELECT * FROM names")
 def agg4_names(spark, sf_dir):
-    return stats.names(_toks(spark, sf_dir), fixtures.syllables(spark))
+    return stats.names(_seen(spark, sf_dir), fixtures.syllables(spark))
 
 
 @query(f"""WITH {TOKS}, {LEX}, {COMP} SELECT book_id, lower(tok) || ' ' || lower(next) AS phrase, count(*) AS n FROM toks
@@ -250,17 +340,16 @@ def agg4_names(spark, sf_dir):
       AND lower(tok) || ' ' || lower(next) NOT IN (SELECT compound FROM comp)
     GROUP BY ALL HAVING count(*) >= 3""")
 def agg5_name_clusters(spark, sf_dir):
-    return stats.name_clusters(_toks(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark))
+    return stats.name_clusters(_seen(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark))
 
 
-@query("WITH " + _valid_sql() + f""", {TOKS}, {LEX}, {_NAMES}
+@query(f"""WITH {VALID}, {TOKS}, {LEX}, {_NAMES}
     SELECT book_id, lower(tok) AS word, count(*) AS n FROM toks t
     WHERE token_class = 'viet' AND lower(tok) NOT IN (SELECT syllable FROM lex) AND lower(tok) NOT IN (SELECT word FROM valid)
       AND NOT EXISTS (SELECT 1 FROM names WHERE names.book_id = t.book_id AND names.word = lower(t.tok)) GROUP BY ALL""")
 def flt2_suspicious_words(spark, sf_dir):
-    toks, lex = _toks(spark, sf_dir), fixtures.syllables(spark)
-    found = stats.suspicious(toks, lex, syllable_table(spark), stats.names(toks, lex))
-    return found.groupBy("book_id", F.lower("tok").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    seen, lex = _seen(spark, sf_dir), fixtures.syllables(spark)
+    return stats.suspicious_words(seen, lex, syllable_table(spark), stats.names(seen, lex))
 
 
 @query(f"WITH {TOKS} SELECT book_id, count(*) AS n_tokens, count(prev) AS with_prev, count(next) AS with_next, count(*) FILTER (WHERE prev = next) AS same_sides FROM toks GROUP BY ALL")
@@ -278,16 +367,13 @@ def win2_paragraph_context(spark, sf_dir):
 
 # --- Confusables ---
 
-_CONF = lexicon.confusable_rows()
-
-
 def _cnf_sql(section: str) -> str:
-    rows = [(" ".join(k), len(k), v) for s, k, v, _ in _CONF if s == section]
     grams = " UNION ALL ".join(
         f"SELECT book_id, entry_ix, para_ix, pos, {n} AS n, array_to_string(ps[pos + 1:pos + {2 * n - 1}], '') AS before FROM items WHERE regexp_matches(tok, '^{L}') AND len(ps) >= pos + {2 * n - 1}"
         for n in (2, 3, 4)
     )
-    return f"""WITH {TOKS}, conf AS (SELECT * FROM {_values(rows, "phrase, n, value")}), grams AS ({grams}),
+    return f"""WITH {TOKS}, {oracle_sql.CONFUSABLE_ROWS},
+        conf AS (SELECT phrase, len(string_split(phrase, ' ')) AS n, value FROM confusable WHERE section = '{section}' AND phrase <> lower(value)), grams AS ({grams}),
         hits AS (SELECT g.*, c.phrase, CASE WHEN before[1] = upper(before[1]) AND before[1] <> lower(before[1]) THEN upper(value[1]) || substr(value, 2) ELSE value END AS after
                  FROM grams g JOIN conf c ON g.n = c.n AND regexp_replace(lower(before), ' +', ' ', 'g') = c.phrase)
         SELECT book_id, entry_ix, para_ix, pos::INT AS pos, phrase, before, after FROM hits"""
@@ -309,12 +395,12 @@ def _text_lines(spark, text: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line_ix int, value string")
 
 
-@query(f"SELECT typo, array_to_string(string_split(answers, '|'), ',') AS answers FROM {_values([(t, '|'.join(a)) for t, a in lexicon.typo_rows()], 'typo, answers')}")
+@query(f"WITH {oracle_sql.TYPO_ROWS} SELECT typo, array_to_string(answers, ',') AS answers FROM typos")
 def src8_typos(spark, sf_dir):
     return lexicon.typo_lines(_text_lines(spark, TYPOS)).select("typo", F.array_join("answers", ",").alias("answers"))
 
 
-@query(f"SELECT * FROM {_values([(s, ' '.join(k), v) for s, k, v, _ in _CONF], 'section, phrase, value')}")
+@query(f"WITH {oracle_sql.CONFUSABLE_ROWS} SELECT section, phrase, value FROM confusable WHERE phrase <> lower(value)")
 def src9_confusables(spark, sf_dir):
     return lexicon.confusable_lines(_text_lines(spark, CONFUSABLES)).select("section", F.array_join("key", " ").alias("phrase"), "value")
 
@@ -330,10 +416,11 @@ def src10_json_text(spark, sf_dir):
 _TOKENS = "khôngg phảii mộtt ẩnh đnag khôgn đing lưư măy thuơng Duơng chúg nhưmg cẳu hoat Phúlần củangười khôngbiết erằng ngồiở việcc cuốic".split()
 
 
-def _found(spark, toks):
+def _found(spark, sf_dir):
     """Suspicious tokens of all lines, and the listed ones between two words of a book of their own: book_id, tok, prev, next."""
     lex = fixtures.syllables(spark)
-    found = stats.suspicious(toks, lex, syllable_table(spark), stats.names(toks, lex)).select("book_id", "tok", "prev", "next")
+    toks = tokens.tokens(paragraphs(spark, sf_dir), keep=tokens.has_marks)
+    found = stats.suspicious(toks, lex, syllable_table(spark), stats.names(_seen(spark, sf_dir), lex)).select("book_id", "tok", "prev", "next")
     return found.unionByName(spark.createDataFrame([("vi", t, "tình", "ta") for t in _TOKENS], "book_id string, tok string, prev string, next string"))
 
 
@@ -343,12 +430,12 @@ def _made(spark, found):
 
 @query()
 def gen3_candidates(spark, sf_dir):
-    return _made(spark, _found(spark, _toks(spark, sf_dir))).select("tok", F.posexplode("cands").alias("place", "c")).select("tok", "place", "c.cand", "c.cost")
+    return _made(spark, _found(spark, sf_dir)).select("tok", F.posexplode("cands").alias("place", "c")).select("tok", "place", "c.cand", "c.cost")
 
 
 @query()
 def gen4_splits(spark, sf_dir):
-    return _made(spark, _found(spark, _toks(spark, sf_dir))).select("tok", F.posexplode("splits").alias("place", "split"))
+    return _made(spark, _found(spark, sf_dir)).select("tok", F.posexplode("splits").alias("place", "split"))
 
 
 def _correction(spark, sf_dir, **kw):
@@ -357,12 +444,12 @@ def _correction(spark, sf_dir, **kw):
 
 @query()
 def srt1_ranked_candidates(spark, sf_dir):
-    toks, lex, comps = _toks(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark)
-    found = Scratch(spark, "ranked").table(_found(spark, toks).withColumn("case_id", F.monotonically_increasing_id()), "found")
+    seen, lex, comps = _seen(spark, sf_dir), fixtures.syllables(spark), fixtures.compounds(spark)
+    found = Scratch(spark, "ranked").table(_found(spark, sf_dir).withColumn("case_id", F.monotonically_increasing_id()), "found")
     cases = found.join(_made(spark, found), "tok")
-    clusters = stats.name_clusters(toks, lex, comps).select("book_id", "phrase")
+    clusters = stats.name_clusters(seen, lex, comps).select("book_id", "phrase")
     clusters = clusters.unionByName(spark.createDataFrame([("vi", "hỏa dương")], "book_id string, phrase string"))
-    used = stats.used_words(toks).select("book_id", "word").unionByName(spark.createDataFrame([("vi", "không")], "book_id string, word string"))
+    used = stats.used_words(seen).select("book_id", "word").unionByName(spark.createDataFrame([("vi", "không")], "book_id string, word string"))
     out = rank.rank_candidates(cases, lex, comps, clusters, used, lexicon.typo_table(spark))
     return out.drop("case_id")
 
@@ -394,6 +481,63 @@ def dec10_blank_fill_paragraphs(spark, sf_dir):
     return _correction(spark, sf_dir, scorer=scorer, options=lexicon.Options.with_scoring(True)).paragraphs
 
 
+# --- The generated book: every answer is known ---
+
+NOVEL = book.sql()
+
+
+def _book_correction(spark):
+    return correct(_novel(spark, ""), fixtures.syllables(spark), fixtures.compounds(spark))
+
+
+@query(f"WITH {NOVEL} SELECT book_id, entry_ix, para_ix, given AS text_before, fixed AS text FROM novel")
+def dec6_book_paragraphs(spark, sf_dir):
+    return _book_correction(spark).paragraphs
+
+
+@query(f"WITH {NOVEL} SELECT book_id, entry_ix, para_ix, layer, before, after, kind, count(*) AS n FROM planted GROUP BY ALL")
+def dec6_book_edits(spark, sf_dir):
+    return _book_correction(spark).edits.groupBy(*KEY, "layer", "before", "after", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NOVEL} SELECT book_id, entry_ix, para_ix, before, candidate, 'confusable' AS kind FROM left_open")
+def dec6_book_open_cases(spark, sf_dir):
+    return _book_correction(spark).open.select(*KEY, "before", F.array_join("cands", ", ").alias("candidate"), "kind")
+
+
+@query(f"WITH {NOVEL} SELECT kind, count(*) AS n FROM planted GROUP BY ALL")
+def agg7_edits_by_kind(spark, sf_dir):
+    return report.edits_by_kind(_book_correction(spark).edits)
+
+
+@query(f"WITH {NOVEL} SELECT kind, before, after, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, before, after)::INT AS place FROM (SELECT kind, before, after, count(*) AS n FROM planted GROUP BY ALL)")
+def agg8_report_top(spark, sf_dir):
+    return report.grouped_edits(_book_correction(spark).edits).drop("reason")
+
+
+@query(f"WITH {NOVEL} SELECT before, candidate AS candidates, count(*) AS n FROM left_open GROUP BY ALL")
+def agg9_open_cases(spark, sf_dir):
+    return report.grouped_open(_book_correction(spark).open)
+
+
+@query(f"WITH {NOVEL} SELECT book_id, count(*) * 2 AS n_calls FROM left_open GROUP BY ALL")
+def agg14_scorer_calls(spark, sf_dir):
+    return report.scorer_calls(_book_correction(spark).open)
+
+
+@query(f"""WITH {oracle_sql.WORDS}, {_TWO}, {NOVEL},
+    book_toks AS (SELECT book_id, unnest(regexp_extract_all(nfc_normalize(given), '{L}+')) AS tok FROM novel),
+    toks AS (SELECT *, CASE WHEN regexp_matches(tok, '[^\\x00-\\x7F]') AND NOT (tok = upper(tok) AND length(tok) > 1) AND regexp_matches(lower(tok), '{V}') THEN 'viet' END AS token_class FROM book_toks),
+    {_style_sql('toks')}
+    SELECT p.*, e.n_edits, e.n_errors, 0::BIGINT AS n_doubtful, o.n_open, s.n_old, s.n_new, s.style, s.minority
+    FROM (SELECT book_id, count(DISTINCT entry_ix) AS n_files, count(*) AS n_paragraphs, sum(length(given))::BIGINT AS n_chars FROM novel GROUP BY ALL) p
+    JOIN (SELECT book_id, count(*) AS n_edits, count(*) FILTER (WHERE kind NOT IN ({", ".join(map(repr, STYLE_KINDS))})) AS n_errors FROM planted GROUP BY ALL) e USING (book_id)
+    JOIN (SELECT book_id, count(*) AS n_open FROM left_open GROUP BY ALL) o USING (book_id) JOIN style s USING (book_id)""")
+def snk4_book_summary(spark, sf_dir):
+    c = _book_correction(spark)
+    return report.book_summary(c.paragraphs, c.edits, c.open, c.stats.style)
+
+
 # --- Edits ---
 
 _EDITS = [
@@ -412,19 +556,51 @@ def edt1_apply_edits(spark, sf_dir):
     return out.select("text", F.col("x.text").alias("result"), F.col("x.n_applied").alias("n"))
 
 
-@query()
+@query(f"WITH {PARAS}, {oracle_sql.normalised('paras')} SELECT n.* FROM normal n JOIN paras p USING (book_id, entry_ix, para_ix) WHERE n.text <> p.text")
 def edt4_diff(spark, sf_dir):
-    """Hunks between every line and its normalised text."""
+    """The lines that the text rules change, made again by applying the hunks between the line and its new text."""
     changed = paragraphs(spark, sf_dir).withColumnRenamed("text", "old")
     new = rules.normalised(changed.withColumn("text", F.col("old"))).filter("old <> text")
-    hunks = F.pandas_udf(lambda a, b: _hunk_lists(a, b), "array<struct<start:int,end:int,after:string>>")
-    return new.select(*KEY, F.inline(hunks(F.col("old"), F.col("text"))))
+    hunks = F.pandas_udf(_hunk_lists, "array<struct<start:int,end:int,after:string>>")
+    return new.select(*KEY, edits.apply_edits_col(F.col("old"), hunks(F.col("old"), F.col("text")))["text"].alias("text"))
+
+
+def _hunk_lists(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": h.start, "end": h.end, "after": h.text} for h in editing.diff(x, y)] for x, y in zip(a, b, strict=True)])
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, regexp_extract(text, '\\S+') AS piece, length(text) // 2 AS near FROM conversations WHERE regexp_matches(text, '\\S'))
+    SELECT conv_id, turn, (list_min(list_transform(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(piece)) = piece), lambda i: abs(i - near) * 1000000 + i)) % 1000000)::INT AS place FROM c""")
+def edt3_nearest(spark, sf_dir):
+    """Where the first word of a turn stands nearest to its middle."""
+    turns = _read(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"\S"))
+    place = F.pandas_udf(lambda t, p: pd.Series([editing.nearest(x, y, len(x) // 2) for x, y in zip(t, p, strict=True)], dtype="int32"), "int")
+    return turns.select("conv_id", "turn", place("text", F.regexp_extract("text", r"(\S+)", 1)).alias("place"))
+
 
+@query(f"""WITH c AS (SELECT conv_id, turn, text, length(text) // 2 AS s, least(length(text) // 2 + 3, length(text)) AS e FROM conversations WHERE text IS NOT NULL),
+    w AS (SELECT *, length(regexp_extract(substr(text, 1, s + 1), '(?s)^(.*[.!?] )', 1)) AS lo,
+                 e + length(CASE WHEN regexp_matches(substr(text, e + 1), '[.!?]') THEN regexp_extract(substr(text, e + 1), '(?s)^[^.!?]*[.!?]') ELSE substr(text, e + 1) END) AS hi FROM c),
+    x AS (SELECT *, substr(text, lo + 1, s - lo) AS l, substr(text, e + 1, hi - e) AS r, strlen(substr(text, lo + 1, hi - lo)) > 400 AS far FROM w)
+    SELECT conv_id, turn, (CASE WHEN far THEN s - list_max(list_filter(range(0, 201), lambda n: n <= length(l) AND strlen(right(l, n::INT)) <= 200)) ELSE lo END)::INT AS lo,
+           (CASE WHEN far THEN e + list_max(list_filter(range(0, 201), lambda n: n <= length(r) AND strlen(left(r, n::INT)) <= 200)) ELSE hi END)::INT AS hi FROM x""")
+def dec9_sentence_windows(spark, sf_dir):
+    """The sentence around three characters in the middle of each turn, by its offsets."""
 
-def _hunk_lists(a, b):
-    import pandas as pd
+    def windows(texts: pd.Series) -> pd.Series:
+        return pd.Series([dict(zip(("lo", "hi"), editing.sentence_window(t, len(t) // 2, min(len(t) // 2 + 3, len(t))), strict=True)) for t in texts])
 
-    return pd.Series([[{"start": h.start, "end": h.end, "after": h.text} for h in diff(x, y)] for x, y in zip(a, b, strict=True)])
+    turns = _read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    found = turns.select("conv_id", "turn", F.pandas_udf(lambda t: pd.DataFrame(windows(t).tolist(), columns=["lo", "hi"]), "lo int, hi int")("text").alias("w"))
+    return found.select("conv_id", "turn", "w.lo", "w.hi")
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, vec_id % 70 AS i FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT vec_id, round(CASE WHEN i < len(x) THEN x[i + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) ELSE -20 END, 5) AS log_p FROM e""")
+def udf4_log_softmax(spark, sf_dir):
+    score = F.pandas_udf(lambda x, i: pd.Series([decide.log_softmax_at(a.astype("float64"), int(b)) for a, b in zip(x, i, strict=True)]), "double")
+    found = _read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
+    return found.select("vec_id", F.round(score("embedding", F.col("vec_id") % 70), 5).alias("log_p"))
 
 
 @query(f"""WITH {PARAS}, c AS (SELECT book_id, entry_ix, para_ix, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1)::INT - 1 AS start FROM paras)
@@ -449,16 +625,95 @@ def joi8_file_ranges(spark, sf_dir):
 # --- Pages and archives ---
 
 
-@query()
+def _page_texts() -> str:
+    gone = "regexp_replace(html, '(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<![^>]*>', '', 'g')"
+    for tag in ("script", "style", "code", "pre"):
+        gone = f"regexp_replace({gone}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    cut = f"string_split(regexp_replace({gone}, '(?i)</?({'|'.join(BLOCK_TAGS)})([^a-zA-Z0-9:>][^>]*)?>', chr(30), 'g'), chr(30))"
+    plain = "regexp_replace(x, '<[^>]*>', '', 'g')"
+    for name, char in ENTITIES.items():
+        if name != "amp":
+            plain = f"replace({plain}, '&{name};', chr({ord(char)}))"
+    return f"""WITH t AS (SELECT page_id, list_filter(list_transform({cut}, lambda x: replace({plain}, '&amp;', '&')), lambda x: regexp_replace(x, '[\\s\\x{{A0}}]', '', 'g') <> '') AS texts FROM pages)
+        SELECT page_id, generate_subscripts(texts, 1)::INT - 1 AS ix, unnest(texts) AS text FROM t"""
+
+
+@query(f"SELECT page_id, ix AS para_ix, text FROM ({_page_texts()})")
 def src5_page_paragraphs(spark, sf_dir):
     return xhtml.paragraphs(_read(spark, sf_dir, "pages"), ["page_id"]).drop("fragments")
 
 
-@query()
+@query(f"SELECT page_id, ix AS block_ix, text FROM ({_page_texts()})")
 def src5_block_texts(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.posexplode(xhtml.block_texts_col(F.col("html"))).alias("block_ix", "text"))
 
 
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(html, '<[^>]*>')) AS tag FROM pages)
+    SELECT lower(regexp_extract(tag, '^<+/?(?:[A-Za-z0-9]*:)*([A-Za-z0-9]*)', 1)) AS name, starts_with(ltrim(tag, '<'), '/') AS closes, count(*) AS n FROM t GROUP BY ALL""")
+def src6_tag_names(spark, sf_dir):
+    tags = _read(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("(<[^>]*>)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("k"))
+    names = F.pandas_udf(lambda s: pd.DataFrame([xhtml.tag_name(t) for t in s], columns=["name", "closes"]), "name string, closes boolean")
+    return tags.select(names("tag").alias("t"), "k").groupBy("t.name", "t.closes").agg(F.sum("k").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS text FROM documents")
+def src4_decoded_text(spark, sf_dir):
+    """Files with a byte order mark, without one, and (every fifth) with bytes that are not UTF-8."""
+    mark = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.lit(b""))
+    wrong = F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("C3"))).otherwise(F.lit(b""))
+    content = F.concat(mark, F.encode("text", "UTF-8"), wrong)
+    return _read(spark, sf_dir, "documents").select("doc_id", epub.decode_text(content).alias("text"))
+
+
+@query(f"WITH {TOKS} SELECT DISTINCT lower(tok) AS syllable FROM toks")
+def src7_word_files(spark, sf_dir):
+    """All words of the texts, written as a lexicon file and read again."""
+    path = f"{Scratch(spark, 'lexicon').path}/words"
+    lexicon.write_words(_counts(spark, sf_dir).select(F.lower("tok").alias("syllable")), path)
+    return lexicon.read_words(spark, path)
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 OR starts_with(coalesce(text, ''), 'GGUF') AS is_model FROM documents")
+def src12_model_magic(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 3 == 0, F.lit(b"GGUF")).otherwise(F.lit(b""))
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", models.is_model(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("is_model"))
+
+
+@query("SELECT s_nationkey AS nation, arg_min(s_name, (-s_acctbal, s_name)) AS name, max(s_acctbal) AS memory FROM supplier GROUP BY ALL")
+def top3_largest_card(spark, sf_dir):
+    """The card with the most memory of each group, over suppliers and their balances."""
+    cards = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("memory"))
+    return models.largest_card(cards, ["nation"])
+
+
+@query("SELECT s_name AS name, s_acctbal AS memory FROM supplier WHERE s_acctbal >= 4000")
+def udf5_usable_cards(spark, sf_dir):
+    cards = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("memory"))
+    return models.usable_cards(cards, 4000)
+
+
+@query("""SELECT 'doc-' || doc_id AS book_id, unnest([0, 1])::INT AS entry_ix, unnest(['mimetype', 'OEBPS/text.xhtml']) AS name, unnest(['application/epub+zip', text]) AS body
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def snk2_new_archives(spark, sf_dir):
+    """Every document as an archive of its own, built and read again."""
+    build = _mapped(lambda t: epub.build_archive([("mimetype", b"application/epub+zip"), ("OEBPS/text.xhtml", t.encode())]), "binary")
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("book_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = epub.entries(docs.select("book_id", build("text").alias("content")))
+    return found.select("book_id", "entry_ix", "name", epub.decode_text(F.col("content")).alias("body"))
+
+
+_PATHS = "'/books/' || source || '/doc.' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.epub' WHEN 1 THEN '' ELSE '/file' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PATHS} AS path FROM documents), f AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS file FROM p)
+    SELECT doc_id, substr(path, 1, length(path) - length(file)) || CASE WHEN contains(file, '.') THEN regexp_extract(file, '^(.*)\\.', 1) || ' (đã sửa).' || regexp_extract(file, '[^.]*$') ELSE file || ' (đã sửa).epub' END AS path FROM f""")
+def snk7_output_names(spark, sf_dir):
+    end = F.when(F.col("doc_id") % 3 == 0, ".epub").when(F.col("doc_id") % 3 == 1, "").otherwise("/file")
+    path = F.concat(F.lit("/books/"), "source", F.lit("/doc."), F.col("doc_id").cast("string"), end)
+    return _read(spark, sf_dir, "documents").select("doc_id", _mapped(epub.output_name, "string")(path).alias("path"))
+
+
 _CHAPTER = '<html><head><title>Chương một</title></head><body><p>Anh ấy xử dụng máy.</p><p>Cách x<i>ử</i> dụng &amp; máy , nhé.</p><p>Anh x<img src="a.png"/>ử dụng nó.</p><pre>xử dụng</pre></body></html>'
 _OPF = "<package><metadata><dc:title>Sách thử &amp; nghiệm</dc:title></metadata></package>"
 _FILES = [("mimetype", "application/epub+zip"), ("OEBPS/content.opf", _OPF), ("OEBPS/toc.xhtml", "<p>mục lục , nhé</p>"), ("OEBPS/ch1.xhtml", _CHAPTER)]
@@ -511,57 +766,22 @@ def snk3_tag_conflicts(spark, sf_dir):
 
 # --- Reports ---
 
-_LOG = [("b1", 0, i % 7, 3, i, w, a, k, c, f"why {i}") for i, (w, a, k, c) in enumerate([(" ,", ",", "punctuation", "sure"), ("xử dụng", "sử dụng", "confusable", "sure"), ("  ", " ", "spacing", "sure"), ("qúy", "quý", "tone_mark", "sure"), ("hoà", "hòa", "tone_style", "likely"), ("thuơng", "thương", "bad_syllable", "doubtful")] * 9)]
-_LOG_COLUMNS = "book_id, entry_ix, para_ix, layer, start, before, after, kind, certainty, reason"
-
-
-def _log(spark):
-    types = "book_id string, entry_ix int, para_ix int, layer int, start int, before string, after string, kind string, certainty string, reason string"
-    return spark.createDataFrame(_LOG, types)
-
-
-_LOG_SQL = f"log AS (SELECT * FROM {_values(_LOG, _LOG_COLUMNS)})"
-
-
-@query(f"WITH {_LOG_SQL} SELECT kind, count(*) AS n FROM log GROUP BY ALL")
-def agg7_edits_by_kind(spark, sf_dir):
-    return report.edits_by_kind(_log(spark))
-
-
-@query(f"""WITH {_LOG_SQL}, g AS (SELECT kind, before, after, count(*) AS n, first(reason ORDER BY book_id, entry_ix, para_ix, layer, start) AS reason FROM log GROUP BY ALL)
-    SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, before, after)::INT AS place FROM g""")
-def agg8_report_top(spark, sf_dir):
-    return report.grouped_edits(_log(spark))
-
-
-_OPEN = [("b1", "nhưmg", "nhưng|những"), ("b1", "nhưmg", "nhưng|những"), ("b1", "chia xẻ", "chia sẻ")]
-
-
-@query(f"SELECT before, array_to_string(string_split(cands, '|'), ', ') AS candidates, count(*) AS n FROM {_values(_OPEN, 'book_id, before, cands')} GROUP BY ALL")
-def agg9_open_cases(spark, sf_dir):
-    df = spark.createDataFrame(_OPEN, "book_id string, before string, cands string").withColumn("cands", F.split("cands", r"\|"))
-    return report.grouped_open(df)
-
-
 @query(f"WITH {PARAS} SELECT book_id, count(DISTINCT entry_ix) AS n_files, count(*) AS n_paragraphs, sum(length(text))::BIGINT AS n_chars FROM paras GROUP BY ALL")
 def agg10_book_totals(spark, sf_dir):
     paras = paragraphs(spark, sf_dir).withColumnRenamed("text", "text_before")
-    none = _log(spark).limit(0)
+    none = spark.createDataFrame([], "book_id string, kind string, certainty string")
     cases = spark.createDataFrame([], "book_id string, before string")
     style = spark.createDataFrame([], "book_id string, n_old bigint, n_new bigint, style string, minority double")
     return report.book_summary(paras, none, cases, style).select("book_id", "n_files", "n_paragraphs", "n_chars")
 
 
-@query("SELECT 'b1' AS book_id, 8::BIGINT AS n_calls")
-def agg14_scorer_calls(spark, sf_dir):
-    df = spark.createDataFrame(_OPEN, "book_id string, before string, cands string").withColumn("cands", F.split("cands", r"\|"))
-    return report.scorer_calls(df.withColumn("evidence", F.lit("none")))
-
-
-@query()
-def snk4_book_summary(spark, sf_dir):
-    c = _correction(spark, sf_dir)
-    return report.book_summary(c.paragraphs, c.edits, c.open, c.stats.style)
+@query(f"""WITH {oracle_sql.TYPO_ROWS}, {oracle_sql.CONFUSABLE_ROWS}
+    SELECT 'typos' AS what, count(*) AS n FROM typos UNION ALL SELECT 'confusables', count(*) FROM confusable WHERE phrase <> lower(value)
+    UNION ALL SELECT 'syllables', count(DISTINCT w) FROM (SELECT unnest({[w.lower() for w in fixtures.SYLLABLES]}) AS w) UNION ALL SELECT 'compounds', {len(set(fixtures.COMPOUNDS))}""")
+def agg13_cardinalities(spark, sf_dir):
+    return lexicon.cardinalities(
+        typos=lexicon.typo_table(spark), confusables=lexicon.confusable_table(spark), syllables=fixtures.syllables(spark).distinct(), compounds=fixtures.compounds(spark).distinct()
+    )
 
 
 # --- Lexicon curation ---
@@ -573,9 +793,23 @@ def _lexicons(spark):
     return curate.build_lexicons(spark.createDataFrame([(e,) for e in _ENTRIES], "text string"))
 
 
-@query(f"SELECT DISTINCT w AS syllable FROM (SELECT unnest(regexp_extract_all(lower(text), '{L}+')) AS w FROM {_values([(e,) for e in _ENTRIES], 'text')} WHERE text NOT LIKE '%:%')")
+def _built(spark, sf_dir):
+    return curate.build_lexicons(_read(spark, sf_dir, "conversations").select("text"))
+
+
+@query(f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{L}+')) AS syllable FROM conversations WHERE text NOT LIKE '%:%'")
 def agg12_lexicon_syllables(spark, sf_dir):
-    return _lexicons(spark)[0]
+    return _built(spark, sf_dir)[0]
+
+
+@query(f"SELECT DISTINCT array_to_string(w, ' ') AS compound FROM (SELECT regexp_extract_all(lower(text), '{L}+') AS w FROM conversations WHERE text NOT LIKE '%:%') WHERE len(w) > 1")
+def agg12_lexicon_compounds(spark, sf_dir):
+    return _built(spark, sf_dir)[1]
+
+
+@query(f"WITH {VALID}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{L}+')) AS syllable FROM conversations WHERE text NOT LIKE '%:%') SELECT syllable FROM w WHERE syllable NOT IN (SELECT word FROM valid)")
+def dic3_rejected_words(spark, sf_dir):
+    return curate.rejected_entries(_built(spark, sf_dir)[0], syllable_table(spark))
 
 
 @query(f"SELECT * FROM {_values([('bêtông',), ('alô',), ('abc',)], 'syllable')}")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import CONFUSABLES, TYPOS
+from ..staging import local_table
 
 
 def read_words(spark: SparkSession, path: str, column: str = "syllable") -> DataFrame:
@@ -42,7 +44,7 @@ def typo_rows(text: str = TYPOS) -> list[tuple[str, list[str]]]:
 
 
 def typo_table(spark: SparkSession, text: str = TYPOS) -> DataFrame:
-    return spark.createDataFrame(typo_rows(text), "typo string, answers array<string>")
+    return local_table(spark, typo_rows(text), "typo string, answers array<string>")
 
 
 def typo_lines(lines: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def confusable_rows(text: str = CONFUSABLES) -> list[tuple[str, list[str], str,
 
 
 def confusable_table(spark: SparkSession, text: str = CONFUSABLES) -> DataFrame:
-    return spark.createDataFrame(confusable_rows(text), "section string, key array<string>, value string, file_ix int")
+    return local_table(spark, confusable_rows(text), "section string, key array<string>, value string, file_ix int")
 
 
 def confusable_lines(lines: DataFrame) -> DataFrame:
@@ -95,6 +97,12 @@ def confusable_lines(lines: DataFrame) -> DataFrame:
     return rows.filter((F.col("value") != "") & (F.array_join("key", " ") != F.lower("value")) & (F.array_join("key", " ") != ""))
 
 
+def cardinalities(**tables: DataFrame) -> DataFrame:
+    """(what, n): the number of rows of each table."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @dataclass(frozen=True)
 class Options:
     """Which rules run, and how the scorer is used."""

@@ -62,7 +62,7 @@ def decode_entities(s: str) -> tuple[str, tuple[int, ...] | None]:
     out, at, i = [], [], 0
     while i < len(s):
         c, step = s[i], 1
-        if c == "&" and (end := s.find(";", i)) >= 0 and len(s[i:end].encode()) <= ENTITY_BYTES and (known := _entity(s[i + 1 : end])) is not None:
+        if c == "&" and (end := s.find(";", i, i + ENTITY_BYTES)) >= 0 and len(s[i:end].encode()) <= ENTITY_BYTES and (known := _entity(s[i + 1 : end])) is not None:
             c, step = known, end + 1 - i
         out.append(c)
         at.append(i)
@@ -101,7 +101,8 @@ def _tag_end(s: str, at: int) -> int:
     return len(s)
 
 
-def _tag_name(tag: str) -> tuple[str, bool]:
+def tag_name(tag: str) -> tuple[str, bool]:
+    """A tag's name in lower case without its prefix, and whether it closes."""
     body = tag.lstrip("<").rstrip(">")
     closes = body.startswith("/")
     return _NAME.match(body[closes:]).group().rsplit(":", 1)[-1].lower(), closes
@@ -138,8 +139,8 @@ def scan(file: str) -> list[Paragraph]:
             i = len(file) if end < 0 else end + len(special)
             continue
         end = _tag_end(file, i)
-        name, closes = _tag_name(file[i:end])
-        if name in _SKIP and not file[:end].endswith("/>"):
+        name, closes = tag_name(file[i:end])
+        if name in _SKIP and not file.endswith("/>", 0, end):
             depth = max(0, depth - 1) if closes else depth + 1
         if name in _BLOCK:
             close()
@@ -156,7 +157,7 @@ def only_formatting(between: str) -> bool:
             i += 1
         elif between[i] == "<":
             end = _tag_end(between, i)
-            if _tag_name(between[i:end])[0] not in _FORMAT:
+            if tag_name(between[i:end])[0] not in _FORMAT:
                 return False
             i = end
         else:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A side is broadcast only when its row count times its row width is within this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -69,6 +73,14 @@ class Scratch:
                 self._fs(t._scratch_path, "delete", True)
 
 
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small table of given rows as a local relation: its size is known, so Spark broadcasts it, and no job reads it."""
+    kind = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kind.names), kind)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` dealt out over all cores if it comes in fewer splits than those, as small tables do; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
