@@ -55,7 +55,10 @@ def candidate_table(distinct: DataFrame, lexicon: DataFrame, compounds: DataFram
                 ["tok", "cands", "splits", "strong", "compound", "repaired"],
             )
 
-    return distinct.select("tok").mapInArrow(run, _CANDS)
+    # A token takes milliseconds, so even a few thousand are dealt over all cores.
+    cores = distinct.sparkSession.sparkContext.defaultParallelism
+    wide = max(cores, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return distinct.select("tok").repartition(wide, "tok").mapInArrow(run, _CANDS)
 
 
 def _has(df: DataFrame, key: Column, table: DataFrame, column: str, name: str) -> DataFrame:

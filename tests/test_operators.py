@@ -361,7 +361,7 @@ def test_correction_results_hold_documents_and_fixtures(spark, fixed):
 
 def test_lines_that_skip_the_kernel_are_those_it_leaves_alone(spark):
     lines = ["Anh ta phong thanh di", "PHONG Thanh di", "5 \u212a", "5 \u212b", "a\u037eb", "\uf900", "\u1100\u1161", "\U0002f800", "plain text"]
-    paras = books(spark, [("b", 0, i, t) for i, t in enumerate(lines)])
+    paras = books(spark, [("b", 0, i, t) for i, t in enumerate(lines)]).withColumn("row_id", F.col("para_ix"))
     style = spark.createDataFrame([("b", "old")], "book_id string, style string")
     table = lexicon.confusable_rows()
     for r in layered(paras, style, lexicon.Options()).collect():
