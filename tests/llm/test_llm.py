@@ -88,13 +88,14 @@ def test_queries_on_empty_tables(spark, tmp_path):
 # --- 1 ---
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize(("limit", "together"), [(32 << 20, 10_000), (0, 10_000), (0, 2)])
+def test_top_k_equals_brute_force(spark, limit, together):
     r = random.Random(3)
     codes = [(i, r.getrandbits(64) - (1 << 63)) for i in range(300)]
     codes += [(300 + i, codes[0][1]) for i in range(40)] + [(400, codes[1][1] ^ 3), (400, codes[1][1] ^ 3)]
     codes += [(None, 5), (401, None)]
     df = spark.createDataFrame([(*c, "x") for c in codes], "vec_id bigint, code bigint, distance string")
-    got = hamming_search.top_k(df, df.filter("vec_id % 50 = 0"), k=7)
+    got = hamming_search.top_k(df, df.filter("vec_id % 50 = 0"), k=7, limit=limit, together=together)
     clean = sorted({(i, c) for i, c in codes if i is not None and c is not None})
     want = []
     for q, qc in clean:
@@ -109,6 +110,12 @@ def test_top_k_with_too_few_rows(spark):
     same(hamming_search.top_k(df, df, k=5), [(0, 1, 50, 2), (50, 1, 0, 2)])
 
 
+@given(st.integers(0, 1 << 40), st.sampled_from([8, 20, 64]))
+def test_segments_cover_the_code(codes, bits):
+    widths = hamming_search.segment_widths(codes, bits)
+    assert sum(widths) == bits and max(widths) - min(widths) <= 1 and max(widths) <= 16
+
+
 def test_sign_codes(spark):
     df = spark.createDataFrame([(1, [0.5, -1.0, 2.0]), (2, None), (3, []), (4, [None, 1.0])], "vec_id bigint, embedding array<float>")
     same(hamming_search.sign_codes(df), [(1, 5), (2, 0), (3, 0), (4, 2)])
