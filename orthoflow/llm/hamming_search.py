@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into m segments of about log2(rows) bits, 8 to 16. Two codes that differ in fewer than m * (r + 1) bits have a
+A code is cut into m segments of at most 16 bits, as even as can be. Two codes that differ in fewer than m * (r + 1) bits have a
 segment in which they differ in at most r. So each round probes every segment with all values at exactly radius r;
 after it, every code nearer than m * (r + 1) has been seen and verified. A query leaves when its k-th neighbour
 is nearer than that; the rest go on with r + 1.
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_BYTES, Scratch, rows, small_side
 
-BITS = 64
-#: Bits of a segment, and codes of one segment value that meet in one place when the index is not broadcast.
-NARROWEST, WIDEST, TOGETHER = 8, 16, 10_000
+BITS, SEGMENT = 64, 16
+#: Codes of one segment value that meet in one place when the index is not broadcast.
+TOGETHER = 10_000
 
 
 def sign_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
@@ -43,10 +43,9 @@ def sign_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
     return vectors.select("vec_id", F.when(F.col("embedding").isNull(), F.lit(0).cast("bigint")).otherwise(code).alias("code"))
 
 
-def segment_widths(codes: int, bits: int = BITS) -> list[int]:
-    """Bits of each segment for so many codes: as even as can be, about log2(codes)."""
-    wanted = min(WIDEST, max(NARROWEST, codes.bit_length()))
-    m = -(-bits // min(wanted, bits))
+def segment_widths(bits: int = BITS) -> list[int]:
+    """Bits of each segment, the same at every size of the table: wider ones for more rows would make probes outgrow the queries."""
+    m = -(-bits // SEGMENT)
     return [bits // m + (s < bits % m) for s in range(m)]
 
 
@@ -81,7 +80,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, l
     near = W.partitionBy("code").orderBy("vec_id")
     ids = codes.filter(clean).select("code", "vec_id").distinct().withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
     entries = scratch.table(ids.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    widths = segment_widths(rows(entries), bits)
+    widths = segment_widths(bits)
     m = len(widths)
     index = scratch.table(entries.select("code", F.size("ids").alias("held"), F.inline(_segments(F.col("code"), widths))), "index")
     asked = scratch.table(queries.filter(clean).select("vec_id", "code").distinct(), "asked")

@@ -110,9 +110,9 @@ def test_top_k_with_too_few_rows(spark):
     same(hamming_search.top_k(df, df, k=5), [(0, 1, 50, 2), (50, 1, 0, 2)])
 
 
-@given(st.integers(0, 1 << 40), st.sampled_from([8, 20, 64]))
-def test_segments_cover_the_code(codes, bits):
-    widths = hamming_search.segment_widths(codes, bits)
+@pytest.mark.parametrize("bits", [8, 20, 64])
+def test_segments_cover_the_code(bits):
+    widths = hamming_search.segment_widths(bits)
     assert sum(widths) == bits and max(widths) - min(widths) <= 1 and max(widths) <= 16
 
 
