@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunk_cache import flat_bytes
-from .shingles import U, mix, stream, text_slices
+from .shingles import U, mix, span_hashes, stream, text_slices
 
 K, W, BAND, MIN_COVERAGE = 3, 3, 8, 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -63,7 +63,6 @@ _WEIGHTS = stream(1 << 12, 6) | U(1)
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, stop byte of each word, edges of each text's words, text offsets)."""
-    global _WEIGHTS
     raw, ends = flat_bytes(texts)
     solid = _WORD[raw]
     first = np.zeros(len(raw) + 1, bool)
@@ -73,15 +72,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     after[:-1] = ~solid[1:] | first[1:-1]
     starts, stops = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
     edges = np.searchsorted(starts, ends)
-    if not len(starts):
-        return np.zeros(0, U), starts, stops, edges, ends
-    lengths = stops - starts
-    if lengths.max() > len(_WEIGHTS):
-        _WEIGHTS = stream(2 * int(lengths.max()), 6) | U(1)
-    at = np.cumsum(lengths) - lengths
-    inside = np.flatnonzero(solid)
-    terms = (_LOWER[raw[inside]].astype(U) + U(1)) * _WEIGHTS[np.arange(len(inside)) - np.repeat(at, lengths)]
-    return mix(np.add.reduceat(terms, at)), starts, stops, edges, ends
+    return span_hashes(raw, starts, stops, _LOWER, _WEIGHTS), starts, stops, edges, ends
 
 
 def _grams(words: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ._shared import text_or_empty
 from .chunk_cache import flat_bytes, release_memory
+from .shingles import STEP, U, span_hashes, stream
 
 #: The most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -43,29 +44,17 @@ _SPACE = _class_table(b" \t\n\x0b\x0c\r")
 _UPPER, _DIGIT = _class_table(bytes(range(65, 91))), _class_table(b"0123456789")
 _PUNCT, _SYMBOL = _class_table(b".,;:!?'\"()-"), _class_table(b"#$%&*+/<=>@[\\]^_`{|}~")
 _VOWEL, _WIDE = _class_table(b"aeiouyAEIOUY"), _class_table(bytes(range(128, 256)))
+_SOLID, _IS_UPPER, _MARK = _SPACE == 0, _UPPER > 0, _PUNCT + _SYMBOL > 0
+_AS_IS, _WEIGHTS = np.arange(256, dtype=np.uint8), stream(1 << 12, 7) | U(1)
 
 
-def _sums(table: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(table[raw])])[ends])
-
-
-def _spans(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _span_hash(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, by position-weighted sums."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(raw))
-    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    weight = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-    weight ^= weight >> np.uint64(29)
-    terms = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * weight)])
-    h = terms[stops] - terms[starts]
-    h ^= h >> np.uint64(31)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+def _byte_counts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each text holds each byte."""
+    out = np.zeros((len(ends) - 1, 256))
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        for lo in range(a, b, STEP):
+            out[i] += np.bincount(raw[lo : min(b, lo + STEP)], minlength=256)
+    return out
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -76,26 +65,29 @@ def features(texts: pa.Array) -> np.ndarray:
         return np.zeros((n, len(FEATURES)))
     size = np.diff(ends).astype(np.float64)
     some = np.maximum(size, 1)
-    doc_of = np.repeat(np.arange(n), np.diff(ends))
+
+    def text_of(at):
+        return np.searchsorted(ends, at, side="right") - 1
 
     # Texts are cut apart: a word or line never runs over the end of a text.
     first = np.zeros(len(raw) + 1, bool)
     first[ends[:-1]] = True
-    solid = _SPACE[raw] == 0
+    solid = _SOLID[raw]
     start = solid & (np.concatenate([[True], ~solid[:-1]]) | first[:-1])
     starts = np.flatnonzero(start)
     stop = solid & np.concatenate([~solid[1:] | first[1:-1], [True]])
     stops = np.flatnonzero(stop) + 1
-    w_doc, w_len = doc_of[starts], stops - starts
+    w_doc, w_len = text_of(starts), stops - starts
     words = np.bincount(w_doc, minlength=n).astype(np.float64)
     some_words = np.maximum(words, 1)
-    w_hash = _span_hash(raw, starts, stops)
+    w_hash = span_hashes(raw, starts, stops, _AS_IS, _WEIGHTS)
 
     def by_word(x):
         return np.bincount(w_doc, x, n)
 
-    upper = np.concatenate([[0], np.cumsum(_UPPER[raw])])
-    caps = (upper[stops] - upper[starts]) * 2 > w_len
+    upper = np.cumsum(_IS_UPPER[raw], dtype=np.int32)
+    caps = (upper[stops - 1] - upper[starts] + _IS_UPPER[raw[starts]]) * 2 > w_len
+    del upper
     opens = _UPPER[raw[starts]]
     keyed = np.lexsort((w_hash, w_doc))
     s_doc, s_hash = w_doc[keyed], w_hash[keyed]
@@ -111,24 +103,23 @@ def features(texts: pa.Array) -> np.ndarray:
     line_solid = raw != 10
     l_start = np.flatnonzero(line_solid & (np.concatenate([[True], ~line_solid[:-1]]) | first[:-1]))
     l_stop = np.flatnonzero(line_solid & np.concatenate([~line_solid[1:] | first[1:-1], [True]])) + 1
-    l_doc = doc_of[l_start]
+    l_doc = text_of(l_start)
     lines = np.bincount(l_doc, minlength=n).astype(np.float64)
-    l_hash = _span_hash(raw, l_start, l_stop)
+    l_hash = span_hashes(raw, l_start, l_stop, _AS_IS, _WEIGHTS)
     order = np.lexsort((l_hash, l_doc))
     o_doc, o_hash = l_doc[order], l_hash[order]
     again = np.bincount(o_doc[1:], (o_doc[1:] == o_doc[:-1]) & (o_hash[1:] == o_hash[:-1]), n) if len(o_doc) else np.zeros(n)
     marks = np.isin(raw[l_stop - 1], np.frombuffer(b".!?:;\"", np.uint8))
 
-    counts = np.bincount(doc_of * 256 + raw, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    counts = _byte_counts(raw, ends)
     share = counts / some[:, None]
     entropy = -np.sum(np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0), 1)
 
     def part(table):
         return counts @ table / some
 
-    non_alnum = (_PUNCT + _SYMBOL)[raw] > 0
-    runs_of_marks = np.zeros(len(raw), np.int64)
-    runs_of_marks[1:] = non_alnum[1:] & non_alnum[:-1]
+    mark = _MARK[raw]
+    after_mark = np.flatnonzero(mark[1:] & mark[:-1] & ~first[1:-1]) + 1
     longest = np.zeros(n)
     np.maximum.at(longest, w_doc, w_len)
     columns = [
@@ -136,7 +127,7 @@ def features(texts: pa.Array) -> np.ndarray:
         by_word(w_len <= 2) / some_words, part(_UPPER), part(_DIGIT), part(_PUNCT), part(_SPACE), part(_SYMBOL), counts[:, 33] / some,
         counts[:, 124] / some, part(_WIDE), by_word(caps) / some_words, top_word / some_words, by_word(adjacent) / some_words,
         again / np.maximum(lines, 1), distinct / some_words, np.log1p(size / np.maximum(lines, 1)), np.bincount(l_doc, marks, n) / np.maximum(lines, 1),
-        entropy, part(_VOWEL), np.bincount(doc_of, runs_of_marks, n) / some, by_word(opens) / some_words, counts[:, 44] / some,
+        entropy, part(_VOWEL), np.bincount(text_of(after_mark), minlength=n) / some, by_word(opens) / some_words, counts[:, 44] / some,
     ]
     out = np.stack(columns, 1)
     out[size == 0] = 0

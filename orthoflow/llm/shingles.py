@@ -29,11 +29,42 @@ _SOLID[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WEIGHTS = stream(1 << 12, 1) | U(1)
+#: Bytes of spans that are hashed at a time, so a long text takes little beside itself.
+STEP = 1 << 20
+
+
+def _span_sums(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), U)
+    total = np.cumsum(stops - starts)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + STEP, side="right")))
+        lengths = stops[lo:hi] - starts[lo:hi]
+        at = np.cumsum(lengths) - lengths
+        place = np.arange(at[-1] + lengths[-1]) - np.repeat(at, lengths)
+        terms = (fold[raw[place + np.repeat(starts[lo:hi], lengths)]].astype(U) + U(1)) * weights[place]
+        out[lo:hi] = np.add.reduceat(terms, at)
+        lo = hi
+    return out
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, none empty, after `fold`; spans longer than `weights` go by pieces of that length."""
+    if len(starts) == 0:
+        return np.zeros(0, U)
+    most = len(weights)
+    pieces = (stops - starts + most - 1) // most
+    if pieces.max() == 1:
+        return mix(_span_sums(raw, starts, stops, fold, weights))
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(first[-1] + pieces[-1]) - np.repeat(first, pieces)
+    begin = np.repeat(starts, pieces) + nth * most
+    hashes = mix(_span_sums(raw, begin, np.minimum(begin + most, np.repeat(stops, pieces)), fold, weights))
+    return np.add.reduceat(hashes * (mix(nth.astype(U)) | U(1)), first)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts, edges of each text's words). A-Z count as a-z; `texts` has no nulls."""
-    global _WEIGHTS
     raw, ends = flat_bytes(texts)
     n = len(texts)
     if len(raw) == 0:
@@ -43,17 +74,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[ends] = True
     starts = np.flatnonzero(solid & (np.concatenate([[True], ~solid[:-1]]) | first[:-1]))
     stops = np.flatnonzero(solid & np.concatenate([~solid[1:] | first[1:-1], [True]])) + 1
-    if len(starts) == 0:
-        return np.zeros(0, U), np.zeros(n + 1, np.int64)
-    lengths = stops - starts
-    longest = int(lengths.max())
-    if longest > len(_WEIGHTS):
-        _WEIGHTS = stream(2 * longest, 1) | U(1)
-    inside = np.flatnonzero(solid)
-    place = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    terms = (_LOWER[raw[inside]].astype(U) + U(1)) * _WEIGHTS[place]
-    hashes = mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths))
-    return hashes, np.searchsorted(starts, ends)
+    return span_hashes(raw, starts, stops, _LOWER, _WEIGHTS), np.searchsorted(starts, ends)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, hamming_search, license_scan, line_dedup, minhash_dedup, packing, quality, queries, sentencepiece_codec, token_files, url_filter
+from orthoflow.llm import exact_dedup, hamming_search, license_scan, line_dedup, minhash_dedup, packing, quality, queries, sentencepiece_codec, shingles, token_files, url_filter
 from orthoflow.llm._shared import Scratch
 from orthoflow.llm.components import components, roots_of
 
@@ -194,6 +194,20 @@ def test_features_do_not_depend_on_neighbours():
     for i, t in enumerate(texts):
         assert np.allclose(whole[i], quality.features(pa.array([t]))[0])
     assert np.allclose(whole[1], 0)
+    assert quality.features(pa.array(["so.", "!no"]))[:, quality.FEATURES.index("mark_run_share")].tolist() == [0, 0]
+
+
+def test_features_and_words_of_long_texts(monkeypatch):
+    long = "y" * 9000
+    texts = [f"{long} {long}z {long} short {long}", "short", f"a{long}", "w " * 3000]
+    whole, words = quality.features(pa.array(texts)), shingles.word_hashes(pa.array(texts))[0]
+    assert words[0] == words[2] == words[4] != words[1] and words[3] == words[5] and len(set(words[:7].tolist())) == 4
+    assert words[5] == shingles.word_hashes(pa.array(["short"]))[0][0]
+    assert np.isclose(whole[0][quality.FEATURES.index("distinct_words")], 3 / 5)
+    for module in (quality, shingles):
+        monkeypatch.setattr(module, "STEP", 100)
+    assert np.allclose(whole, quality.features(pa.array(texts)))
+    assert (words == shingles.word_hashes(pa.array(texts))[0]).all()
 
 
 # --- 4 ---
@@ -312,7 +326,7 @@ def brute_components(rows, words):
     return out
 
 
-@pytest.mark.parametrize("limits", [(1000, 1500, 500), (3, 1500, 500), (4, 3, 2), (1000, 5, 3)])
+@pytest.mark.parametrize("limits", [(1000, 1500, 500), (3, 1500, 500), (4, 3, 2), (1000, 5, 3), (1000, 1500, 500, 300)])
 def test_near_groups_equal_brute_force(spark, corpus, limits):
     got = minhash_dedup.near_groups(docs_frame(spark, corpus), 4, *limits).drop("th", "grp")
     same(got, brute_components(corpus, 4))
