@@ -13,9 +13,9 @@ with probability 1.44e-4, P(Binomial(32, 0.2) >= 16), about one in 7000; nearer
    chunks hold at most 15 errors, so one of them has at most 2, and a pair also meets under that chunk's 2 remaining
    symbols. Keys yield spanning forests, not pairs.
 3. Full sets of grouped classes only are rebuilt from the texts, and each coarse group is confirmed exactly. A
-   group above `GROUP` classes is not gathered in one task: its members are compared with a few hubs, wherever they
-   are; those not linked to the main hub's links (the query set) are then compared with all members of a similar
-   set size, in blocks.
+   group above `GROUP` classes or `CELL_BYTES` of sets is not gathered in one task: its members are compared with a
+   few hubs, wherever they are; those not linked to the main hub's links (the query set) are then compared with all
+   members of a similar set size, in blocks.
 4. Links are spanning forests of the confirmed pairs; their connected components are the result.
 
 No partner or candidate is capped; hot groups are split. Only heavy keys (at most rows / HEAVY) and hubs may be broadcast,
@@ -39,6 +39,8 @@ from .shingles import U, shingle_sets, signature, stream, text_slices
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 15
 PER_CHUNK = SYMBOLS // CHUNKS
 HEAVY, GROUP, HUBS, BLOCK, ASKED = 1000, 1500, 4, 500, 256
+#: Bytes of sets that a task gathers of a group, or of a cell of a larger one, beyond its first two sets.
+CELL_BYTES = 64 << 20
 _A, _B = stream(SYMBOLS, 2) | U(1), stream(SYMBOLS, 3)
 _F1, _F2 = stream(2, 4)
 
@@ -421,8 +423,11 @@ def _hub_choice(sample: DataFrame) -> DataFrame:
     return sample.repartition("grp").sortWithinPartitions("grp").mapInArrow(choose, "grp bigint, cls bigint")
 
 
-def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """Links of the groups that are too large for one task. members: (grp, cls, n, items)."""
+def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block: int, cell_bytes: int) -> DataFrame:
+    """Links of the groups that are too large for one task. members: (grp, cls, n, items).
+
+    A cell compares about `block` members that ask with `block` that are told, and about `cell_bytes` of sets of either kind.
+    """
     from pyspark.sql import Window as W
 
     key = members.select("grp", "cls").join(classes.select("cls", *_LOW), "cls")
@@ -440,8 +445,9 @@ def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block
     open_ = scratch.table(members.join(settled, ["grp", "cls"], "left_anti"), "open")
     # The query set in blocks against members of their size band and its neighbours: sizes of linked sets are within 4 : 5.
     band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    n_open, n_all = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("asked")), members.groupBy("grp").agg(F.count(F.lit(1)).alias("all"))
-    plan = scratch.table(n_open.join(n_all, "grp").select("grp", F.ceil(F.col("asked") / block).cast("int").alias("blocks"), F.ceil(F.col("all") / block).cast("int").alias("salts")), "plan")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.col("n") * 8) / cell_bytes)).cast("int")
+    n_open, n_all = open_.groupBy("grp").agg(parts.alias("blocks")), members.groupBy("grp").agg(parts.alias("salts"))
+    plan = scratch.table(n_open.join(n_all, "grp").select("grp", "blocks", "salts"), "plan")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     salts = F.sequence(F.lit(0), F.col("salts") - 1)
     asks = open_.join(small_side(plan, 32), "grp").select(
@@ -457,7 +463,7 @@ def _large_links(members: DataFrame, classes: DataFrame, scratch: Scratch, block
 
 
 def near_groups(
-    docs: DataFrame, words: int = 4, heavy_rows: int = HEAVY, group_rows: int = GROUP, block: int = BLOCK
+    docs: DataFrame, words: int = 4, heavy_rows: int = HEAVY, group_rows: int = GROUP, block: int = BLOCK, cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """Every row of `docs` as (doc_id, th, n_shingles, component_id, kept, grp).
 
@@ -478,30 +484,28 @@ def near_groups(
     )
     classes = scratch.table(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     groups = components(coarse_edges(classes, scratch, heavy_rows), scratch)
-    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    chosen = groups.join(sized, "root").select(F.col("root").alias("grp"), F.col("node").alias("cls"), "size")
-    wanted = scratch.table(
-        chosen.join(classes.select("cls", "n", "model.doc_id", "model.th"), "cls").select(
-            "grp", "cls", "size", "n", F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")
-        ),
-        "wanted",
-    )
+    chosen = groups.select(F.col("root").alias("grp"), F.col("node").alias("cls")).join(classes.select("cls", "n", "model.doc_id", "model.th"), "cls")
+    chosen = scratch.table(chosen, "chosen")
+    sized = chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
+    sized = sized.select("grp", ((F.col("size") > group_rows) | (F.col("size") > 2) & (F.col("bytes") > cell_bytes)).alias("big"))
+    wanted = chosen.join(sized, "grp").select("grp", "cls", "big", "n", F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"))
+    wanted = scratch.table(wanted, "wanted")
     picked = texts.join(small_side(wanted, 64), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")))
 
     def sets(batches):
         for batch in batches:
             for part in text_slices(batch):
                 items = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "cls", "size", "n")), items], ["grp", "cls", "size", "n", "items"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "cls", "big", "n")), items], ["grp", "cls", "big", "n", "items"])
 
-    members = picked.select("grp", "cls", "size", "n", "text").mapInArrow(sets, "grp bigint, cls bigint, size bigint, n bigint, items binary")
+    members = picked.select("grp", "cls", "big", "n", "text").mapInArrow(sets, "grp bigint, cls bigint, big boolean, n bigint, items binary")
     members = scratch.table(members, "members")
-    small = members.filter(F.col("size") <= group_rows).select("grp", "cls", "items")
+    small = members.filter("NOT big").select("grp", "cls", "items")
     links = small.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(_confirm_groups, "a bigint, b bigint")
-    large = members.filter(F.col("size") > group_rows).select("grp", "cls", "n", "items").dropDuplicates(["grp", "cls"])
+    large = members.filter("big").select("grp", "cls", "n", "items").dropDuplicates(["grp", "cls"])
     large = scratch.table(large, "large")
     if rows(large):
-        links = links.unionAll(_large_links(large, classes, scratch, block))
+        links = links.unionAll(_large_links(large, classes, scratch, block, cell_bytes))
     roots = components(links, scratch)
     merged = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
