@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks kept per worker process; beyond it the cache starts afresh. About 50 bytes each.
-CACHE_CHUNKS = 1_500_000
+#: Distinct chunks kept per worker process; beyond it the cache starts afresh. About 50 bytes each, and looking them up takes as much
+#: again. Idle workers keep theirs.
+CACHE_CHUNKS = 250_000
 #: Chunks encoded at a time.
 FRESH_CHUNKS = 32_768
 #: Bytes encoded at a time: a longer text is cut.

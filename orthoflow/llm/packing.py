@@ -245,6 +245,16 @@ def _token_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, larges
     release_memory()
 
 
+def _id_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` ids."""
+    total = np.cumsum(batch.column("length").to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _join_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bin_id, offset) to one row per bin."""
     held: pa.Table | None = None
@@ -267,9 +277,7 @@ def _join_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["bin_id", "capacity", "n_tokens", "segments", "ids", "ids_crc32"],
         )
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for b in batches for part in _id_slices(b)):
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
         bins = rows.column("bin_id").to_numpy()
