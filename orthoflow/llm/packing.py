@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, small_side, text_or_empty
-from .chunk_cache import release_memory
+from .chunk_cache import CACHE_CHUNKS, release_memory
 from .shingles import text_slices
 from .token_files import SLICE_BYTES, encode_texts
 
@@ -229,10 +229,10 @@ def pack(lengths: DataFrame, capacities=CAPACITIES, cost: Callable[[int], float]
     return packed.unionAll(none)
 
 
-def _token_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, largest: int) -> Iterator[pa.RecordBatch]:
+def _token_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, largest: int, cache_chunks: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, row, text) to the pieces of their ids: doc_id, row, piece, start, length, ids."""
-    for batch in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
-        ids, counts = encode_texts(batch.column("text"), tokenizer_path)
+    for batch in (part for whole in batches for part in text_slices(whole, slice_bytes)):
+        ids, counts = encode_texts(batch.column("text"), tokenizer_path, cache_chunks=cache_chunks)
         many = -(-counts // largest)
         of = np.repeat(np.arange(len(counts)), many)
         piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
@@ -290,19 +290,22 @@ def _join_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def pack_texts(docs: DataFrame, tokenizer_path: str, capacities=CAPACITIES, cost: Callable[[int], float] = default_cost) -> DataFrame:
+def pack_texts(
+    docs: DataFrame, tokenizer_path: str, capacities=CAPACITIES, cost: Callable[[int], float] = default_cost, cache_chunks: int = CACHE_CHUNKS, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """Packed sequences of all rows of `docs` (doc_id, text): bin_id, capacity, n_tokens, segments, ids, ids_crc32.
 
     A text's ids are those of the token files, with the end id; a null or empty text has that one only. `segments` lists the pieces in
     the bin, in order: doc_id, row (a number of the input row, which tells apart rows with equal or null doc_ids), piece,
     start (id of the document where the piece begins), length. `ids` are their ids, one after another, ids_crc32 the checksum of these as unsigned 32-bit little-endian
-    integers. Other columns are not read.
+    integers. Other columns are not read. Workers keep the ids of at most `cache_chunks` distinct chunks and encode about `slice_bytes` of
+    text at a time: less of either takes less memory and more time.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     largest = max(capacities)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
     schema = "doc_id bigint, row bigint, piece int, start bigint, length int, ids array<int>"
-    tokens = scratch.table(rows.mapInArrow(lambda b: _token_pieces(b, tokenizer_path, largest), schema), "tokens")
+    tokens = scratch.table(rows.mapInArrow(lambda b: _token_pieces(b, tokenizer_path, largest, cache_chunks, slice_bytes), schema), "tokens")
     placed = _ranged(tokens.drop("ids"), scratch)
     plan = scratch.table(_place(placed, capacities, cost)[0].select("row", "piece", "bin_id", "capacity", "offset"), "plan")
     scratch.drop(placed)

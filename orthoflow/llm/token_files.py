@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, text_or_empty
-from .chunk_cache import ChunkCache, encode_chunks, flat_bytes, release_memory, word_cuts
+from .chunk_cache import CACHE_CHUNKS, ChunkCache, encode_chunks, flat_bytes, release_memory, word_cuts
 from .shingles import text_slices
 
 MAGIC, VERSION = b"OFTK", 1
@@ -45,11 +45,11 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 2048, 64 << 10, 3
 SAMPLE_CUT, LEAST_DICTIONARY = 256, 256
 END_ID = 0
 JOINED = 2000  # chunks in one string
-SLICE_BYTES = 4 << 20  # of text encoded at once
+SLICE_BYTES = 8 << 20  # of text encoded at once
 
 
 @functools.cache
-def _encoder(tokenizer_path: str) -> ChunkCache:
+def _encoder(tokenizer_path: str, cache_chunks: int) -> ChunkCache:
     """One per worker process: the tokenizers library encodes each distinct chunk once."""
     import os
 
@@ -75,13 +75,13 @@ def _encoder(tokenizer_path: str) -> ChunkCache:
         rest = iter(parts)
         return [next(rest) if p else next(others).ids for p in plain]
 
-    return ChunkCache(encode_many)
+    return ChunkCache(encode_many, cache_chunks)
 
 
-def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts as one array, count of ids of each text), `end_id` appended to each."""
+def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int | None = END_ID, cache_chunks: int = CACHE_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts as one array, count of ids of each text), `end_id` appended to each; `cache_chunks` bounds the cache."""
     raw, ends = flat_bytes(texts)
-    ids, counts = encode_chunks(raw, ends, word_cuts, _encoder(tokenizer_path))
+    ids, counts = encode_chunks(raw, ends, word_cuts, _encoder(tokenizer_path, cache_chunks))
     if end_id is None:
         return ids, counts
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
