@@ -34,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of the token ids of all documents."""
-    return packing.pack_texts(docs, tokenizer("byte_bpe_50k.json")).drop("ids")
+    """Packed sequences of the token ids of all documents; workers hold less than in the query, as earlier stages fill the executor's heap."""
+    return packing.pack_texts(docs, tokenizer("byte_bpe_50k.json"), cache_chunks=250_000, slice_bytes=4 << 20).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
