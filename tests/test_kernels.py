@@ -239,6 +239,12 @@ def test_windows():
     assert len(long[left:500].encode()) <= 200 and len(long[501:right].encode()) <= 200
 
 
+@pytest.mark.parametrize(("tail", "want"), [("y" * 500, (9, 213)), ("y" * 50, (11, 61)), ("đ" * 201, (9, 113))])
+def test_window_that_begins_on_the_space_behind_a_sentence(tail, want):
+    """As dec9's SQL has it, which a turn of 1593 characters showed."""
+    assert editing.sentence_window("x" * 9 + ". " + tail, 10, 13) == want
+
+
 def test_choose():
     nan = float("nan")
     assert choose([1.0, 1.02], 0.0, 0.03) == 0
