@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.lexicon import Options
 from .charset import INVISIBLE, ODD_SPACES, TWO_STYLES, char_ranges, letter_class, token_class
 from .editing import apply_edits, diff, nearest
-from .syllables import parse, spell
+from .syllables import frames, parse, spell
 
 #: Rule patterns shared by the column functions (Java) and the kernels (Python): each matches what its edit replaces.
 SPACE_BEFORE_CLOSING = r" (?=[,;:!?…)\]}]|\.(?!\.))"
@@ -124,10 +124,13 @@ def _subs(text: str, pattern: str, after: str | Callable, kind: str, certainty:
     return out
 
 
+_ODD = re.compile(f"[{INVISIBLE}{ODD_SPACES}]")
+
+
 def unicode_edits(text: str) -> list[Edit]:
     """One edit for each invisible character or odd space, with its code point as the reason."""
     out = []
-    for m in re.finditer(f"[{INVISIBLE}{ODD_SPACES}]", text):
+    for m in _ODD.finditer(text):
         c = m.group()
         what = "invisible character" if c in INVISIBLE else "space of another kind"
         out.append(Edit(m.start(), m.end(), c, "" if c in INVISIBLE else " ", "unicode", "sure", f"{what} U+{ord(c):04X}"))
@@ -139,8 +142,14 @@ def compose_edits(text: str) -> tuple[str, list[Edit]]:
     return new, [Edit(h.start, h.end, text[h.start : h.end], h.text, "unicode", "sure", "composed Unicode (NFC)") for h in diff(text, new)]
 
 
+#: A text without a match of this has no punctuation edit.
+_MAY_PUNCTUATE = re.compile(r" [,;:!?…)\]}.]|[(\[{] |[,;:][^ ]|[.!?]\S").search
+
+
 def punctuation_edits(text: str, options: Options) -> list[Edit]:
     """Edits of all punctuation rules, found on the same text."""
+    if not _MAY_PUNCTUATE(text):
+        return []
     p = ("punctuation", "sure")
     out = _subs(text, SPACE_BEFORE_CLOSING, "", *p, "space before a closing mark")
     out += _subs(text, SPACE_AFTER_OPENING, "", *p, "space after an opening mark")
@@ -186,26 +195,42 @@ def respell(word: str, new_style: bool) -> str | None:
     return out[0].upper() + out[1:] if word[0].isupper() else out
 
 
+#: Longest word that can be a syllable; lower-casing may lengthen, never shorten one of letters.
+_LONGEST = max(map(len, frames()))
+_MARKED_WORD = re.compile(f"[A-Za-z]*{letter_class().replace('A-Za-z', '')}{letter_class()}*")
+
+
+@functools.lru_cache(1 << 16)
+def _tone_fix(word: str, new_style: bool, consistent: bool) -> tuple[str, str, str, str] | None:
+    """What replaces a word, with kind, certainty and reason."""
+    if token_class(word) != "viet" or (right := respell(word, new_style)) is None:
+        return None
+    if right.lower() == word.lower():
+        return None
+    if respell(word, not new_style) != word:
+        return right, "tone_mark", "sure", "tone mark on the wrong vowel"
+    s = parse(word)
+    if consistent and s.rhyme in TWO_STYLES and s.tone:
+        return right, "tone_style", "likely", f"both are right; the book's {'new' if new_style else 'old'} style"
+    return None
+
+
 def tone_edits(text: str, new_style: bool, consistent: bool) -> list[Edit]:
     """Marks on the wrong vowel, and, if `consistent`, spellings of the style that is not the book's."""
+    if text.isascii():
+        return []
     out = []
-    for start, end, word in words(text):
-        if token_class(word) != "viet" or (right := respell(word, new_style)) is None:
-            continue
-        if right.lower() == word.lower():
-            continue
-        if respell(word, not new_style) == word:
-            s = parse(word)
-            if consistent and s.rhyme in TWO_STYLES and s.tone:
-                style = "new" if new_style else "old"
-                out.append(Edit(start, end, word, right, "tone_style", "likely", f"both are right; the book's {style} style"))
-        else:
-            out.append(Edit(start, end, word, right, "tone_mark", "sure", "tone mark on the wrong vowel"))
+    for m in _MARKED_WORD.finditer(text):
+        word = m.group()
+        if len(word) <= _LONGEST and (fix := _tone_fix(word, new_style, consistent)):
+            out.append(Edit(m.start(), m.end(), word, *fix))
     return out
 
 
 def confusable_edits(text: str, table: list[tuple[str, list[str], str, int]]) -> list[Edit]:
     """Phrases of the table: always-wrong rows first, longest keys first; a claimed word is not used again."""
+    if {key[0] for _, key, _, _ in table}.isdisjoint(" ".join(_WORD.findall(text)).lower().split(" ")):
+        return []
     tokens = words(text)
     low = [w.lower() for _, _, w in tokens]
     at: dict[str, list[int]] = {}

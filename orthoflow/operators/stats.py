@@ -6,29 +6,80 @@ aggregation, so frequent words stay cheap however large a book is. Lexicons are
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.charset import ONSETS, TWO_STYLES, letters_class_col, strip_tone_col
-from .tokens import capitalised, has_marks, mid_sentence, tokens
+from ..functions.charset import LETTERS, ONSETS, TWO_STYLES, char_ranges, letter_class, letters_class_col, strip_tone_col
 
 #: A word must occur this often to count as a name, cluster or word in use.
 LEAST = 3
 
 
-def seen(paras: DataFrame) -> DataFrame:
+#: So many distinct tokens are counted in a task before their counts go on.
+MOST_COUNTED = 200_000
+#: As the column `mid_sentence`: in Java `$` also stands ahead of a last line end.
+_MID_SENTENCE = r"[ ,;]*(?:\r\n|[\n\r\x85\u2028\u2029])?"
+
+
+def seen(paras: DataFrame, compose: bool = False) -> DataFrame:
     """(book_id, tok, token_class, named, next, n) of the tokens that statistics ask for: with marks, or the first of a capitalised pair.
 
     `named`: capitalised in mid-sentence. `next`: the token after it, where both make such a pair of clean words with one space between.
+    With `compose`, of the composed texts (NFC). A kernel counts within a task; texts that can hold no such token cost it one look.
     """
-    toks = tokens(paras, ["book_id"], keep=lambda t: has_marks(t) | capitalised(t))
-    clean = F.col("token_class").isin("viet", "plain") & letters_class_col(F.col("next")).isin("viet", "plain")
-    named = capitalised(F.col("tok")) & F.col("prev").isNotNull() & mid_sentence(F.col("gap"))
-    pair = named & clean & (F.col("gap_after") == " ") & capitalised(F.col("next"))
-    rows = toks.select("book_id", "tok", "token_class", F.coalesce(named, F.lit(False)).alias("named"), F.when(pair, F.col("next")).alias("next"))
+    letters, book = letter_class(), paras.schema["book_id"].dataType.simpleString()
+    upper = "[" + char_ranges(c for c in LETTERS if c.isupper()) + "]"
+    kind = to_arrow_type(paras.schema["book_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, pair = re.compile(f"{letters}+").finditer, re.compile(f"{upper}{letters}* {upper}").search
+        begins, mid = re.compile(upper).match, re.compile(_MID_SENTENCE).fullmatch
+        counts: Counter[tuple] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*counts, strict=True)) or [()] * 4
+            kinds = (kind, pa.string(), pa.bool_(), pa.string())
+            out = [*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(counts.values(), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(out, ["book_id", "tok", "mid", "beside", "n"])
+
+        for batch in batches:
+            for own, text in zip(batch.column("book_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None:
+                    continue
+                text = unicodedata.normalize("NFC", text) if compose else text
+                plain = text.isascii()
+                if plain and not pair(text):
+                    continue
+                words = [(m.start(), m.end(), m.group()) for m in find(text)]
+                last = len(words) - 1
+                for i, (start, end, tok) in enumerate(words):
+                    if begins(tok):
+                        beside = i < last and text[end : words[i + 1][0]] == " " and begins(words[i + 1][2])
+                        if beside or not (plain or tok.isascii()):
+                            middle = i > 0 and mid(text[words[i - 1][1] : start]) is not None
+                            counts[own, tok, middle, words[i + 1][2] if beside else None] += 1
+                    elif not (plain or tok.isascii()):
+                        counts[own, tok, False, None] += 1
+            if len(counts) >= MOST_COUNTED:
+                yield flush()
+        yield flush()
+
+    found = paras.select("book_id", "text").mapInArrow(run, f"book_id {book}, tok string, mid boolean, beside string, n bigint")
+    found = found.groupBy("book_id", "tok", "mid", "beside").agg(F.sum("n").alias("n")).withColumn("token_class", letters_class_col(F.col("tok")))
+    clean = F.col("token_class").isin("viet", "plain") & letters_class_col(F.col("beside")).isin("viet", "plain")
+    pair = F.col("mid") & clean & F.col("beside").isNotNull()
+    rows = found.select("book_id", "tok", "token_class", F.col("mid").alias("named"), F.when(pair, F.col("beside")).alias("next"), "n")
     rows = rows.filter("token_class = 'viet' OR next IS NOT NULL")
-    return rows.groupBy("book_id", "tok", "token_class", "named", "next").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("book_id", "tok", "token_class", "named", "next").agg(F.sum("n").alias("n"))
 
 
 def _words(counts: DataFrame, condition: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Tokens of paragraphs with their neighbours and gaps, from one array per paragraph: no shuffle, no Python."""
+"""Tokens of paragraphs with their neighbours and gaps, from one array per paragraph: no shuffle, and but for `marked_tokens` no Python."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,11 @@ def part_start(parts: Column, pos: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), pos), F.lit(0), lambda n, p: n + F.length(p))
 
 
-def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bool = False, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per token: keys, tok_ix, pos, tok, prev, next, gap (text ahead of it), gap_after, token_class.
+def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bool = False, keep: Callable[[Column], Column] | None = None, starts: bool = False) -> DataFrame:
+    """One row per token: keys, tok_ix, pos, tok, prev, next, gap (text ahead of it), gap_after, token_class; with `starts`, start.
 
     `prev` and `next` are the neighbouring tokens, null at the ends; null texts have no tokens. With `keep`, a condition on the
-    token, others still count as neighbours but get no row of their own.
+    token, others still count as neighbours but get no row of their own. `start`: the code-point offset in the text.
     """
     parts = F.col("parts")
     # Letters and others alternate, so the first part tells which places hold tokens.
@@ -40,15 +42,47 @@ def tokens(paras: DataFrame, keys: list[str] = KEY, compat_lowercase_letters: bo
         lambda i: F.struct(
             i.alias("pos"), F.get(parts, i).alias("tok"), F.get(parts, i - 2).alias("prev"), F.get(parts, i + 2).alias("next"),
             F.get(parts, i - 1).alias("gap"), F.get(parts, i + 1).alias("gap_after"),
+            *([F.length(F.array_join(F.slice(parts, F.lit(1), i), "")).alias("start")] if starts else []),
         ),
     )
     rows = paras.select(*keys, parts_col(F.col("text"), compat_lowercase_letters).alias("parts")).select(*keys, F.inline(near))
     return rows.select(
         *keys, F.shiftright("pos", 1).alias("tok_ix"), "pos", "tok", "prev", "next", "gap", "gap_after",
-        letters_class_col(F.col("tok")).alias("token_class"),
+        letters_class_col(F.col("tok")).alias("token_class"), *(["start"] if starts else []),
     )
 
 
+def marked_tokens(paras: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, tok, prev, next, token_class of the tokens that `has_marks` holds for, as `tokens` gives them: a kernel that looks at texts beyond ASCII only."""
+    fields = ", ".join(f"{k} {paras.schema[k].dataType.simpleString()}" for k in keys)
+    letters = letter_class()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(f"{letters}+").finditer
+        for batch in batches:
+            at, starts, toks, prevs, nexts = [], [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                if text is None or text.isascii():
+                    continue
+                words = [(m.start(), m.group()) for m in find(text)]
+                last = len(words) - 1
+                for i, (start, tok) in enumerate(words):
+                    if not tok.isascii():
+                        at.append(row)
+                        starts.append(start)
+                        toks.append(tok)
+                        prevs.append(words[i - 1][1] if i else None)
+                        nexts.append(words[i + 1][1] if i < last else None)
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(rows) for k in keys), pa.array(starts, pa.int32()), *(pa.array(c, pa.string()) for c in (toks, prevs, nexts))],
+                [*keys, "start", "tok", "prev", "next"],
+            )
+
+    found = paras.select(*keys, "text").mapInArrow(run, f"{fields}, start int, tok string, prev string, next string")
+    return found.withColumn("token_class", letters_class_col(F.col("tok")))
+
+
 def token_counts(paras: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tok, n): how often each token stands in the texts of each key.
 

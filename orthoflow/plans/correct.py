@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -12,31 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layers
-from ..functions.charset import INVISIBLE, ODD_SPACES, VOWEL_CHARS, char_ranges
-from ..functions.layers import uncomposed
 from ..functions.syllables import syllable_table
 from ..operators import stats
 from ..operators.decide import Scorer, with_scorer, without_scorer
 from ..operators.edits import apply_edits_col
 from ..operators.rank import open_cases
-from ..operators.tokens import KEY, has_marks, paragraph_context, part_start, parts_col, tokens
+from ..operators.tokens import KEY, marked_tokens, paragraph_context, tokens
 from ..sources.lexicon import Options, confusable_rows, typo_table
-from ..staging import Scratch
+from ..staging import Scratch, small_side
 
 _EDIT = "struct<layer:int,start:int,end:int,before:string,after:string,kind:string,certainty:string,reason:string>"
-_ACCENTED = "".join(c for c in VOWEL_CHARS if not c.isascii()) + "đ"
 #: A row's number, given once at the start: rows that share their keys, or have none, stay apart.
 ROW = "row_id"
 
 
-@functools.cache
-def _may_change() -> str:
-    """A paragraph without a match of this cannot be changed by a layer and skips the Python kernel."""
-    plain = "|".join(sorted({" +".join(k) for _, k, _, _ in confusable_rows() if "".join(k).isascii()}))
-    rules = r"  |^ | $| [,;:!?…).\]}]|[(\[{] |[,;:][^ ]|\p{IsLowercase}[.!?]\p{IsUppercase}|\.{3}"
-    return f"(?i:{plain})|[{char_ranges(INVISIBLE + ODD_SPACES + _ACCENTED + _ACCENTED.upper())}]|{uncomposed()}|{rules}"
-
-
 @dataclass
 class BookStats:
     """What pass 1 found, one table each."""
@@ -59,7 +47,7 @@ class Correction:
 
 def book_stats(paras: DataFrame, lexicon: DataFrame, compounds: DataFrame, syllables: DataFrame, scratch: Scratch) -> BookStats:
     """Pass 1: counts over the composed but otherwise raw text of whole books."""
-    seen = scratch.table(stats.seen(paras.select("book_id", layers.compose(F.col("text")).alias("text"))), "seen")
+    seen = scratch.table(stats.seen(paras, compose=True), "seen")
     found = {
         "style": stats.tone_style(seen, syllables),
         "names": stats.names(seen, lexicon),
@@ -94,11 +82,7 @@ def layered(paras: DataFrame, style: DataFrame, options: Options) -> DataFrame:
                 [*row_keys, "text_before", "text", "edits", "doubtful"],
             )
 
-    may = F.col("text").rlike(_may_change())
-    changed = styled.filter(may).select(*row_keys, "text", "style").mapInArrow(run, schema)
-    none = F.array().cast(f"array<{_EDIT}>")
-    same = styled.filter(~may).select(*row_keys, F.col("text").alias("text_before"), "text", none.alias("edits"), none.alias("doubtful"))
-    return changed.unionByName(same)
+    return styled.select(*row_keys, "text", "style").mapInArrow(run, schema)
 
 
 def correct(
@@ -120,13 +104,12 @@ def correct(
         ROW, *KEY, "start", "end", "before", F.array("after").alias("cands"), "kind", "reason", F.lit("none").alias("evidence")
     )
     if options.bad_syllables:
-        toks = tokens(done, [ROW, *KEY], keep=None if options.plain_words else has_marks)
-        found = stats.suspicious(toks, lexicon, syllables, book.names, options.plain_words)
-        found = scratch.table(found.select(F.monotonically_increasing_id().alias("case_id"), ROW, *KEY, "pos", "tok", "prev", "next"), "found")
-        opened = open_cases(found, lexicon, compounds, book.clusters, book.used, typos)
-        placed = found.join(opened, "case_id").join(done.select(ROW, "text"), ROW)
-        start = part_start(parts_col(F.col("text")), F.col("pos"))
-        placed = placed.withColumn("start", start).withColumn("end", start + F.length("tok"))
+        toks = tokens(done, [ROW, *KEY], starts=True) if options.plain_words else marked_tokens(done, [ROW, *KEY])
+        known = small_side(scratch.table(book.names, "names", F.octet_length("word") + 64))
+        found = stats.suspicious(toks, lexicon, syllables, known, options.plain_words)
+        found = scratch.table(found.select(ROW, *KEY, "start", "tok", "prev", "next"), "found")
+        opened = open_cases(found, lexicon, compounds, book.clusters, book.used, typos, scratch)
+        placed = opened.withColumn("end", F.col("start") + F.length("tok"))
         cases = cases.unionByName(placed.select(ROW, *KEY, "start", "end", F.col("tok").alias("before"), "cands", "kind", "reason", "evidence"))
     cases = scratch.table(cases, "cases")
     if scorer is None:

@@ -245,6 +245,17 @@ def test_window_that_begins_on_the_space_behind_a_sentence(tail, want):
     assert editing.sentence_window("x" * 9 + ". " + tail, 10, 13) == want
 
 
+@pytest.mark.parametrize("frame", ["nhưmg", "đnag", "khongg", "qwzxv", "ñguoi", "nghiêngg", "eç"])
+def test_only_edits_that_can_be_a_frame_are_made(frame):
+    n, letters = len(frame), charset.TYPED_LETTERS
+    every = {frame[:i] + frame[i + 1 :] for i in range(n) if n > 2} | {frame[:i] + c + frame[i:] for i in range(n + 1) for c in letters}
+    every |= {frame[:i] + frame[i + 1] + frame[i] + frame[i + 2 :] for i in range(n - 1)}
+    every |= {frame[:i] + c + frame[i + 1 :] for i in range(n) for c in letters if c != frame[i] and (frame[i], c) != ("đ", "d")}
+    known = {charset.strip_all(f) for f in syllables.frames()}
+    assert {e for e, _ in C.one_letter_edits(frame)} == {e for e in every if charset.strip_all(e) in known}
+    assert C.candidates("a" + "nghiêng" * 3) == []
+
+
 def test_choose():
     nan = float("nan")
     assert choose([1.0, 1.02], 0.0, 0.03) == 0
