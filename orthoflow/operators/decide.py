@@ -21,7 +21,8 @@ CASE = ["start", "end", "before", "cands", "kind", "reason", "evidence"]
 class Scorer(Protocol):
     """The one point of extension: how natural a text is, in nats per character; higher is better.
 
-    Both methods take a column of texts. `score_blank` defaults to scoring the whole.
+    Both methods take a column of texts. `score_blank` defaults to scoring the whole. A scorer that can share work between the fills of
+    one window may have `score_fills(left, fills, right, blank)` too: the scores that the others would give, for each of `fills`.
     """
 
     def score(self, texts: pd.Series) -> pd.Series: ...
@@ -62,6 +63,70 @@ class BigramScorer:
         return pd.Series([one(*x) for x in zip(before, fill, after, strict=True)], dtype="float64")
 
 
+class SharedBigramScorer(BigramScorer):
+    """The same scores, but sums are whole numbers: what fills of one window share is summed once, and equal sums are equal in any order."""
+
+    #: Log-probabilities are multiples of 1 / UNIT.
+    UNIT = 1 << 44
+    #: So many fills are remembered.
+    MOST_FILLS = 100_000
+
+    def __init__(self, texts: list[str]):
+        super().__init__(texts)
+        self._logs: dict[str, int] = {}
+        self._fills: dict[str, tuple[str, int]] = {}
+
+    def _log(self, a: str, b: str) -> int:
+        x = self._logs.get(a + b)
+        if x is None:
+            # Pairs without a count differ by their first character only: that one entry serves them all.
+            n = self.pairs.get(a + b, 0)
+            key = a + b if n else a
+            x = self._logs.get(key)
+            if x is None:
+                x = self._logs[key] = round(math.log((n + 1) / (self.singles.get(a, 0) + self.letters)) * self.UNIT)
+        return x
+
+    def _whole(self, low: str) -> int:
+        log = self._log
+        return sum(log(a, b) for a, b in zip(low, low[1:], strict=False))
+
+    def _sum(self, text: str) -> float:
+        return self._whole(text.lower()) / self.UNIT
+
+    def _fill(self, fill: str) -> tuple[str, int]:
+        found = self._fills.get(fill)
+        if found is None:
+            if len(self._fills) >= self.MOST_FILLS:
+                self._fills.clear()
+            found = self._fills[fill] = (low := fill.lower(), self._whole(low))
+        return found
+
+    def score_fills(self, left: str, fills: list[str], right: str, blank: bool) -> list[float]:
+        if "Σ" in left or "Σ" in right or any("Σ" in f for f in fills):  # its lower case depends on what stands beside it
+            n = len(fills)
+            if blank:
+                return self.score_blank(pd.Series([left] * n), pd.Series(fills), pd.Series([right] * n)).tolist()
+            return self.score(pd.Series([left + f + right for f in fills])).tolist()
+        a, b = left.lower(), right.lower()
+        # Of a blank, what stands ahead is given: its own sum is not part of the score.
+        shared = (0 if blank else self._whole(a)) + self._whole(b)
+        out = []
+        for fill in fills:
+            low, total = self._fill(fill)
+            total += shared
+            if low:
+                total += (self._log(a[-1], low[0]) if a else 0) + (self._log(low[-1], b[0]) if b else 0)
+            elif a and b:
+                total += self._log(a[-1], b[0])
+            n = len(fill) + len(right) + (0 if blank else len(left))
+            if blank:
+                out.append(total / self.UNIT / max(1, n) if left or right else 0.0)
+            else:
+                out.append(total / self.UNIT / n if n > 1 else 0.0)
+        return out
+
+
 def log_softmax_at(logits, index: int) -> float:
     """Log-probability of one index; -20 where it is out of range."""
     if not 0 <= index < len(logits):
@@ -97,26 +162,36 @@ def choose(scores: list[float], original: float, threshold: float) -> int | None
 def with_scorer(cases: DataFrame, scorer: Scorer, options: Options) -> DataFrame:
     """As `without_scorer`, but cases without evidence are scored: original and candidates in one and the same window.
 
-    `cases` also needs text, before_text and after_text (the neighbouring paragraphs). No case is left open.
+    `cases` also needs text, and to fill blanks before_text and after_text (the neighbouring paragraphs); none of them is returned. No case is left open.
     """
     first = F.get("cands", F.lit(0))
-    settled = cases.filter("evidence <> 'none'").withColumn("decided", first).withColumn("certainty", F.lit("likely"))
-    asked = cases.filter("evidence = 'none'")
-    names = cases.columns
+    texts = ["text", "before_text", "after_text"]
+    names = [c for c in cases.columns if c not in texts]
+    wanted = ["start", "end", "before", "cands", *(texts if options.blank_fill else texts[:1])]
+    settled = cases.filter("evidence <> 'none'").select(*names, first.alias("decided"), F.lit("likely").alias("certainty"))
+    asked = cases.filter("evidence = 'none'").select(*names, *wanted[4:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = getattr(scorer, "score_fills", None)
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = batch.select(wanted).to_pylist()
             parts: list[tuple[str, str, str]] = []
+            shared: list[list[float]] = []
             for r in rows:
                 if options.blank_fill:
                     left, right = blank_window(r["before_text"], r["text"], r["after_text"], r["start"], r["end"])
                 else:
                     lo, hi = sentence_window(r["text"], r["start"], r["end"])
                     left, right = r["text"][lo : r["start"]], r["text"][r["end"] : hi]
-                parts += [(left, fill, right) for fill in [r["before"], *r["cands"]]]
+                fills = [r["before"], *r["cands"]]
+                if share:
+                    shared.append(share(left, fills, right, options.blank_fill))
+                else:
+                    parts += [(left, fill, right) for fill in fills]
             frame = pd.DataFrame(parts, columns=["left", "fill", "right"], dtype="object")
-            if options.blank_fill:
+            if share:
+                scores = [x for own in shared for x in own]
+            elif options.blank_fill:
                 scores = scorer.score_blank(frame["left"], frame["fill"], frame["right"]).tolist()
             else:
                 scores = scorer.score(frame["left"] + frame["fill"] + frame["right"]).tolist()

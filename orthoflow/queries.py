@@ -471,13 +471,13 @@ def dec6_open_cases(spark, sf_dir):
 
 @query()
 def dec7_scored_paragraphs(spark, sf_dir):
-    scorer = decide.BigramScorer([t for *_, t in fixtures.PARAGRAPHS])
+    scorer = decide.SharedBigramScorer([t for *_, t in fixtures.PARAGRAPHS])
     return _correction(spark, sf_dir, scorer=scorer, options=lexicon.Options.with_scoring(False)).paragraphs
 
 
 @query()
 def dec10_blank_fill_paragraphs(spark, sf_dir):
-    scorer = decide.BigramScorer([t for *_, t in fixtures.PARAGRAPHS])
+    scorer = decide.SharedBigramScorer([t for *_, t in fixtures.PARAGRAPHS])
     return _correction(spark, sf_dir, scorer=scorer, options=lexicon.Options.with_scoring(True)).paragraphs
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from orthoflow import fixtures
 from orthoflow.functions import candidates as C
 from orthoflow.functions import charset, editing, layers, syllables
-from orthoflow.operators.decide import choose, log_softmax_at
+from orthoflow.operators.decide import BigramScorer, SharedBigramScorer, choose, log_softmax_at
 from orthoflow.sources import lexicon, xhtml
 
 TABLE = lexicon.confusable_rows()
@@ -256,6 +257,17 @@ def test_only_edits_that_can_be_a_frame_are_made(frame):
     assert C.candidates("a" + "nghiêng" * 3) == []
 
 
+@given(st.text("aăbΣσ İ.", max_size=8), st.lists(st.text("aăbΣ İ", max_size=4), min_size=1, max_size=4), st.text("aăbΣ İ.", max_size=8))
+def test_shared_scores_are_those_of_whole_texts(left, fills, right):
+    texts = ["ab aă bă.", "Σaσ ab"]
+    plain, shared = BigramScorer(texts), SharedBigramScorer(texts)
+    n = len(fills)
+    want = plain.score(pd.Series([left + f + right for f in fills], dtype="object")).tolist()
+    assert shared.score_fills(left, fills, right, False) == pytest.approx(want, abs=1e-9)
+    want = plain.score_blank(pd.Series([left] * n, dtype="object"), pd.Series(fills, dtype="object"), pd.Series([right] * n, dtype="object")).tolist()
+    assert shared.score_fills(left, fills, right, True) == pytest.approx(want, abs=1e-9)
+
+
 def test_choose():
     nan = float("nan")
     assert choose([1.0, 1.02], 0.0, 0.03) == 0
