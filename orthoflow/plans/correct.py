@@ -115,10 +115,12 @@ def correct(
     if scorer is None:
         decided = without_scorer(cases)
     else:
-        # Neighbours are the composed paragraphs, as pass 1 read them.
-        near = paragraph_context(paras.select(ROW, *KEY, layers.compose(F.col("text")).alias("text")), [ROW])
-        asked = cases.join(near.select(ROW, F.col("before").alias("before_text"), F.col("after").alias("after_text")), ROW)
-        decided = with_scorer(asked.join(done.select(ROW, "text"), ROW), scorer, options).drop("text", "before_text", "after_text")
+        asked = cases.join(done.select(ROW, "text"), ROW)
+        if options.blank_fill:
+            # Neighbours are the composed paragraphs, as pass 1 read them.
+            near = paragraph_context(paras.select(ROW, *KEY, layers.compose(F.col("text")).alias("text")), [ROW])
+            asked = asked.join(near.select(ROW, F.col("before").alias("before_text"), F.col("after").alias("after_text")), ROW)
+        decided = with_scorer(asked, scorer, options)
     decided = scratch.table(decided, "decided")
     chosen = decided.filter("decided IS NOT NULL AND decided <> before").select(
         ROW, F.struct("start", "end", F.col("decided").alias("after"), "before", "kind", "certainty", "reason").alias("e")
