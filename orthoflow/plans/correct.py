@@ -57,6 +57,7 @@ def book_stats(paras: DataFrame, lexicon: DataFrame, compounds: DataFrame, sylla
     # All four in one job and one table, each with its own columns.
     tagged = [df.withColumn("what", F.lit(name)) for name, df in found.items()]
     whole = scratch.table(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged), "statistics")
+    scratch.drop(seen)
     return BookStats(**{name: whole.filter(F.col("what") == name).select(df.columns) for name, df in found.items()})
 
 
@@ -99,7 +100,10 @@ def correct(
     syllables = syllable_table(spark)
     paras = scratch.table(paras.filter("text IS NOT NULL").select(F.monotonically_increasing_id().alias(ROW), *KEY, "text"), "paragraphs")
     book = book_stats(paras, lexicon, compounds, syllables, scratch)
-    done = scratch.table(layered(paras, book.style, options), "layered")
+    # A text that no layer changed is kept once.
+    kept = scratch.table(layered(paras, book.style, options).withColumn("text", F.when(F.col("text") != F.col("text_before"), F.col("text"))), "layered")
+    done = kept.withColumn("text", F.coalesce("text", "text_before"))
+    found = None
     cases = done.select(ROW, *KEY, F.inline("doubtful")).select(
         ROW, *KEY, "start", "end", "before", F.array("after").alias("cands"), "kind", "reason", F.lit("none").alias("evidence")
     )
@@ -112,30 +116,39 @@ def correct(
         placed = opened.withColumn("end", F.col("start") + F.length("tok"))
         cases = cases.unionByName(placed.select(ROW, *KEY, "start", "end", F.col("tok").alias("before"), "cands", "kind", "reason", "evidence"))
     cases = scratch.table(cases, "cases")
+    scratch.drop(found)
     if scorer is None:
         decided = without_scorer(cases)
     else:
-        asked = cases.join(done.select(ROW, "text"), ROW)
+        # Only the texts of the paragraphs that a scorer is asked about are dealt out.
+        scored = small_side(scratch.table(cases.filter("evidence = 'none'").select(ROW).distinct(), "scored"), 16)
+        asked = cases.join(done.select(ROW, "text").join(scored, ROW, "left_semi"), ROW, "left")
         if options.blank_fill:
             # Neighbours are the composed paragraphs, as pass 1 read them.
             near = paragraph_context(paras.select(ROW, *KEY, layers.compose(F.col("text")).alias("text")), [ROW])
-            asked = asked.join(near.select(ROW, F.col("before").alias("before_text"), F.col("after").alias("after_text")), ROW)
+            near = near.select(ROW, F.col("before").alias("before_text"), F.col("after").alias("after_text")).join(scored, ROW, "left_semi")
+            asked = asked.join(near, ROW, "left")
         decided = with_scorer(asked, scorer, options)
     decided = scratch.table(decided, "decided")
+    scratch.drop(paras, cases)
     chosen = decided.filter("decided IS NOT NULL AND decided <> before").select(
         ROW, F.struct("start", "end", F.col("decided").alias("after"), "before", "kind", "certainty", "reason").alias("e")
     )
     per_para = chosen.groupBy(ROW).agg(F.collect_list("e").alias("chosen"))
-    joined = done.join(per_para, ROW, "left")
-    fixed = apply_edits_col(F.col("text"), F.col("chosen"))
-    final = joined.select(*KEY, "text_before", "text", "edits", "chosen", F.when(F.col("chosen").isNotNull(), fixed).alias("fixed"))
+    size = 64 + F.aggregate("chosen", F.lit(0), lambda n, e: n + 64 + F.octet_length(e["after"]) + F.octet_length(e["before"]) + F.octet_length(e["reason"]))
+    joined = done.join(small_side(scratch.table(per_para, "chosen", size)), ROW, "left")
+    fixed = F.when(F.col("chosen").isNotNull(), apply_edits_col(F.col("text"), F.col("chosen")))
+    joined = joined.select(*KEY, "text_before", "text", "edits", "chosen", fixed.alias("fixed"))
+    after = F.coalesce("fixed.text", "text")
+    final = joined.select(*KEY, "text_before", F.when(after != F.col("text_before"), after).alias("text"), "edits", "chosen", F.col("fixed.starts").alias("starts"))
     final = scratch.table(final, "final")
+    scratch.drop(kept)
     # Of the chosen edits, in their order, those that were applied: the starts that the fold accepted.
-    applied = F.filter(F.array_sort("chosen"), lambda e: F.array_contains("fixed.starts", e["start"]))
+    applied = F.filter(F.array_sort("chosen"), lambda e: F.array_contains("starts", e["start"]))
     late = final.filter("chosen IS NOT NULL").select(*KEY, F.inline(applied)).select(
         *KEY, F.lit(7).alias("layer"), "start", "end", "before", "after", "kind", "certainty", "reason"
     )
     log = final.select(*KEY, F.inline("edits")).unionByName(late)
-    paragraphs = final.select(*KEY, "text_before", F.coalesce("fixed.text", "text").alias("text"))
+    paragraphs = final.select(*KEY, "text_before", F.coalesce("text", "text_before").alias("text"))
     still = decided.filter("decided IS NULL") if scorer is None else decided.limit(0)
     return Correction(paragraphs, log, still.select(*KEY, *["start", "end", "before", "cands", "kind", "reason", "evidence"]), book)
