@@ -223,6 +223,55 @@ def test_diff_rebuilds(old, new):
     assert len(used) == len(hunks)
 
 
+def plain_diff(old, new):
+    """The whole table of longest common subsequences, and the walk through it."""
+    a, b = editing.pieces(old), editing.pieces(new)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = at = bt = 0
+    hunks = []
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            hunks.append((at, i, bt, j))
+            i, j = i + 1, j + 1
+            at, bt = i, j
+        elif j < len(b) and (i == len(a) or best[i][j + 1] >= best[i + 1][j]):
+            j += 1
+        else:
+            i += 1
+    starts = [len("".join(a[:k])) for k in range(len(a) + 1)]
+    return [(starts[w], starts[x], "".join(b[y:z])) for w, x, y, z in [*hunks, (at, i, bt, j)] if x > w or z > y]
+
+
+few_pieces = st.text(alphabet="ab  e\u0301é\u2000\u2002", max_size=40)
+
+
+@given(few_pieces, st.one_of(st.none(), few_pieces))
+@settings(max_examples=300, deadline=None)
+def test_diff_equals_the_plain_table(old, new):
+    new = unicodedata.normalize("NFC", old) if new is None else new
+    assert [tuple(h) for h in editing.diff(old, new)] == plain_diff(old, new)
+
+
+@pytest.mark.parametrize("n", [1000, 1001, 3000])
+def test_composition_is_logged_word_by_word_at_any_length(n):
+    """Above 4 million cells, from 1001 words on, one edit held the whole paragraph."""
+    made = ["việt" if i % 3 else unicodedata.normalize("NFD", "việt") for i in range(n)]
+    text, found = layers.compose_edits(" ".join(made))
+    assert text == " ".join(["việt"] * n)
+    starts = [sum(map(len, made[:i])) + i for i in range(n)]
+    assert [(e.start, e.end, e.before, e.after) for e in found] == [(at, at + len(w), w, "việt") for at, w in zip(starts, made, strict=True) if w != "việt"]
+
+
+def test_long_texts_are_compared_piece_by_piece():
+    words = [f"w{i * i % 701}" for i in range(3000)]
+    old, new = " ".join(words), " ".join(["new", *words[:1500], *words[1501:]])
+    at = len(" ".join(words[:1500])) + 1
+    assert editing.diff(old, new) == [(0, 0, "new "), (at, at + len(words[1500]) + 1, "")]
+
+
 def test_overlapping_edits():
     assert editing.apply_edits("abc", [(0, 2, "X"), (1, 3, "Y")]) == ("Xc", [0])
     assert editing.nearest("ab ab ab", "ab", 4) == 3
